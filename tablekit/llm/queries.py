@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, quality, urlfilter
+from . import htmltext, packing, quality, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOST_RULES = (
@@ -30,11 +31,20 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), HOST_RULES)
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_html_extraction": html_extraction, "op6_url_filters": url_filters, "op10_quality_rules": quality_rules}
+QUERIES: dict[str, Query] = {
+    "op2_html_extraction": html_extraction,
+    "op6_url_filters": url_filters,
+    "op8_best_fit_packing": best_fit_packing,
+    "op10_quality_rules": quality_rules,
+}
 
 
 def _url_sql() -> str:
