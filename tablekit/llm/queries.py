@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import htmltext, packing, quality, urlfilter
+from . import common, htmltext, linededup, packing, quality, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOST_RULES = (
@@ -27,6 +28,11 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(spark, common.narrow(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), HOST_RULES)
 
@@ -41,6 +47,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_html_extraction": html_extraction,
+    "op3_line_dedup": line_dedup,
     "op6_url_filters": url_filters,
     "op8_best_fit_packing": best_fit_packing,
     "op10_quality_rules": quality_rules,
@@ -64,4 +71,14 @@ SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule,
 FROM fitted"""
 
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": _url_sql()}
+LINE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{urlfilter.UPPER}', '{urlfilter.LOWERED}') AS key FROM lines),
+often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT keyed.*, often.key IS NOT NULL AS gone FROM keyed LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_SQL, "op6_url_filters": _url_sql()}
