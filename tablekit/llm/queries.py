@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, htmltext, linededup, packing, quality, urlfilter
+from . import common, htmltext, linededup, minhash, packing, quality, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOST_RULES = (
@@ -33,6 +33,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), HOST_RULES)
 
@@ -48,6 +52,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_html_extraction": html_extraction,
     "op3_line_dedup": line_dedup,
+    "op4_minhash_near_dedup": minhash_near_dedup,
     "op6_url_filters": url_filters,
     "op8_best_fit_packing": best_fit_packing,
     "op10_quality_rules": quality_rules,
