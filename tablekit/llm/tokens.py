@@ -14,7 +14,7 @@ from .common import strings
 
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 #: The most distinct words whose ids a worker keeps.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 
 @functools.cache
