@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, htmltext, linededup, minhash, packing, quality, urlfilter
+from . import bytebpe, common, htmltext, linededup, minhash, packing, quality, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOST_RULES = (
@@ -37,6 +37,12 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), HOST_RULES)
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op2_html_extraction": html_extraction,
     "op3_line_dedup": line_dedup,
     "op4_minhash_near_dedup": minhash_near_dedup,
+    "op5_byte_bpe": byte_bpe,
     "op6_url_filters": url_filters,
     "op8_best_fit_packing": best_fit_packing,
     "op10_quality_rules": quality_rules,
