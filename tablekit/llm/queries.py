@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, common, htmltext, linededup, minhash, packing, quality, urlfilter
+from . import bytebpe, common, htmltext, linededup, minhash, packing, quality, urlfilter, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOST_RULES = (
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_near_dedup": embedding_near_dedup,
     "op2_html_extraction": html_extraction,
     "op3_line_dedup": line_dedup,
     "op4_minhash_near_dedup": minhash_near_dedup,
