@@ -223,7 +223,7 @@ def exact_edges(docs: DataFrame, groups: DataFrame, size: int, percent: int) ->
     """
     totals = groups.groupBy("root").agg(F.sum("n_shingles").alias("total"))
     tiles = tiled(groups.join(totals, "root"), f"cast(ceil(total / {BLOCK_SHINGLES}) AS bigint)", "rep")
-    rows = tiles.select("root", "ti", "tj", "rep").join(docs, docs["doc_id"] == F.col("rep")).select("root", "ti", "tj", "rep", "text")
+    rows = tiles.select("root", "ti", "tj", "rep").hint("merge").join(docs, docs["doc_id"] == F.col("rep")).select("root", "ti", "tj", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, 3, 500):
