@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, common, htmltext, linededup, minhash, packing, quality, toxicity, urlfilter, vectors
+from . import bytebpe, common, htmltext, linededup, minhash, packing, quality, tokenfile, toxicity, urlfilter, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOST_RULES = (
@@ -55,6 +55,11 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = tokenfile.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_byte_bpe": byte_bpe,
     "op6_url_filters": url_filters,
+    "op7_token_id_output": token_id_output,
     "op8_best_fit_packing": best_fit_packing,
     "op9_toxicity": toxicity_scores,
     "op10_quality_rules": quality_rules,
