@@ -45,6 +45,29 @@ def from_varint(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def to_bits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The low ``bits`` (below 32) of the values one after another in 32-bit words."""
+    ends = np.cumsum(bits)
+    at = ends - bits
+    wide = (values & ((1 << bits) - 1)) << (at & 31)
+    n = -(-int(ends[-1]) // 32) + 1 if len(ends) else 1
+    low, high = np.bincount(at >> 5, (wide & 0xFFFFFFFF).astype(float), n + 1), np.bincount((at >> 5) + 1, (wide >> 32).astype(float), n + 1)
+    return (low + high)[:n].astype("<u4")
+
+
+def from_bits(raw: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    word = np.append(raw.view("<u4"), np.uint32(0)).astype(np.uint64)
+    wide = word[:-1] | (word[1:] << np.uint64(32))
+    at = np.cumsum(bits) - bits
+    return (wide[at >> 5] >> (at & 31).astype(np.uint64)).astype(np.int64) & ((1 << bits) - 1)
+
+
+def low_bits(counts: np.ndarray, n: int) -> np.ndarray:
+    """For words that stand ``counts`` times among n places: how many low bits of each gap are stored plainly (Rice)."""
+    mean = np.maximum(n // np.maximum(counts, 1), 1)
+    return np.repeat(np.maximum(np.log2(mean + 0.5).astype(np.int8) - 1, 0).astype(np.int8), counts)
+
+
 def packed(*parts: np.ndarray) -> bytes:
     """Byte arrays, with their lengths, as one zstandard frame."""
     raw = [np.ascontiguousarray(p).view(np.uint8) for p in parts]
@@ -94,27 +117,33 @@ class _Dictionary:
         self.bytes += len(data)
 
     def rows(self, chunk: int, buckets: int) -> pa.RecordBatch:
-        """One row of the documents (bucket -1), and one for each bucket that has words: words, counts and gaps between places."""
+        """One row of the documents (bucket -1), and one for each bucket that has words: words, counts and gaps between places
+        (Rice coded)."""
         ids = pa.concat_arrays(self.docs)
         docs = packed(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().astype("<i8"), to_varint(np.concatenate(self.counts)))
         index = np.concatenate(self.index)
+        self.index.clear()
         listed = [*self.local]
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in listed), np.int64, len(listed))
-        rank = np.empty(len(listed), np.int64)
+        rank = np.empty(len(listed), np.int32)
         by_bucket = np.argsort(bucket, kind="stable")
         rank[by_bucket] = np.arange(len(listed))
-        counts = np.bincount(rank[index], minlength=len(listed))
-        order = np.argsort(rank[index], kind="stable")
-        gaps = np.diff(order, prepend=0)
+        index = rank[index]
+        counts = np.bincount(index, minlength=len(listed))
+        order = np.argsort(index, kind="stable").astype(np.int32)
+        del index
+        gaps = np.diff(order, prepend=np.int32(0))
         heads = np.cumsum(counts) - counts
         gaps[heads] = order[heads]
+        low = low_bits(counts, len(order))
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         ends = np.append(heads, len(order))
         out_bucket, payload = [-1], [docs]
         for b in np.flatnonzero(np.diff(cuts)):
             own = [listed[i] for i in by_bucket[cuts[b] : cuts[b + 1]]]
             out_bucket.append(int(b))
-            payload.append(packed(to_varint(np.array([len(w) for w in own])), np.frombuffer(b"".join(own), np.uint8), to_varint(counts[cuts[b] : cuts[b + 1]]), to_varint(gaps[ends[cuts[b]] : ends[cuts[b + 1]]])))
+            at = slice(ends[cuts[b]], ends[cuts[b + 1]])
+            payload.append(packed(to_varint(np.array([len(w) for w in own])), np.frombuffer(b"".join(own), np.uint8), to_varint(counts[cuts[b] : cuts[b + 1]]), to_varint(gaps[at] >> low[at]), to_bits(gaps[at].astype(np.int64), low[at].astype(np.int64))))
         return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array([chunk] * len(payload), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "chunk", "payload"])
 
 
@@ -151,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None)
                 chunk, frame = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
                 kind = batch.column(0)[k].as_py() < 0
                 if not kind:
-                    lengths, raw, counts, gaps = unpacked(frame, 4)
+                    lengths, raw, *places = unpacked(frame, 5)
                     found = []
                     for w in strings(raw, from_varint(lengths)).to_pylist():
                         ids = known.get(w)
@@ -160,7 +189,7 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None)
                                 known.clear()
                             ids = known[w] = np.array(one(w.decode()), "<u4").tobytes()
                         found.append(ids)
-                    frame = packed(to_varint(np.array([len(i) // 4 for i in found])), to_varint(np.frombuffer(b"".join(found), "<u4")), counts, gaps)
+                    frame = packed(to_varint(np.array([len(i) // 4 for i in found])), to_varint(np.frombuffer(b"".join(found), "<u4")), *places)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind]), pa.array([frame], pa.binary())], ["chunk", "docs", "payload"])
 
     def assemble(table: pa.Table) -> pa.Table:
@@ -172,7 +201,10 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None)
         lengths, flat, n = [], [], 0
         for kind, frame in zip(kinds, frames):
             if not kind:
-                size, ids, times, gaps = [from_varint(x) for x in unpacked(frame, 4)]
+                *coded, plain = unpacked(frame, 5)
+                size, ids, times, gaps = map(from_varint, coded)
+                low = low_bits(times, len(word)).astype(np.int64)
+                gaps = (gaps << low) | from_bits(plain, low)
                 heads = np.cumsum(times) - times
                 run = np.cumsum(gaps)
                 place = run - np.repeat(run[heads] - gaps[heads], times)
