@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,19 +141,25 @@ class Table:
 
     # -- changing
 
-    def _checked(self, rows: DataFrame) -> None:
-        """Raises for nulls in NOT NULL columns, values over their limits, and keys without a value."""
+    def _watched(self, rows: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+        """Rows that are checked as they are written, and a function that raises for what the checks found: nulls in
+        NOT NULL columns and values over their limits. So the rows are made once, not once more for the checks."""
         bad = {}
         for c in self.meta.columns:
             value = F.col(f"`{c.name}`")
             if c.not_null:
                 bad[f"CHECK_CONSTRAINT_VIOLATION {c.name} is null"] = value.isNull()
             bad[f"{'ROW_BYTES_EXCEEDED' if c.type.name in ('STRING', 'BYTES') else 'INVALID_DATA_TYPE'} {c.name}"] = ~c.type.valid(value)
-        found = rows.agg(*[F.count_if(test).alias(f"t{k}") for k, test in enumerate(bad.values())]).head()
-        for k, text in enumerate(bad):
-            if found[k]:
-                name, _, detail = text.partition(" ")
-                raise EngineError(name, f"{detail} in {found[k]} rows")
+        seen = Observation()
+        watched = rows.observe(seen, *[F.count_if(test).alias(f"t{k}") for k, test in enumerate(bad.values())])
+
+        def verdict() -> None:
+            for k, text in enumerate(bad):
+                if n := seen.get.get(f"t{k}"):
+                    name, _, detail = text.partition(" ")
+                    raise EngineError(name, f"{detail} in {n} rows")
+
+        return watched, verdict
 
     def _same_key(self, a: DataFrame, b: DataFrame) -> Column:
         test = F.lit(True)
@@ -176,27 +182,30 @@ class Table:
         key = list(self.meta.primary_key)
 
         def work() -> int:
-            self._checked(rows)
-            new = rows.select(*self.meta.names)
-            if mode == "error":
-                if new.groupBy(*key).count().filter("count > 1").head(1):
-                    raise EngineError("DUPLICATE_KEY", "within the new rows")
-                old = self.df()
-                if old.join(new, self._same_key(old, new), "left_semi").head(1):
-                    raise EngineError("DUPLICATE_KEY", self.path)
-            else:
+            new, verdict = self._watched(rows.select(*self.meta.names))
+            if mode != "error":
                 numbered = new.withColumn("_n", F.monotonically_increasing_id())
                 pick = F.max_by if mode == "replace" else F.min_by
                 new = numbered.groupBy(*key).agg(pick(F.struct(*self.meta.names), "_n").alias("_row")).select("_row.*")
-                old = self._with_file()
-                if mode == "ignore":
-                    new = new.join(old, self._same_key(new, old), "left_anti")
-                else:
-                    self._rewrite(old.join(new, self._same_key(old, new), "left_semi"), lambda kept: kept.join(new, self._same_key(kept, new), "left_anti"))
-            before = self.manifest().files
+            old = self._with_file() if self.manifest().files else None
+            if mode == "ignore" and old is not None:
+                new = new.join(old, self._same_key(new, old), "left_anti")
             made = self._write(new)
-            self.staged.files = [*before, *made]
-            return self._read(made).count()
+            try:
+                verdict()
+                fresh = self._read(made)
+                if mode == "error":
+                    if fresh.groupBy(*key).count().filter("count > 1").head(1):
+                        raise EngineError("DUPLICATE_KEY", "within the new rows")
+                    if old is not None and old.join(fresh, self._same_key(old, fresh), "left_semi").head(1):
+                        raise EngineError("DUPLICATE_KEY", self.path)
+                elif mode == "replace" and old is not None:
+                    self._rewrite(old.join(fresh, self._same_key(old, fresh), "left_semi"), lambda kept: kept.join(fresh, self._same_key(kept, fresh), "left_anti"))
+            except EngineError:
+                delete(self.spark, f"{self.path}/{self.made[-1]}")
+                raise
+            self.staged.files = [*self.manifest().files, *made]
+            return fresh.count()
 
         return self._change(work)
 
@@ -216,7 +225,9 @@ class Table:
             n = old.filter(test).count()
             if n:
                 new = {self.meta.column(c).name: stored(v, self.meta.column(c)) for c, v in assignments}
-                self._checked(old.filter(test).select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in self.meta.names]))
+                watched, verdict = self._watched(old.filter(test).select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in self.meta.names]))
+                watched.write.format("noop").mode("overwrite").save()
+                verdict()
                 self._rewrite(old.filter(test), lambda rows: rows.withColumns({c: F.when(test, v).otherwise(F.col(c)) for c, v in new.items()}))
                 if set(new) & set(self.meta.primary_key) and self.df().groupBy(*self.meta.primary_key).count().filter("count > 1").head(1):
                     raise EngineError("DUPLICATE_KEY", self.path)
