@@ -28,7 +28,7 @@ NEARLY_PURE = 0.97
 #: Prefix lengths that are features beside whole words; fewer documents with a feature than LEAST are no evidence.
 PREFIXES, LEAST = (4, 5, 6, 7, 8), 4
 #: Distinct tokens whose features a worker keeps.
-CACHED_TOKENS = 300_000
+CACHED_TOKENS = 200_000
 
 # The letters of the language model (0 is a word's edge, 1 any other character), leetspeak, channel costs.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
@@ -172,7 +172,8 @@ class ToxicityModel:
     evidence: dict[str, float]
     #: The probability for documents without any.
     base: float
-    cache: dict[str, float] = field(default_factory=dict)
+    #: The telling words of tokens met before; None for most, which have none.
+    cache: dict[str, dict[str, float] | None] = field(default_factory=dict)
 
     def words_in(self, token: str) -> dict[str, float]:
         """The telling words of a token: the strongest evidence of each."""
@@ -199,10 +200,10 @@ class ToxicityModel:
             self.cache.clear()
         telling = np.zeros(len(texts.tokens), bool)
         for k, t in enumerate(texts.tokens):
-            own = self.cache.get(t)
-            if own is None:
-                own = self.cache[t] = self.words_in(t)
-            telling[k] = bool(own)
+            own = self.cache.get(t, self)
+            if own is self:
+                own = self.cache[t] = self.words_in(t) or None
+            telling[k] = own is not None
         if len(telling):
             for k in np.flatnonzero(telling[texts.words.ids]):
                 found[texts.words.doc[k]].update(self.cache[texts.tokens[texts.words.ids[k]]])
@@ -273,28 +274,25 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
     train = written(spark, _training(spark, docs, labels, most), "training")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, set[str]] = {}
         for part in chunks(batches, 1):
             texts = Texts(*utf8(part.column(1)))
-            toxic = np.array(part.column(0).to_pylist(), int)
-            seen: dict[str, set[int]] = {}
+            toxic = np.array(part.column(0).to_pylist(), bool)
             w = texts.words
-            order = np.argsort(w.ids, kind="stable")
-            cuts = np.searchsorted(w.ids[order], np.arange(len(texts.tokens) + 1))
-            if len(kept) > CACHED_TOKENS:
-                kept.clear()
-            for k, t in enumerate(texts.tokens):
-                if t not in kept:
-                    kept[t] = {f for x in plain_words(t, language) for f in features_of(x)}
-                own = set(w.doc[order[cuts[k] : cuts[k + 1]]].tolist())
-                for f in kept[t]:
-                    seen.setdefault(f, set()).update(own)
-            for d, word in texts.spaced:
-                for f in {f for x in plain_words(word, language) for f in features_of(x)}:
-                    seen.setdefault(f, set()).add(d)
-            n = [len(x) for x in seen.values()]
-            bad = [int(toxic[list(x)].sum()) for x in seen.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array(n, pa.int64()), pa.array(bad, pa.int64())], ["feature", "n", "bad"])
+            order = np.lexsort((w.doc, w.ids))
+            token, doc = w.ids[order], w.doc[order]
+            first = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]))[: len(token)]
+            token, doc = token[first], doc[first]
+            cuts = np.searchsorted(token, np.arange(len(texts.tokens) + 1))
+            number: dict[str, int] = {}
+            which, docs_with = [], []
+            for t, docs_of_t in [*((t, doc[cuts[k] : cuts[k + 1]]) for k, t in enumerate(texts.tokens)), *((t, np.array([d])) for d, t in texts.spaced)]:
+                for f in {f for x in plain_words(t, language) for f in features_of(x)}:
+                    which.append(number.setdefault(f, len(number)))
+                    docs_with.append(docs_of_t)
+            sizes = np.fromiter(map(len, docs_with), np.int64, len(docs_with))
+            pair = np.unique(np.repeat(np.array(which, np.int64), sizes) * len(toxic) + np.concatenate([np.zeros(0, np.int64), *docs_with]))
+            feature, bad = pair // len(toxic), toxic[pair % len(toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array([*number], pa.string()), pa.array(np.bincount(feature, minlength=len(number))), pa.array(np.bincount(feature[bad], minlength=len(number)))], ["feature", "n", "bad"])
 
     counts = written(spark, train.select("toxic", "text").mapInArrow(run, "feature string, n bigint, bad bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "features")
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
