@@ -129,6 +129,6 @@ def test_jdbc_round_trip(spark, engine):
     from tablekit.sources import jdbc
 
     t = jdbc.Target(url, "people")
-    jdbc.write(spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), t, "overwrite")
+    jdbc.write(spark.createDataFrame([(1, "a"), (2, "b")], "ID int, NAME string"), t, "overwrite")
     assert jdbc.execute(spark, t, "DELETE FROM people WHERE id = 1") == 1
-    assert engine.sql(f"SELECT id, name FROM {url}?table=people WHERE id > 0").collect() == [(2, "b")]
+    assert engine.sql(f"SELECT id, name FROM `{url}?table=people` WHERE id > 0").collect() == [(2, "b")]
