@@ -60,7 +60,7 @@ def _distinct_keys(src: DataFrame) -> DataFrame:
 def _update(shard: tuple, filters: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
     """A shard's filter after its keys have become frequent (up) or stopped being so (down)."""
     up, down = changes.k1[changes.up & ~changes.stays], changes.k1[changes.down]
-    old = CuckooFilter.from_bytes(filters.filter.iloc[0]) if len(filters) else None
+    old = CuckooFilter.from_bytes(filters["filter"].iloc[0]) if len(filters) else None
     if old is None or not old.fits(len(up)):
         new = CuckooFilter.build(changes.k1[changes.up].to_numpy(np.int64).view(np.uint64))
     else:

@@ -185,7 +185,7 @@ def decode(raw: bytes) -> np.ndarray:
             width[more] <<= 16
         count = BITS[symbol]
         p = bit[:m]
-        value = ((plain[p >> 5] >> (p & 31).astype(np.uint64)).astype(np.int64) & ((1 << count.astype(np.int64)) - 1)).astype(np.int32) + BASE[symbol]
+        value = ((plain[np.minimum(p >> 5, len(plain) - 1)] >> (p & 31).astype(np.uint64)).astype(np.int64) & ((1 << count.astype(np.int64)) - 1)).astype(np.int32) + BASE[symbol]
         p += count
         back = state.history[np.clip(t + 2 - value, 0, t + 1), row]
         ids = np.where(symbol == HIT2, state.guess2, np.where(symbol == HIT1, state.guess1, np.where(symbol < NEW, back, value)))

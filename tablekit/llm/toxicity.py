@@ -23,8 +23,9 @@ TRAINED = 20_000
 FALSE_FINDINGS = 0.05
 #: The least purity, at the lower end of a 95 % interval, of a feature that counts as evidence.
 PURITY = 0.5
-#: The purity with which a feature is evidence whatever other features its documents have.
-NEARLY_PURE = 0.97
+#: The purity with which a feature that at least the share COMMON of toxic documents has is evidence, whatever other
+#: features they have.
+NEARLY_PURE, COMMON = 0.9, 0.1
 #: Prefix lengths that are features beside whole words; fewer documents with a feature than LEAST are no evidence.
 PREFIXES, LEAST = (4, 5, 6, 7, 8), 4
 #: Distinct tokens whose features a worker keeps.
@@ -250,13 +251,13 @@ def least_share(k: int, n: int) -> float:
 
 
 def explaining(candidates: dict[str, float], docs_of: dict[str, set[int]], bad: set[int]) -> dict[str, float]:
-    """The candidates that are evidence by themselves: nearly pure ones, and others, purest first, if they are still
+    """The candidates that are evidence by themselves: common, nearly pure ones, and others, purest first, if they are still
     evidence among the documents that those before them do not explain. A rare word of a few toxic documents that
     have a telling word anyway is none."""
     out, explained = {}, set()
     for f, low in sorted(candidates.items(), key=lambda x: (-x[1], -len(docs_of[x[0]]), x[0])):
         rest = docs_of[f] - explained
-        if low >= NEARLY_PURE or len(rest) >= LEAST and least_share(len(rest & bad), len(rest)) >= PURITY:
+        if low >= NEARLY_PURE and len(docs_of[f] & bad) >= COMMON * len(bad) or len(rest) >= LEAST and least_share(len(rest & bad), len(rest)) >= PURITY:
             out[f] = low
             explained |= docs_of[f]
     return out
