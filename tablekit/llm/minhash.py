@@ -288,8 +288,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, all columns unchanged: one document of each group."""
+    """The rows of ``docs`` that near_duplicates() keeps, all columns unchanged: one document of each group.
+
+    Of rows that share a doc_id, that of the smallest text stays; rows without a doc_id all stay.
+    """
     gone = near_duplicates(spark, docs, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    key = plain[f"_c{docs.columns.index('doc_id')}"].cast("bigint")
-    return plain.join(gone, key == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    text = F.coalesce(F.col(f"_c{docs.columns.index('text')}"), F.lit(""))
+    plain = plain.withColumn("_key", plain[f"_c{docs.columns.index('doc_id')}"].cast("bigint"))
+    kept = plain.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    again = written(spark, plain.filter("_key IS NOT NULL").groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_again")), "repeated")
+    if again.head(1):
+        whole = F.struct(*kept.columns)
+        one = kept.join(again, F.col("_key") == F.col("_again"), "left_semi").groupBy("_key").agg(F.min_by(whole, text).alias("_row")).select("_row.*")
+        kept = kept.join(again, F.col("_key") == F.col("_again"), "left_anti").unionByName(one)
+    return kept.drop("_key").toDF(*docs.columns)

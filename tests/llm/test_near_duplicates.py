@@ -83,7 +83,8 @@ def test_documents(spark, size, percent):
     df = spark.createDataFrame([(t, i, 1, "x") for i, t in data], "text string, doc_id bigint, kept int, rep string")
     assert rows(minhash.near_duplicates(spark, df, size, percent)) == brute_documents(data, size, percent)
     kept = minhash.keep_one(spark, df, size, percent)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, *_, k in brute_documents(data, size, percent) if k}
+    stay = {i for i, *_, k in brute_documents(data, size, percent) if k}
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(stay, key=repr)  # one row of each
 
 
 def test_blocks(spark, monkeypatch):
