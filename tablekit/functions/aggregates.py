@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
-from . import kernels
+from . import bitmaps, kernels
 
 #: Digits after the point of sums and averages, and of the exact decimals that doubles are summed as.
 SCALE, EXACT = 5, 10
@@ -154,7 +154,5 @@ def aggregate(df: DataFrame, keys: Sequence[Key | str], functions: Sequence[Func
 
 
 def bitmap_distinct(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
-    """Exact distinct counts of a non-negative integer column by bitmaps of 32768 numbers, merged by their bucket."""
-    c = F.col(f"`{column}`").cast("bigint")
-    buckets = df.filter(c.isNotNull()).groupBy(*keys, F.bitmap_bucket_number(c).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(c)).alias("_bits"))
-    return buckets.groupBy(*keys).agg(F.sum(F.bitmap_count("_bits")).alias(alias))
+    """Exact distinct counts of a non-negative integer column by bitmaps, merged by their bucket."""
+    return bitmaps.counts(bitmaps.build(df, keys, column), alias)

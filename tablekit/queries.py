@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .engine import Engine
+from .functions import bitmaps
 from .functions.aggregates import Function, Key, aggregate, bitmap_distinct, time
 from .operators.lookup import lookup
 from .operators.pipeline import Mapping
@@ -169,6 +170,16 @@ def agg_custom(spark: SparkSession, d: str) -> DataFrame:
     return aggregate(table(spark, d, "orders"), ["o_orderstatus"], [Function("CUSTOM", ["o_totalprice"], "span", build=lambda c: F.max(c) - F.min(c))])
 
 
+def _bitmaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, d, "events")
+    return tuple(bitmaps.build(events.filter(test), ["event_type"], "user_id") for test in (F.col("value") > 50, F.col("event_id") % 2 == 0))
+
+
+for _name, _set, _op in (("bitmap_or", bitmaps.union, "UNION"), ("bitmap_and", bitmaps.intersection, "INTERSECT"), ("bitmap_andnot", bitmaps.difference, "EXCEPT")):
+    _sides = [f"SELECT event_type, user_id FROM events WHERE {t} AND user_id IS NOT NULL" for t in ("value > 50", "event_id % 2 = 0")]
+    registered(f"SELECT event_type, count(*) AS users FROM (({_sides[0]}) {_op} ({_sides[1]})) GROUP BY event_type", _name)(partial(lambda spark, d, op: bitmaps.counts(op(*_bitmaps(spark, d)), "users").filter("users > 0"), op=_set))
+
+
 # -- lookups and mappings
 
 
