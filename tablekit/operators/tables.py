@@ -21,6 +21,10 @@ from ..sources.paths import delete, exists, file_system, read_text, write_text
 from ..sources.registry import sidecar
 
 
+#: Parquet codecs by the COMPRESSOR option of a table.
+CODECS = {"none": "none", "z": "gzip", "gzip": "gzip", "lz4": "lz4_raw", "zstd": "zstd", "snappy": "snappy"}
+
+
 @dataclass
 class Manifest:
     """The current files of a table."""
@@ -134,8 +138,9 @@ class Table:
         """Writes rows as new files, sorted by primary key within each, so that row groups can be skipped by key."""
         folder = f"data-{uuid.uuid4().hex}"
         self.made.append(folder)
+        codec = CODECS.get(self.meta.options.get("COMPRESSOR", "zstd").lower(), "zstd")
         typed = [F.col(f"`{c.name}`").cast(c.type.spark).alias(c.name) for c in self.meta.columns]
-        df.select(*typed).sortWithinPartitions(*self.meta.primary_key).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        df.select(*typed).sortWithinPartitions(*self.meta.primary_key).write.option("compression", codec).parquet(f"{self.path}/{folder}")
         fs, p = file_system(self.spark, f"{self.path}/{folder}")
         return [f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]
 

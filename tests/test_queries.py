@@ -42,3 +42,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 3
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hashes(spark):
+    """Brute force of the two queries that SQL cannot express."""
+    from tablekit.functions.kernels import fnv63, murmur2_64a
+
+    names = {r.c_custkey: fnv63(r.c_name) for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    assert {r.c_custkey: r.hash for r in queries.QUERIES["map_hash63"](spark, SF).collect()} == names
+    last = {}
+    for r in sorted(spark.read.parquet(f"{SF}/lineitem.parquet").collect(), key=lambda r: (r.l_orderkey, r.l_linenumber)):
+        last.setdefault(r.l_returnflag, {}).setdefault((r.l_orderkey, r.l_linenumber), set()).add(murmur2_64a(f"#{r.l_returnflag}#{r.l_linestatus}".encode()))
+    for r in queries.QUERIES["agg_hash_groups"](spark, SF).collect():
+        group = last[r.l_returnflag]
+        assert r.hash in group[max(group)]

@@ -115,3 +115,11 @@ def test_model(spark, tmp_path_factory, steps):
             engine.sql(f"UPDATE {t} SET v = {v} WHERE k <= {k}")
             model = {a: v if a <= k else b for a, b in model.items()}
     assert rows(engine.open(t)) == sorted(model.items(), key=repr)
+
+
+def test_options(engine, tmp_path):
+    t = f"{tmp_path}/o.tkt"
+    engine.sql(f"CREATE TABLE {t} (id INT64, PRIMARY KEY (id)) COMPRESSOR=lz4, WAL=LOG, CACHE=1M")
+    engine.sql(f"INSERT INTO {t} VALUES (1)")
+    assert [p.suffixes for p in tmp_path.glob("o.tkt/data-*/*.parquet")][0][-2:] == [".lz4raw", ".parquet"] and engine.rows(t) == 1
+    assert "COMPRESSOR=lz4" in engine.sql(f"META {t}").head()[0]
