@@ -90,12 +90,20 @@ def records(text: str, d: Dialect) -> Iterator[str]:
 
 
 def cells_of(line: Column, d: Dialect) -> Column:
-    """The cells of a line as an array of strings, by JVM expressions alone."""
+    """The cells of a line as an array of strings, by JVM expressions alone.
+
+    Lines without a quote or an escape, which are most, are only split.
+    """
     q = re.escape(d.delimiter)
+
+    def known(cells: Column) -> Column:
+        return F.transform(cells, lambda c: F.when(c != d.null, c))
+
     if d.quote:
         k = re.escape(d.quote)
         raw = F.regexp_extract_all(F.concat(F.lit(d.delimiter), line), F.lit(f"{q}({k}(?:[^{k}]|{k}{k})*{k}|[^{q}]*)"), F.lit(1))
-        return F.transform(raw, lambda c: F.when(c.startswith(d.quote) & c.endswith(d.quote) & (F.length(c) > 1), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit(d.quote * 2), F.lit(d.quote))).when(c != d.null, c))
+        full = F.transform(raw, lambda c: F.when(c.startswith(d.quote) & c.endswith(d.quote) & (F.length(c) > 1), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit(d.quote * 2), F.lit(d.quote))).when(c != d.null, c))
+        return F.when(line.contains(d.quote), full).otherwise(known(F.split(line, q, -1)))
     marked = F.replace(line, F.lit("\\\\"), F.lit(MARK))
 
     def plain(c: Column) -> Column:
@@ -104,7 +112,9 @@ def cells_of(line: Column, d: Dialect) -> Column:
             out = F.replace(out, F.lit(f"\\{letter}"), F.lit(char))
         return F.replace(F.regexp_replace(out, r"\\([\s\S])", "$1"), F.lit(MARK), F.lit("\\"))
 
-    return F.transform(F.split(marked, f"(?<!\\\\){q}", -1), lambda c: F.when(c != d.null, F.when(c.contains("\\") | c.contains(MARK), plain(c)).otherwise(c)))
+    full = F.transform(F.split(marked, f"(?<!\\\\){q}", -1), lambda c: F.when(c != d.null, F.when(c.contains("\\") | c.contains(MARK), plain(c)).otherwise(c)))
+    simple = F.split(line, q, -1)
+    return F.when(line.contains("\\"), full).otherwise(simple if "\\" in d.null else known(simple))
 
 
 def read(spark: SparkSession, paths: list[str], meta: Meta | None, d: Dialect, multi_line: bool | None = None) -> DataFrame:
