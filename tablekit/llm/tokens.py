@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ from .common import strings
 
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 #: The most distinct words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 
 
 @functools.cache
@@ -114,23 +115,29 @@ def gathered(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, index: np
 
 
 class WordCoder:
-    """Ids of texts by way of their distinct pre-tokens; a worker keeps the ids of CACHED_WORDS words.
+    """Ids of texts by way of their distinct pre-tokens; a worker keeps the ids of up to CACHED_WORDS words.
 
-    ``encode`` gives each word's ids as little-endian 32-bit integers.
+    ``encode`` gives each word's ids as little-endian 32-bit integers. When half of the cache is full, words that are not
+    met again before the other half is full are forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], of: Callable[[np.ndarray], np.ndarray] | None = None):
-        self.encode, self.of, self.known = encode, of, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], of: Callable[[np.ndarray], np.ndarray] | None = None):
+        self.encode, self.of, self.known, self.older = encode, of, {}, {}
+
+    def _lookup(self, listed: list[bytes]) -> list[bytes]:
+        missing = [w for w in listed if w not in self.known]
+        if len(self.known) + len(missing) > CACHED_WORDS // 2:
+            self.known, self.older, missing = {}, self.known, listed
+        older = self.older
+        self.known.update((w, older[w]) for w in missing if w in older)
+        new = [w for w in missing if w not in older]
+        self.known.update(zip(new, self.encode(new)))
+        return [*map(self.known.__getitem__, listed)]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
         distinct, index, counts = words(data, offsets, self.of)
-        listed = distinct.to_pylist()
-        if new := [w for w in listed if w not in self.known]:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known, new = {}, listed
-            self.known.update(zip(new, self.encode([w.decode() for w in new])))
-        pieces = [*map(self.known.__getitem__, listed)]
+        pieces = self._lookup(distinct.to_pylist())
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         flat = np.frombuffer(b"".join(pieces), np.uint32)
         ids, each = gathered(flat, np.cumsum(lengths) - lengths, lengths, index)
@@ -139,6 +146,14 @@ class WordCoder:
         return ids, ends[last] - ends[last - counts]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 characters for themselves, the
+    other bytes in order for the characters from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 @functools.cache
 def hub_coder(path: str) -> WordCoder:
     """By the tokenizers library; the strings of special tokens in a text are ordinary text."""
@@ -146,16 +161,13 @@ def hub_coder(path: str) -> WordCoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def encode(new: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(new), 500):
-            part = new[k : k + 500]
-            found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            cuts = (np.searchsorted(found.word_ids, np.arange(len(part) + 1)) * 4).tolist()
-            ids = np.array(found.ids, np.uint32).tobytes()
-            out += [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+    model, letters = tokenizer.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
+    def encode(new: list[bytes]) -> list[bytes]:
+        out = []
+        for word in new:
+            tokens = model.tokenize(word.decode("latin-1").translate(letters))
+            out.append(struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
         return out
 
     split = tokenizer.pre_tokenizer.pre_tokenize_str
