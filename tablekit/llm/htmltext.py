@@ -37,7 +37,8 @@ ADJACENT, SIBLING = 0.6, 0.8
 SCALE = 1000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+NAMING = frozenset("class id role itemprop".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -46,10 +47,12 @@ def _state(tag: str, attributes: str, state: int) -> int:
     if state == -2 or tag in BOILER_TAGS:
         return -2
     words = set()
-    for m in ATTRIBUTE.finditer(attributes) if "=" in attributes or "hidden" in attributes else ():
-        if m[5]:
+    for m in ATTRIBUTE.finditer(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return -1
-        words |= {w.lower() for w in WORD.findall(m[2] or m[3] or m[4] or "")}
+        if name in NAMING:
+            words |= {w.lower() for w in WORD.findall(value)}
     if words & BOILER_WORDS and tag not in ("html", "body") and tag not in CONTENT_TAGS:
         return -1
     if tag in CONTENT_TAGS:

@@ -98,6 +98,18 @@ def test_html(spark):
     assert htmltext.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_hidden():
+    """Only an attribute of that name hides, and aria-hidden only if it is true."""
+    body = "Long enough text to be the main text of this page here. " * 6
+    shown = ("style=\"overflow:hidden\"", "style='visibility: hidden'", "aria-hidden=\"false\"", "aria-hidden=false", "data-hidden", "data-hidden=1", "class=overflow-hidden", "title=\"x hidden y\"", "title='a \" hidden'")
+    for a in shown:
+        for page in (f"<body {a}><p>{body}</p></body>", f"<div {a}><p>{body}</p></div>", f"<article {a}><p>{body}</p></article>"):
+            assert htmltext.main_text(page) == body.strip(), page
+    for a in ("hidden", "HIDDEN", "hidden=\"\"", "id=x hidden", "hidden id=x", "aria-hidden=\"true\"", "aria-hidden='TRUE'", "aria-hidden=true"):
+        assert htmltext.main_text(f"<div {a}><p>{body}</p></div><p>{body}") == body.strip(), a
+    assert htmltext.main_text(f"<div class=\"x\"id='sidebar'><p>{body}</p></div><p>{body}") == body.strip()
+
+
 def test_minimum_cut():
     """Against all labellings of small graphs."""
     r = random.Random(1)
