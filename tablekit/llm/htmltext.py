@@ -15,7 +15,10 @@ from .common import chunks, narrow
 
 # HTML's elements by role, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option canvas audio video".split())
+RAW = frozenset("script style textarea title iframe".split())
+EXCLUDED = frozenset("noscript template svg object select canvas audio video".split())
+#: Those out of which an end tag does not close an element around them.
+BARRIER = frozenset("noscript template object select".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -40,10 +43,13 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
 NAMING = frozenset("class id role itemprop".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ANY_EXCLUDED = re.compile(rf"<(?:{'|'.join(sorted(EXCLUDED))})(?=[\s/>]|\Z)", re.I)
 
 
 def _state(tag: str, attributes: str, state: int) -> int:
-    """-2: inside an element that is boilerplate by its tag, -1: by its attributes, 0: unknown, 1: hint, 2: article."""
+    """-3: inside an option, -2: an element that is boilerplate by its tag, -1: by its attributes, 0: unknown, 1: hint, 2: article."""
+    if state == -3 or tag == "option":
+        return -3
     if state == -2 or tag in BOILER_TAGS:
         return -2
     words = set()
@@ -62,6 +68,59 @@ def _state(tag: str, attributes: str, state: int) -> int:
     return state
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def excluded(page: str) -> dict[int, int]:
+    """Where the EXCLUDED elements that their own end tag closes end, by the end of their start tag.
+
+    The others, whose end tag is missing, hide nothing: an element around them was closed first, or the page ended.
+    """
+    out: dict[int, int] = {}
+    if not ANY_EXCLUDED.search(page):
+        return out
+    levels: list[tuple[list[tuple[str, int]], dict[str, int]]] = [([], {})]  # elements, and how many of each, within each barrier
+    total = dict.fromkeys(EXCLUDED, 0)
+    at = 0
+    while m := TAG.search(page, at):
+        at = m.end()
+        tag = m[2].lower() if m[2] else ""
+        if not tag or tag in VOID:
+            continue
+        while m[1] and total.get(tag) and not levels[-1][1].get(tag):  # a barrier whose end tag is missing
+            for name, _ in levels.pop()[0]:
+                if name in total:
+                    total[name] -= 1
+        stack, opened = levels[-1]
+        if not m[1]:
+            if m[3].endswith("/") and (tag in RAW or tag in EXCLUDED):
+                continue
+            if tag in RAW:
+                at = _after_raw(page, tag, at)
+                continue
+            if tag in EXCLUDED:
+                total[tag] += 1
+            if tag in BARRIER:
+                levels.append(([(tag, at)], {tag: 1}))
+            else:
+                stack.append((tag, at))
+                opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag):
+            name = ""
+            while name != tag:
+                name, start = stack.pop()
+                opened[name] -= 1
+                if name in total:
+                    total[name] -= 1
+            if tag in EXCLUDED:
+                out[start] = at
+            if tag in BARRIER:
+                levels.pop()
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, evidence for content, parent element) of the page's blocks that have text, in page order."""
     out: list[tuple[str, float, int]] = []
@@ -70,6 +129,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
     text: list[str] = []
     linked = links = numbered = at = 0
     heading = paragraph = False
+    hidden = excluded(page)
 
     def flush() -> None:
         nonlocal linked, heading, paragraph
@@ -87,7 +147,9 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and stack[-1][1] == -3:
+            text.append(" ")
+        elif raw:
             text.append(html.unescape(raw) if "&" in raw else raw)
             if links:
                 linked += len(text[-1].strip())
@@ -109,10 +171,15 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         tag = m[2].lower()
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = _after_raw(page, tag, at)
+            text.append(" ")
+            continue
+        if tag in EXCLUDED:
+            at = hidden.get(at, at)
             text.append(" ")
             continue
+        if opened.get("option") and not m[1] and (tag in BLOCK or tag in ("option", "optgroup")):
+            pop("option")
         if tag in BLOCK:
             flush()
         elif tag == "br":

@@ -110,6 +110,24 @@ def test_html_hidden():
     assert htmltext.main_text(f"<div class=\"x\"id='sidebar'><p>{body}</p></div><p>{body}") == body.strip()
 
 
+def test_html_elements_that_are_not_raw():
+    """Nothing but what a missing end tag's element itself holds is lost, nested ones end together, math is text."""
+    body = ("Long enough text to be the main text of this page here. " * 6).strip()
+    lost = "Words that nobody sees. " * 20
+    article = f"<article><p>{body}</p></article>"
+    for before in (
+        "<datalist><option value=a><option value=b></datalist>", "<form><select><option>A<option>B</select></form>", "<option>A", "<div><select><option>A<option>B</div>",
+        *(f"<{t} class=x>" for t in ("svg", "object", "canvas", "audio", "video", "noscript", "template", "select", "math")), "<svg/>", "</svg></video>", "<video src=a><video src=b></video>",
+        f"<object><object>{lost}</object>{lost}</object>", f"<svg><g><path/><svg></svg><text>{lost}</text></g></svg>", f"<noscript></div></p>{lost}</noscript>", f"<template><p>{lost}<script>'</template>'</script>{lost}</template>", f"<select><optgroup><option>{lost}</select>", f"<NOSCRIPT>{lost}</NoScript >", f"<noscript><select>{lost}</noscript>",
+    ):
+        assert htmltext.main_text(f"<body><div>{before}{article}</div></body>") == body, before
+    assert htmltext.main_text(f"<div><video src=a></div>{article}<video>{lost}</video>") == body
+    assert htmltext.main_text(f"<article><p>{body} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> end</p></article>") == f"{body} x=1 end"
+    assert htmltext.main_text(f"<article><p>{body} a<svg><p>no</p></svg>b a<option>no</option>b <canvas>no</canvas>c</p></article>") == f"{body} a b a b c"
+    assert htmltext.main_text(f"<article><p>{body}<object><p>{body}</p></article>") == f"{body}\n\n{body}"
+    assert htmltext.main_text("<svg>" * 20_000 + article + "<object>" * 20_000 + "</div>" * 20_000) == body
+
+
 def test_minimum_cut():
     """Against all labellings of small graphs."""
     r = random.Random(1)
