@@ -34,15 +34,20 @@ CACHED_TOKENS = 200_000
 # The letters of the language model (0 is a word's edge, 1 any other character), leetspeak, channel costs.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
-SEPARATORS = "._-~'`·/\\*"
+SEPARATORS = "._-~'`·/\\* "
 COSTS = {"leet": 1.0, "separator": 0.5, "repeat": 0.8, "stay": 3.0}
 SIZE = 64
 CODE = {c: k + 2 for k, c in enumerate(LETTERS)}
 LONGEST = 64
 
-EDGES = re.compile(r"^[\s\"'(\[{<,;:.?¿&%#*=~`^_/\\>-]+|(?:[\s\"')\]}>,;:.?%#&=~`^_/\\-]|[!$*+|]{2,}|[!*](?=\W*$))+$")
+#: Signs before a word, and those after it, last first; a single ! or * may be a letter if an underscore follows.
+HEAD = re.compile(r"[\s\"'(\[{<,;:.?¿&%#*=~`^_/\\>-]*+")
+TAIL = re.compile(r"(?:[\s\"')\]}>,;:.?%#&=~`^/\\-]|[!$*+|]{2,}+|[!*])*+(?:[\s\"')\]}>,;:.?%#&=~`^_/\\-]|[!$*+|]{2,}+)*+")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?:^|[\W_])[^\W\d_](?:[._\-~'`·/\\*][^\W\d_]){2,}(?:$|[\W_])")
+SPELLED = re.compile(r"(?<![^\s._\-~'`·/\\])[^\s._\-~'`·/\\](?:[._\-~'`·/\\* ][^\s._\-~'`·/\\]){2,}(?![^\s._\-~'`·/\\])")
+BETWEEN = re.compile(r"[._\-~'`·/\\ ]+")
+JOINED = str.maketrans("", "", SEPARATORS)
 PLAIN = re.compile(r"[^\W\d_]+")
 
 
@@ -93,50 +98,65 @@ def fit_language_model(docs: DataFrame) -> CharModel:
     return CharModel(counts)
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The most likely plain word behind a token: Viterbi over a lattice in which a character stays, is the letter that a
-    digit or sign stands for, or is left out as a separator or as a repetition of the letter before it."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def restore(token: str, model: CharModel, spelled: bool = False) -> str:
+    """The most likely plain words behind a token: Viterbi over a lattice in which a character stays, is the letter that a
+    digit or sign stands for, or is left out as a separator or as a repetition of the letter before it. In a
+    token spelled out letter by letter no separator or leetspeak stays. Time is linear in the token's length."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the letters so far are linked, last first
     cost = model.cost
     for c in token:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def offer(key: tuple[int, int], price: float, text: str) -> None:
+        def offer(key: tuple[int, int], price: float, text: tuple | None) -> None:
             if key not in after or price < after[key][0]:
                 after[key] = (price, text)
 
         for (a, b), (so_far, text) in states.items():
             if c.isalpha():
                 k = CODE.get(c, 1)
-                offer((b, k), so_far + cost[a][b][k], text + c)
-                if text and text[-1] == c:
+                offer((b, k), so_far + cost[a][b][k], (c, text))
+                if text and text[0] == c:
                     offer((a, b), so_far + COSTS["repeat"], text)
             else:
                 for x in LEET.get(c, ""):
                     k = CODE[x]
-                    offer((b, k), so_far + COSTS["leet"] + cost[a][b][k], text + x)
-                    if text and text[-1] == x:
+                    offer((b, k), so_far + COSTS["leet"] + cost[a][b][k], (x, text))
+                    if text and text[0] == x:
                         offer((a, b), so_far + COSTS["leet"] + COSTS["repeat"], text)
                 if c in SEPARATORS:
                     offer((a, b), so_far + COSTS["separator"], text)
-                if c not in LEET or c.isdigit():
-                    offer((0, 0), so_far + COSTS["stay"] + cost[a][b][0], text + c)
-        states = after or {(0, 0): (0.0, token)}
-    return min((price + cost[a][b][0], text) for (a, b), (price, text) in states.items())[1]
-
-
-def plain_words(token: str, model: CharModel) -> list[str]:
-    """The words of a token without white space, restored where it looks disguised."""
+                if (c not in LEET or c.isdigit()) and not (spelled and (c in LEET or c in SEPARATORS)):
+                    offer((0, 0), so_far + COSTS["stay"] + cost[a][b][0], (c, text))
+        states = after
+    text, out = min(((price + cost[a][b][0], text) for (a, b), (price, text) in states.items()), key=lambda s: s[0])[1], []
+    while text:
+        out.append(text[0])
+        text = text[1]
+    return "".join(reversed(out))
+
+
+def readings(token: str, model: CharModel) -> tuple[list[str], list[str]]:
+    """The words of a token without white space, or of single characters with a space between each, restored where it
+    looks disguised, as a whole and between its separators; and the letters of what is spelled out one by one, in which one
+    word follows another."""
     low = token.lower()
     if low.isalpha() and not REPEATED.search(low):
-        return [low]
-    core = EDGES.sub("", low)
-    if len(core) <= LONGEST and "://" not in core and not ("@" in core and "." in core):
+        return [low], []
+    core = low[HEAD.match(low).end() :][::-1]
+    core = core[TAIL.match(core).end() :][::-1]
+    if " " in core or len(core) <= LONGEST and "://" not in core and not ("@" in core and "." in core):
         letters = sum(c.isalpha() for c in core)
         leet = any(c in LEET for c in core)
-        if letters >= 2 and (leet or REPEATED.search(core)) or SPACED.search(core):
-            return PLAIN.findall(restore(core, model)) + PLAIN.findall(core)
-    return PLAIN.findall(low)
+        if letters >= 2 and (leet or " " in core or REPEATED.search(core)) or SPACED.search(core):
+            spelled = [*PLAIN.findall(restore(core, model, True)), *PLAIN.findall(core.translate(JOINED))] if SPELLED.search(core) else []
+            parts = BETWEEN.split(core) if not spelled else []
+            own = [restore(x, model) for x in parts if sum(c.isalpha() for c in x) >= 2 and (any(c in LEET for c in x) or REPEATED.search(x))] if len(parts) > 1 else []
+            return [w for x in (restore(core, model), core, *own) for w in PLAIN.findall(x)], spelled
+    return PLAIN.findall(low), []
+
+
+def plain_words(token: str, model: CharModel) -> list[str]:
+    return readings(token, model)[0]
 
 
 def features_of(word: str) -> list[str]:
@@ -163,7 +183,7 @@ class Texts:
             while not edge[e] and single[e + 1]:
                 e += 1
             if e - s >= 2:
-                self.spaced.append((int(w.doc[s]), "".join(self.tokens[i] for i in w.ids[s : e + 1])))
+                self.spaced.append((int(w.doc[s]), " ".join(self.tokens[i] for i in w.ids[s : e + 1])))
 
 
 @dataclass
@@ -179,10 +199,17 @@ class ToxicityModel:
     def words_in(self, token: str) -> dict[str, float]:
         """The telling words of a token: the strongest evidence of each."""
         out = {}
-        for w in plain_words(token, self.language):
+        words, spelled = readings(token, self.language)
+        for w in words if not spelled else ():
             best = max((self.evidence.get(f, 0.0) for f in features_of(w)), default=0.0)
             if best:
                 out[w] = best
+        lengths = sorted({len(f) - 1 for f in self.evidence}) if spelled else []
+        for w in spelled:  # where a word ends is not known: the evidence at every start
+            for s in range(len(w)):
+                found = [(k, e) for k in lengths if s + k <= len(w) and (e := max(self.evidence.get(f"={w[s : s + k]}", 0.0), self.evidence.get(f"{w[s : s + k]}-", 0.0)))]
+                if found:
+                    out[w[s : s + found[-1][0]]] = max(e for _, e in found)
         return out
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> list[set[str]]:

@@ -335,3 +335,16 @@ def test_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in crc)
     empty = toxicity.fit(spark, docs.limit(0), labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs.limit(20), empty).collect()} == {0} and toxicity.score(docs.limit(0), model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def finder(spark):
+    language = toxicity.fit_language_model(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet"))
+    return toxicity.ToxicityModel(language, {f"={w}": 0.9 for w in ("stupid", "moron", "idiot", "damn", "bastard", "asshole")} | {"loser-": 0.8}, 0.0)
+
+
+def test_toxicity_spelled_out(finder):
+    """A spaced-out word counts wherever its run of single characters begins, and so does a second one."""
+    texts = ["such a s t u p i d thing", "I m o r o n", "you 4 i d i o t", "i d i o t m o r o n", "a u i d i 0 t so", "w h a t a l o s e r s", "u s t u p i d  m o r o n", "a a s s h o l e", "a b c d e f g", "1 2 3 4 5", "so a l o s t one"]
+    wanted = [{"stupid"}, {"moron"}, {"idiot"}, {"idiot", "moron"}, {"idiot"}, {"loser"}, {"stupid", "moron"}, {"asshole"}, set(), set(), set()]
+    assert [set(f) for f in finder.telling(*utf8(pa.array(texts)))] == wanted
