@@ -238,11 +238,13 @@ def pipeline_error_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orders_by_year(spark: SparkSession, d: str) -> str:
-    """Orders as one Parquet folder for each year, below folders named by a date."""
+    """Orders as one Parquet folder for each year that occurs, below folders named by a date, and one for null dates."""
     base = scratch(spark, "orders")
     orders = table(spark, d, "orders")
-    for year in (1995, 1996, 1997):
-        orders.filter(F.year("o_orderdate") == year).write.parquet(f"{base}/logs_{year}-01-01/orders_{year}.parquet")
+    year = F.year("o_orderdate")
+    for (y,) in orders.select(year).distinct().filter(year.isNotNull()).collect():  # one row for each year
+        orders.filter(year == y).write.parquet(f"{base}/logs_{y:04}-01-01/orders_{y:04}.parquet")
+    orders.filter(year.isNull()).write.parquet(f"{base}/logs_undated/orders_0.parquet")
     return base
 
 
@@ -251,7 +253,7 @@ _UNION = r"orders_\d+\.parquet"
 
 @registered("SELECT * FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997")
 def union_all_files(spark: SparkSession, d: str) -> DataFrame:
-    return union.read(spark, union.Descriptor(_orders_by_year(spark, d), _UNION, 3, "asc"), Engine(spark).open)
+    return union.read(spark, union.Descriptor(_orders_by_year(spark, d), r"orders_199[5-7]\.parquet", 3, "asc"), Engine(spark).open)
 
 
 @registered("SELECT * FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997")

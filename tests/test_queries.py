@@ -5,7 +5,7 @@ import pytest
 
 from tablekit import queries
 
-from .conftest import SF
+from .conftest import SF, rows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -56,3 +56,14 @@ def test_hashes(spark):
     for r in queries.QUERIES["agg_hash_groups"](spark, SF).collect():
         group = last[r.l_returnflag]
         assert r.hash in group[max(group)]
+
+
+def test_union_of_all_orders(spark, duck, tmp_path):
+    """The folders that the union queries read hold every order, of any year or without a date."""
+    from tablekit.engine import Engine
+    from tablekit.sources import union
+
+    duck.sql(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate) FROM orders) TO '{tmp_path}/orders.parquet'")
+    for d in (SF, str(tmp_path)):
+        whole = union.read(spark, union.Descriptor(queries._orders_by_year(spark, d), queries._UNION, 3), Engine(spark).open)
+        assert rows(whole) == rows(spark.read.parquet(f"{d}/orders.parquet"))
