@@ -38,11 +38,12 @@ SEPARATORS = "._-~'`·/\\* "
 COSTS = {"leet": 1.0, "separator": 0.5, "repeat": 0.8, "stay": 3.0}
 SIZE = 64
 CODE = {c: k + 2 for k, c in enumerate(LETTERS)}
-LONGEST = 64
 
 #: Signs before a word, and those after it, last first; a single ! or * may be a letter if an underscore follows.
 HEAD = re.compile(r"[\s\"'(\[{<,;:.?¿&%#*=~`^_/\\>-]*+")
 TAIL = re.compile(r"(?:[\s\"')\]}>,;:.?%#&=~`^/\\-]|[!$*+|]{2,}+|[!*])*+(?:[\s\"')\]}>,;:.?%#&=~`^_/\\-]|[!$*+|]{2,}+)*+")
+#: An e-mail address under a usual top-level domain, or a URL.
+ADDRESS = re.compile(r"(?:mailto:)?[^\W_][\w.%+-]*+@(?:[^\W_](?:[^\W_]|-)*+\.)+(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|test|example|invalid)|(?:https?|ftps?|wss?|git|ssh)://(?:[\w.%+:-]+@)?[\w-]+(?:\.[\w-]+)*+(?::\d+)?(?:[/?#].*)?", re.S)
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?:^|[\W_])[^\W\d_](?:[._\-~'`·/\\*][^\W\d_]){2,}(?:$|[\W_])")
 SPELLED = re.compile(r"(?<![^\s._\-~'`·/\\])[^\s._\-~'`·/\\](?:[._\-~'`·/\\* ][^\s._\-~'`·/\\]){2,}(?![^\s._\-~'`·/\\])")
@@ -144,7 +145,7 @@ def readings(token: str, model: CharModel) -> tuple[list[str], list[str]]:
         return [low], []
     core = low[HEAD.match(low).end() :][::-1]
     core = core[TAIL.match(core).end() :][::-1]
-    if " " in core or len(core) <= LONGEST and "://" not in core and not ("@" in core and "." in core):
+    if not ADDRESS.fullmatch(core):
         letters = sum(c.isalpha() for c in core)
         leet = any(c in LEET for c in core)
         if letters >= 2 and (leet or " " in core or REPEATED.search(core)) or SPACED.search(core):

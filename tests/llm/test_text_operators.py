@@ -348,3 +348,13 @@ def test_toxicity_spelled_out(finder):
     texts = ["such a s t u p i d thing", "I m o r o n", "you 4 i d i o t", "i d i o t m o r o n", "a u i d i 0 t so", "w h a t a l o s e r s", "u s t u p i d  m o r o n", "a a s s h o l e", "a b c d e f g", "1 2 3 4 5", "so a l o s t one"]
     wanted = [{"stupid"}, {"moron"}, {"idiot"}, {"idiot", "moron"}, {"idiot"}, {"loser"}, {"stupid", "moron"}, {"asshole"}, set(), set(), set()]
     assert [set(f) for f in finder.telling(*utf8(pa.array(texts)))] == wanted
+
+
+def test_toxicity_long_and_address_like_tokens(finder):
+    """Tokens of any length are decoded; only whole addresses and URLs are not."""
+    words = "you are not a very nice one to me and".split()
+    texts = [".".join("".join([*words * 3, "stupid"])), "_".join([*words * 3, "m0ron", *words * 3]), "d.@.m.n", "b@st.ard", "x" * 100 + "_$tupid", "y.o.u." * 20_000 + "1.d.i.o.t", "!" * 50_000 + "a"]
+    wanted = [{"stupid"}, {"moron"}, {"damn"}, {"bastard"}, {"stupid"}, {"idiot"}, set()]
+    assert [set(f) for f in finder.telling(*utf8(pa.array(texts)))] == wanted
+    plain = ["st.up1d@example.com", "http://a.com/st.up1d", "https://u:p@st.up1d.org:80/m0ron?x=1d.i.o.t", "mailto:m0ron@a.b.de"]
+    assert finder.telling(*utf8(pa.array(plain))) == [{}] * 4
