@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, utf8, written
+from .common import chunks, mixed, narrow, utf8, written
 from .minhash import shingle_sets
 from .words import Words
 
@@ -246,7 +246,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _training(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(sketch, toxic, text) of labelled documents that may be learned from, one for each group of near copies."""
+    """(f1, f2, toxic, text) of labelled documents that may be learned from, one for each set of shingles."""
     own = narrow(labels, "doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     both = narrow(docs, "doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")  # at most ``most`` pairs of numbers
@@ -254,14 +254,15 @@ def _training(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 2):
             h, counts = shingle_sets(*utf8(part.column(2)), 3)
-            sketch = np.zeros(len(counts), np.uint64)
+            f = np.zeros((2, len(counts)), np.uint64)
             full = np.flatnonzero(counts)
             if len(full):
-                sketch[full] = np.minimum.reduceat(h, (np.cumsum(counts) - counts)[full])
-            yield pa.RecordBatch.from_arrays([pa.array(sketch.view(np.int64)), *part.columns], ["sketch", "doc_id", "toxic", "text"])
+                first = (np.cumsum(counts) - counts)[full]
+                f[0, full], f[1, full] = np.add.reduceat(mixed(h), first), np.add.reduceat(mixed(~h), first)
+            yield pa.RecordBatch.from_arrays([pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), *part.columns], ["f1", "f2", "doc_id", "toxic", "text"])
 
-    table = written(spark, both.mapInArrow(run, f"sketch bigint, doc_id {both.schema['doc_id'].dataType.simpleString()}, toxic int, text string"), "labelled")
-    return table.groupBy("sketch", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
+    table = written(spark, both.mapInArrow(run, f"f1 bigint, f2 bigint, doc_id {both.schema['doc_id'].dataType.simpleString()}, toxic int, text string"), "labelled")
+    return table.groupBy("f1", "f2", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
 
 
 def log_tail(k: int, n: int, p: float) -> float:
@@ -295,7 +296,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
     """Learns the language model from all texts and the evidence from a bounded sample of labelled ones.
 
     A feature (a restored word or its prefix) is evidence if toxic documents have it more often than chance allows for
-    any of the features tested, and if all but few documents with it are toxic. Near copies count once. Features are
+    any of the features tested, and if all but few documents with it are toxic. Texts of the same shingles count once. Features are
     counted in parts and summed up; only those that pass, and which of them each document of the sample has, reach the
     driver, which picks those that explain the labels.
     """

@@ -358,3 +358,13 @@ def test_toxicity_long_and_address_like_tokens(finder):
     assert [set(f) for f in finder.telling(*utf8(pa.array(texts)))] == wanted
     plain = ["st.up1d@example.com", "http://a.com/st.up1d", "https://u:p@st.up1d.org:80/m0ron?x=1d.i.o.t", "mailto:m0ron@a.b.de"]
     assert finder.telling(*utf8(pa.array(plain))) == [{}] * 4
+
+
+def test_toxicity_training_keeps_distinct_texts(spark):
+    """Texts that share most of their words but not all are all learned from; copies count once."""
+    shared = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(k, f"{shared} own{k // 2}") for k in range(400)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    wanted = {k // 2 for k in range(400) if zlib.crc32(str(k).encode()) % 3 != 1}
+    found = [r.text for r in toxicity._training(spark, docs, labels, 1000).collect()]
+    assert sorted(found) == sorted(f"{shared} own{k}" for k in wanted)
