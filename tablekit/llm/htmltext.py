@@ -7,6 +7,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 BOILER_TAGS = frozenset("aside button dialog fieldset footer form head header legend menu nav".split())
+WRAPPER_TAGS = frozenset("fieldset form".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments commentlist complementary "
@@ -33,10 +35,16 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
-# The classifier's evidence for content, in units of a smoothness edge.
-EVIDENCE = {"bias": -0.5, "boiler": -12.0, "content": 6.0, "hint": 2.0, "link": -4.0, "heading": 0.5, "paragraph": 1.0}
+#: Words that are boilerplate however much of the page's text they hold.
+READERS_WORDS = frozenset("comment comments commentlist disqus replies reply".split())
+
+#: The classifier's costs, in units of an edge as a page's blocks have it: what containers say, then what the text says (up
+#: to ``length`` for long ones, ``link`` for text that is all links). Soft enough for neighbours to outvote.
+EVIDENCE = {"bias": -0.5, "boiler_tag": -6.0, "boiler": -5.0, "content": 3.0, "hint": 1.5, "link": -4.0, "length": 2.0, "heading": 0.5, "paragraph": 1.0}
 #: Capacities between blocks that follow each other, and between those with the same parent element.
 ADJACENT, SIBLING = 0.6, 0.8
+#: An element that claims to be boilerplate but holds more than this share of the page's characters only wraps the page.
+WRAPS = 0.5
 SCALE = 1000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
@@ -46,26 +54,41 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ANY_EXCLUDED = re.compile(rf"<(?:{'|'.join(sorted(EXCLUDED))})(?=[\s/>]|\Z)", re.I)
 
 
-def _state(tag: str, attributes: str, state: int) -> int:
-    """-3: inside an option, -2: an element that is boilerplate by its tag, -1: by its attributes, 0: unknown, 1: hint, 2: article."""
-    if state == -3 or tag == "option":
-        return -3
-    if state == -2 or tag in BOILER_TAGS:
-        return -2
-    words = set()
-    for m in ATTRIBUTE.finditer(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return -1
-        if name in NAMING:
-            words |= {w.lower() for w in WORD.findall(value)}
-    if words & BOILER_WORDS and tag not in ("html", "body") and tag not in CONTENT_TAGS:
-        return -1
-    if tag in CONTENT_TAGS:
-        return 2
-    if words & CONTENT_WORDS and state == 0 and tag != "body":
-        return 1
-    return state
+#: What an element says of its text: hint of content (1) or that it is an article (2), and claims to be boilerplate.
+State = tuple[int, tuple[int, ...]]
+
+
+class Claims:
+    """Elements that say that they are boilerplate: by tag or by attributes, and whether they may only wrap the page."""
+
+    def __init__(self) -> None:
+        self.cost: list[float] = []
+        self.wrapper: list[bool] = []
+
+    def add(self, cost: float, wrapper: bool) -> int:
+        self.cost.append(cost)
+        self.wrapper.append(wrapper)
+        return len(self.cost) - 1
+
+    def state(self, tag: str, attributes: str, state: State) -> State:
+        kind, claims = state
+        words, hidden = set(), False
+        for m in ATTRIBUTE.finditer(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            hidden = hidden or name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true"
+            if name in NAMING:
+                words |= {w.lower() for w in WORD.findall(value)}
+        if hidden:
+            return kind, (*claims, self.add(2 * EVIDENCE["boiler_tag"], False))
+        if tag in BOILER_TAGS and not (tag == "header" and kind == 2):  # an article's own header is part of it
+            return kind, (*claims, self.add(EVIDENCE["boiler_tag"], tag in WRAPPER_TAGS))
+        if tag in CONTENT_TAGS:  # within what is boilerplate by its attributes an article is one
+            return 2, tuple(c for c in claims if self.cost[c] <= EVIDENCE["boiler_tag"])
+        if words & BOILER_WORDS and not words & CONTENT_WORDS and tag not in ("html", "body"):
+            return kind, (*claims, self.add(EVIDENCE["boiler"], not words & READERS_WORDS))
+        if words & CONTENT_WORDS and not kind and tag != "body":
+            return 1, claims
+        return state
 
 
 def _after_raw(page: str, tag: str, at: int) -> int:
@@ -121,33 +144,41 @@ def excluded(page: str) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, float, int]]:
-    """(text, evidence for content, parent element) of the page's blocks that have text, in page order."""
-    out: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, state, number
+@dataclass
+class Block:
+    """A block's text, its characters inside links, its innermost block element, what its containers say, its parent element."""
+
+    text: str
+    linked: int
+    tag: str
+    state: State
+    parent: int
+
+
+def blocks(page: str) -> tuple[list[Block], Claims]:
+    """The blocks of a page that have text, in page order."""
+    out: list[Block] = []
+    claims = Claims()
+    stack: list[tuple[str, State, int]] = [("", (0, ()), 0)]  # tag, state, number
     opened: dict[str, int] = {}
     text: list[str] = []
     linked = links = numbered = at = 0
-    heading = paragraph = False
     hidden = excluded(page)
 
     def flush() -> None:
-        nonlocal linked, heading, paragraph
+        nonlocal linked
         if text:
             words = " ".join("".join(text).split())
             if words:
-                state, e = stack[-1][1], EVIDENCE["bias"]
-                e += EVIDENCE["boiler"] if state < 0 else EVIDENCE["content"] if state == 2 else EVIDENCE["hint"] if state else 0
-                e += EVIDENCE["link"] * min(1, linked / len(words)) + min(2.0, math.log2(1 + len(words) / 60))
-                e += EVIDENCE["heading"] * heading + EVIDENCE["paragraph"] * paragraph
-                parent = next((n for t, _, n in reversed(stack[:-1]) if t in BLOCK), 0) if stack[-1][0] in BLOCK else stack[-1][2]
-                out.append((words, e, parent))
+                own = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), 0)
+                parent = next((stack[k][2] for k in range(own - 1, -1, -1) if stack[k][0] in BLOCK), 0) if own == len(stack) - 1 else stack[-1][2]
+                out.append(Block(words, linked, stack[own][0], stack[-1][1], parent))
             text.clear()
-        linked, heading, paragraph = 0, False, False
+        linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and stack[-1][1] == -3:
+        if raw and opened.get("option"):
             text.append(" ")
         elif raw:
             text.append(html.unescape(raw) if "&" in raw else raw)
@@ -193,21 +224,98 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack[-1][0] == tag or tag == "p" and opened.get("p") and not any(t in BLOCK and t != "p" for t, _, _ in stack[-3:]):
             pop(tag)
         numbered += 1
-        stack.append((tag, _state(tag, m[3], stack[-1][1]), numbered))
+        stack.append((tag, claims.state(tag, m[3], stack[-1][1]), numbered))
         opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
-        heading, paragraph = tag[0] == "h" and tag[1:].isdigit(), tag == "p"
     add(page[at:])
     flush()
+    return out, claims
+
+
+def evidence(found: list[Block], claims: Claims) -> list[float]:
+    """What the classifier gives for content (above 0) or boilerplate (below) for each block by itself.
+
+    A claim is void where its element wraps the page: it holds more than WRAPS of all characters, and no article or main
+    element outside of it has text.
+    """
+    total, articles = sum(len(b.text) for b in found), sum(len(b.text) for b in found if b.state[0] == 2)
+    held, inside = [0] * len(claims.cost), [0] * len(claims.cost)
+    for b in found:
+        for c in b.state[1]:
+            held[c] += len(b.text)
+            inside[c] += len(b.text) * (b.state[0] == 2)
+    valid = [not (w and h > WRAPS * total and i == articles) for w, h, i in zip(claims.wrapper, held, inside)]
+    out = []
+    for b in found:
+        kind, own = b.state
+        e = EVIDENCE["bias"] + min((claims.cost[c] for c in own if valid[c]), default=EVIDENCE["content"] if kind == 2 else EVIDENCE["hint"] * kind)
+        e += EVIDENCE["link"] * min(1, b.linked / len(b.text)) + min(EVIDENCE["length"], math.log2(1 + len(b.text) / 60))
+        e += EVIDENCE["heading"] * (b.tag[0:1] == "h" and b.tag[1:].isdigit()) + EVIDENCE["paragraph"] * (b.tag == "p")
+        out.append(e)
     return out
 
 
+def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between blocks that follow each other, and between one and the next of the same parent element."""
+    last: dict[int, int] = {}
+    edges = [(i, i + 1, ADJACENT) for i in range(len(found) - 1)]
+    for i, b in enumerate(found):
+        if b.parent in last:
+            edges.append((last[b.parent], i, SIBLING))
+        last[b.parent] = i
+    return edges
+
+
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source's side of a minimum cut.
 
     A node of positive gain hangs on the source with that capacity, one of negative gain on the sink; an edge costs its
-    capacity if it is cut. Dinic's algorithm over integers; without both kinds of nodes there is nothing to cut.
+    capacity if it is cut. Flow through nodes of at most two edges is routed first: such a node is replaced by what it
+    passes on to its neighbours' terminals and by one edge between them (the series and parallel rules), without a change
+    of the minimum. Edges of a page are nested as its elements are, so that takes all of a page's nodes, in time linear in
+    their number; what is left of other graphs is solved by max_flow(). Labels then follow backwards.
     """
+    gain, near = list(gain), [dict() for _ in gain]
+    for a, b, c in edges:
+        if a != b:
+            near[a][b] = near[b][a] = near[a].get(b, 0.0) + c
+    gone, done = [False] * len(gain), []
+    queue = [i for i in range(len(gain)) if len(near[i]) <= 2]
+    while queue:
+        x = queue.pop()
+        if gone[x] or len(near[x]) > 2:
+            continue
+        gone[x] = True
+        g, around = gain[x], list(near[x].items())
+        done.append((x, g, around))
+        for u, _ in around:
+            del near[u][x]
+        if len(around) == 1:
+            (u, a), = around
+            gain[u] -= min(a, -g) - min(0.0, a - g)
+        elif len(around) == 2:
+            (u, a), (v, b) = around
+            none, both, left, right = min(0.0, a + b - g), min(a + b, -g), min(a, b - g), min(b, a - g)
+            c = max(0.0, (left + right - none - both) / 2)
+            gain[u] -= left - none - c
+            gain[v] -= right - none - c
+            if c > 0:
+                near[u][v] = near[v][u] = near[u].get(v, 0.0) + c
+        queue += [u for u, _ in around if len(near[u]) <= 2]
+    kept = [False] * len(gain)
+    rest = [i for i in range(len(gain)) if not gone[i]]
+    if rest:
+        number = {i: k for k, i in enumerate(rest)}
+        inner = [(number[i], number[j], c) for i in rest for j, c in near[i].items() if i < j]
+        for i, side in zip(rest, max_flow([gain[i] for i in rest], inner)):
+            kept[i] = side
+    for x, g, around in reversed(done):
+        kept[x] = sum(c if kept[u] else -c for u, c in around) + g > 1e-9
+    return kept
+
+
+def max_flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The source's side of a minimum cut, by Dinic's algorithm over integers."""
     n = len(gain)
     if all(g > 0 for g in gain) or all(g <= 0 for g in gain):
         return [g > 0 for g in gain]
@@ -260,22 +368,16 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 def main_text(page: str | None) -> str:
     """The main text of one page; see extract_text()."""
-    found = blocks(page or "")
-    last: dict[int, int] = {}
-    edges = [(i, i + 1, ADJACENT) for i in range(len(found) - 1)]
-    for i, (_, _, parent) in enumerate(found):
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    return "\n\n".join(b[0] for b, keep in zip(found, minimum_cut([b[1] for b in found], edges)) if keep)
+    found, claims = blocks(page or "")
+    return "\n\n".join(b.text for b, keep in zip(found, minimum_cut(evidence(found, claims), smoothness(found))) if keep)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page row (page_id, url, html); no shuffle.
 
     A null or empty page has the empty text and 0 characters; null ids and urls stay null; repeated rows each get
-    their row; broken or cut-off markup is read as far as it goes; an empty table gives an empty result; further
-    columns are ignored.
+    their row; broken or cut-off markup is read as far as it goes, very long pages whole, in time linear in their length;
+    an empty table gives an empty result; further columns are ignored.
     """
     src = narrow(pages, "page_id", "url", "html")
 
