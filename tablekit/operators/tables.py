@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from datetime import date, datetime
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from ..plans.ast import Literal
 from ..plans.parser import parse
 from ..plans.predicates import constant, predicate, resolver
 from ..schema import Meta
-from ..sources.paths import delete, exists, file_system, read_text, write_text
+from ..sources.paths import delete, exists, file_system, names, read_text, write_text
 from ..sources.registry import sidecar
 
 
@@ -25,13 +27,53 @@ from ..sources.registry import sidecar
 CODECS = {"none": "none", "z": "gzip", "gzip": "gzip", "lz4": "lz4_raw", "zstd": "zstd", "snappy": "snappy"}
 
 
+#: Manifests that are kept, so that readers of an older one still find it and its files' names.
+KEPT = 4
+
+
+@dataclass(frozen=True)
+class File:
+    """A data file and the least and largest value of the first key column in it; None: not known."""
+
+    path: str
+    low: str | float | None = None
+    high: str | float | None = None
+
+    def meets(self, low: Any, high: Any) -> bool:
+        """Whether it may hold a key from ``low`` to ``high``."""
+        return None in (self.low, self.high, low, high) or type(self.low) is not type(low) or self.low <= high and low <= self.high
+
+
+def plain(value: Any) -> str | float | None:
+    """A key as JSON can hold it, in an order that is the value's own; None for kinds without one."""
+    if isinstance(value, bool) or not isinstance(value, int | str | date | datetime):
+        return None
+    return value.isoformat() if isinstance(value, date | datetime) else value
+
+
 @dataclass
 class Manifest:
     """The current files of a table."""
 
-    files: list[str] = field(default_factory=list)
+    files: list[File] = field(default_factory=list)
     version: int = 0
 
+    def text(self) -> str:
+        return json.dumps({"version": self.version, "files": [asdict(f) for f in self.files]})
+
+    @classmethod
+    def of(cls, text: str) -> Manifest:
+        found = json.loads(text)
+        return cls([File(**f) for f in found["files"]], found["version"])
+
+
+def observed(seen: Observation) -> dict[str, int]:
+    """What was observed; nothing where adaptive execution found that there are no rows, and left the observation out."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
 
 def stored(value: Literal, column) -> Column:
     """A constant as a column stores it: decimals rounded toward minus infinity, text read by the column's type."""
@@ -41,8 +83,10 @@ def stored(value: Literal, column) -> Column:
 class Table:
     """A table in the folder ``path``.
 
-    Changes write new files and then replace the manifest, so readers see the state before or after. Only files that hold
-    rows of a change are written again. Outside a transaction each change commits by itself.
+    Changes write new files, then a manifest of the next number, which becomes current as it gets its name: there is no
+    moment without one, and readers see the state before or after. Files are dealt out by ranges of the key, and the
+    manifest has each file's range, so a change reads and writes again only files that may hold its rows. Outside a
+    transaction each change commits by itself; a statement that fails leaves no trace, also within a transaction.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -59,7 +103,7 @@ class Table:
         if exists(spark, path) or exists(spark, sidecar(path)):
             raise EngineError("INVALID_OPERATION", f"{path} exists")
         meta.primary_key  # noqa: B018  raises if there is none
-        write_text(spark, f"{path}/MANIFEST", json.dumps({"version": 0, "files": []}))
+        write_text(spark, f"{path}/manifest/{0:012}", Manifest().text())
         write_text(spark, sidecar(path), meta.ddl())
         return cls(spark, path)
 
@@ -73,21 +117,26 @@ class Table:
     def manifest(self) -> Manifest:
         if self.staged is not None:
             return self.staged
-        found = json.loads(read_text(self.spark, f"{self.path}/MANIFEST"))
-        return Manifest(found["files"], found["version"])
+        return Manifest.of(read_text(self.spark, f"{self.path}/manifest/{self._versions()[-1]}"))
 
-    def _read(self, files: Sequence[str]) -> DataFrame:
+    def _versions(self) -> list[str]:
+        return [n for n in names(self.spark, f"{self.path}/manifest") if n.isdigit()]
+
+    def _read(self, files: Sequence[File]) -> DataFrame:
         schema = self.meta.spark
         if not files:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in files])
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f.path}" for f in files])
 
     def df(self) -> DataFrame:
         return self._read(self.manifest().files)
 
     def one(self, index: str, key: Sequence[Any]) -> DataFrame:
         """The row with a key; an empty DataFrame if there is none."""
-        df, keys = self.df(), self.meta.index(index).keys
+        keys, files = self.meta.index(index).keys, self.manifest().files
+        if keys[0] == self.meta.primary_key[0] and key and (wanted := self._plain(key[0])) is not None:
+            files = [f for f in files if f.meets(wanted, wanted)]
+        df = self._read(files)
         for k, v in zip(keys, key):
             df = df.filter(F.col(k) == constant(Literal(None if v is None else str(v), True), df.schema[k].dataType))
         return df.limit(1)
@@ -107,7 +156,9 @@ class Table:
     def commit(self) -> None:
         if self.staged is None:
             raise EngineError("TRANSACTION_NOT_STARTED", self.path)
-        write_text(self.spark, f"{self.path}/MANIFEST", json.dumps({"version": self.staged.version + 1, "files": self.staged.files}))
+        write_text(self.spark, f"{self.path}/manifest/{self.staged.version + 1:012}", Manifest(self.staged.files, self.staged.version + 1).text())
+        for old in self._versions()[:-KEPT]:
+            delete(self.spark, f"{self.path}/manifest/{old}")
         self._end()
 
     def rollback(self) -> None:
@@ -129,20 +180,52 @@ class Table:
         self.commit() if kind is None else self.rollback()
 
     def _change(self, work) -> int:
-        if self.staged is not None:
-            return work()
-        with self:
+        """Runs a statement; if it fails, what it staged and wrote is taken back, and an open transaction goes on without it."""
+        if self.staged is None:
+            with self:
+                return work()
+        files, made = list(self.staged.files), len(self.made)
+        try:
             return work()
-
-    def _write(self, df: DataFrame) -> list[str]:
-        """Writes rows as new files, sorted by primary key within each, so that row groups can be skipped by key."""
+        except BaseException:
+            self.staged.files = files
+            for folder in self.made[made:]:
+                delete(self.spark, f"{self.path}/{folder}")
+            del self.made[made:]
+            raise
+
+    def _plain(self, value: Any) -> str | float | None:
+        """A value given for the first key column as the manifest has it."""
+        name = self.meta.column(self.meta.primary_key[0]).type.name
+        if value is None or name not in ("INT", "UINT", "INT8", "UINT8", "INT16", "UINT16", "INT64", "STRING"):
+            return None
+        try:
+            return str(value) if name == "STRING" else int(str(value))
+        except ValueError:
+            return None
+
+    def _ranges(self, made: list[str]) -> list[File]:
+        """The files with the ranges of their first key column, by one pass over that column."""
+        key = F.col(f"`{self.meta.primary_key[0]}`")
+        own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
+        kind = self.meta.column(self.meta.primary_key[0]).type.name
+        if kind not in ("INT", "UINT", "INT8", "UINT8", "INT16", "UINT16", "INT64", "STRING", "DATE", "TIME"):
+            return [File(f) for f in made]
+        found = self._read([File(f) for f in made]).select(key.alias("k"), own).groupBy("file").agg(F.min("k"), F.max("k"), F.count_if(F.col("k").isNull())).collect()
+        ends = {r[0]: (None, None) if r[3] else (plain(r[1]), plain(r[2])) for r in found}
+        return [File(f, *ends.get(f.rsplit("/", 1)[-1], (None, None))) for f in made]
+
+    def _write(self, df: DataFrame, **counts: Column) -> tuple[list[File], dict[str, int]]:
+        """Writes rows as new files by ranges of the primary key and sorted by it, so that files and row groups can be
+        skipped by key; the files, and the counts over the rows written."""
         folder = f"data-{uuid.uuid4().hex}"
         self.made.append(folder)
         codec = CODECS.get(self.meta.options.get("COMPRESSOR", "zstd").lower(), "zstd")
         typed = [F.col(f"`{c.name}`").cast(c.type.spark).alias(c.name) for c in self.meta.columns]
-        df.select(*typed).sortWithinPartitions(*self.meta.primary_key).write.option("compression", codec).parquet(f"{self.path}/{folder}")
-        fs, p = file_system(self.spark, f"{self.path}/{folder}")
-        return [f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]
+        rows, seen = df.repartitionByRange(*self.meta.primary_key).sortWithinPartitions(*self.meta.primary_key), Observation()
+        rows = rows.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else rows  # above the ranges, whose sampling would count twice
+        rows.select(*typed).write.option("compression", codec).parquet(f"{self.path}/{folder}")
+        return self._ranges([f"{folder}/{n}" for n in names(self.spark, f"{self.path}/{folder}") if n.endswith(".parquet")]), {k: 0 for k in counts} | (observed(seen) if counts else {})
 
     # -- changing
 
@@ -159,10 +242,10 @@ class Table:
         watched = rows.observe(seen, *[F.count_if(test).alias(f"t{k}") for k, test in enumerate(bad.values())])
 
         def verdict() -> None:
+            found = observed(seen)
             for k, text in enumerate(bad):
-                if n := seen.get.get(f"t{k}"):
-                    name, _, detail = text.partition(" ")
-                    raise EngineError(name, f"{detail} in {n} rows")
+                if found.get(f"t{k}"):
+                    raise EngineError(*text.split(" ", 1))
 
         return watched, verdict
 
@@ -172,54 +255,55 @@ class Table:
             test = test & a[k].eqNullSafe(b[k])
         return test
 
-    def _files_of(self, rows: DataFrame) -> list[str]:
-        """The files that hold rows of a DataFrame read from this table with a column _file."""
-        return [r["_file"] for r in rows.select("_file").distinct().collect()]
-
-    def _with_file(self) -> DataFrame:
-        files = self.manifest().files
+    def _with_file(self, files: Sequence[File] | None = None) -> DataFrame:
+        files = self.manifest().files if files is None else files
         rows = self._read(files)
-        prefix = f"{self.path.rstrip('/').rsplit('/', 1)[-1]}/"
-        return rows.withColumn("_file", F.substring_index(F.col("_metadata.file_path"), prefix, -1) if files else F.lit(""))
+        return rows.withColumn("_file", F.concat_ws("/", F.slice(F.split(F.col("_metadata.file_path"), "/"), -2, 2)) if files else F.lit(""))
+
+    def _near(self, made: Sequence[File]) -> list[File]:
+        """The current files whose key ranges meet those of ``made``."""
+        return [f for f in self.manifest().files if any(f.meets(m.low, m.high) for m in made)]
 
     def insert(self, rows: DataFrame, mode: str = "error") -> int:
-        """Adds rows whose columns are the table's; mode error, replace (last row of a key wins) or ignore (first wins)."""
+        """Adds rows whose columns are the table's; mode error, replace (last row of a key wins) or ignore (first wins).
+
+        New rows are grouped by key once, which also finds keys that repeat among them.
+        """
         key = list(self.meta.primary_key)
 
         def work() -> int:
             new, verdict = self._watched(rows.select(*self.meta.names))
-            if mode != "error":
-                numbered = new.withColumn("_n", F.monotonically_increasing_id())
-                pick = F.max_by if mode == "replace" else F.min_by
-                new = numbered.groupBy(*key).agg(pick(F.struct(*self.meta.names), "_n").alias("_row")).select("_row.*")
-            old = self._with_file() if self.manifest().files else None
-            if mode == "ignore" and old is not None:
+            pick = F.max_by if mode == "replace" else F.min_by
+            grouped = new.withColumn("_n", F.monotonically_increasing_id()).groupBy(*key).agg(pick(F.struct(*self.meta.names), "_n").alias("_row"), F.count("*").alias("_times"))
+            new = grouped.select("_row.*", "_times")
+            before = self.manifest().files
+            if mode == "ignore" and before:
+                old = self._read(before)
                 new = new.join(old, self._same_key(new, old), "left_anti")
-            made = self._write(new)
-            try:
-                verdict()
-                fresh = self._read(made)
-                if mode == "error":
-                    if fresh.groupBy(*key).count().filter("count > 1").head(1):
-                        raise EngineError("DUPLICATE_KEY", "within the new rows")
-                    if old is not None and old.join(fresh, self._same_key(old, fresh), "left_semi").head(1):
-                        raise EngineError("DUPLICATE_KEY", self.path)
-                elif mode == "replace" and old is not None:
-                    self._rewrite(old.join(fresh, self._same_key(old, fresh), "left_semi"), lambda kept: kept.join(fresh, self._same_key(kept, fresh), "left_anti"))
-            except EngineError:
-                delete(self.spark, f"{self.path}/{self.made[-1]}")
-                raise
+            made, counts = self._write(new, n=F.count("*"), repeated=F.count_if(F.col("_times") > 1))
+            verdict()
+            if mode == "error" and counts["repeated"]:
+                raise EngineError("DUPLICATE_KEY", "within the new rows")
+            fresh, near = self._read(made), self._near(made)
+            if near and mode != "ignore":
+                old = self._with_file(near)
+                touched = old.join(fresh, self._same_key(old, fresh), "left_semi")
+                if mode == "error" and touched.head(1):
+                    raise EngineError("DUPLICATE_KEY", self.path)
+                if mode == "replace":
+                    self._rewrite(touched, lambda kept: kept.join(fresh, self._same_key(kept, fresh), "left_anti"))
             self.staged.files = [*self.manifest().files, *made]
-            return fresh.count()
+            return counts["n"]
 
         return self._change(work)
 
     def _rewrite(self, touched: DataFrame, change) -> None:
-        """Writes again the files that hold ``touched`` rows, changed."""
-        files = self._files_of(touched)
+        """Writes again the files that hold ``touched`` rows (read with a column _file), changed."""
+        paths = {r["_file"] for r in touched.select("_file").distinct().collect()}
+        files = [f for f in self.manifest().files if f.path in paths]
         if files:
-            made = self._write(change(self._read(files)))
-            self.staged.files = [f for f in self.manifest().files if f not in set(files)] + made
+            made, _ = self._write(change(self._read(files)))
+            self.staged.files = [f for f in self.manifest().files if f.path not in paths] + made
 
     def update(self, assignments: Sequence[tuple[str, Literal]], where: Any) -> int:
         """Sets columns to constants where the condition holds; a change of key columns must leave keys unique."""
@@ -230,10 +314,16 @@ class Table:
             n = old.filter(test).count()
             if n:
                 new = {self.meta.column(c).name: stored(v, self.meta.column(c)) for c, v in assignments}
-                watched, verdict = self._watched(old.filter(test).select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in self.meta.names]))
-                watched.write.format("noop").mode("overwrite").save()
-                verdict()
-                self._rewrite(old.filter(test), lambda rows: rows.withColumns({c: F.when(test, v).otherwise(F.col(c)) for c, v in new.items()}))
+                verdicts = []
+
+                def changed(rows: DataFrame) -> DataFrame:
+                    watched, verdict = self._watched(rows.withColumns({c: F.when(test, v).otherwise(F.col(c)) for c, v in new.items()}))
+                    verdicts.append(verdict)
+                    return watched
+
+                self._rewrite(old.filter(test), changed)
+                for verdict in verdicts:
+                    verdict()
                 if set(new) & set(self.meta.primary_key) and self.df().groupBy(*self.meta.primary_key).count().filter("count > 1").head(1):
                     raise EngineError("DUPLICATE_KEY", self.path)
             return n

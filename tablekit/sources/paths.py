@@ -50,16 +50,24 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replaces a small file by way of a new one beside it, so that readers see the old text or the new."""
+    """Writes a small file by way of a new one beside it, so that a crash leaves no half of it. Where there is one already
+    it is replaced: at once on file systems that can, else by way of a moment without it."""
     fs, p = file_system(spark, path)
     jvm = spark.sparkContext._jvm
     new = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
     stream = fs.create(new, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(new, p)
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    full = fs.makeQualified(p)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), full, how)
+
+
+def names(spark: SparkSession, directory: str) -> list[str]:
+    """The names of what stands in a folder; none if there is no such folder."""
+    fs, p = file_system(spark, directory)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def children(spark: SparkSession, directory: str) -> list[FileInfo]:

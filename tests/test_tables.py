@@ -123,3 +123,53 @@ def test_options(engine, tmp_path):
     engine.sql(f"INSERT INTO {t} VALUES (1)")
     assert [p.suffixes for p in tmp_path.glob("o.tkt/data-*/*.parquet")][0][-2:] == [".lz4raw", ".parquet"] and engine.rows(t) == 1
     assert "COMPRESSOR=lz4" in engine.sql(f"META {t}").head()[0]
+
+
+def test_failed_statement_leaves_no_trace(engine, path):
+    """Within a transaction, too: what it staged is taken back, what came before stays."""
+    engine.sql(f"BEGIN TRANSACTION {path}")
+    engine.sql(f"INSERT INTO {path} VALUES (8,'H',1,1)")
+    for sql in (f"UPDATE {path} SET id = 1 WHERE id = 2", f"INSERT INTO {path} VALUES (3,'x',1,1)", f"UPDATE {path} SET name = NULL WHERE id = 8"):
+        with pytest.raises(EngineError):
+            engine.sql(sql)
+        assert sorted(r.id for r in engine.open(path).collect()) == [1, 2, 3, 8]
+    engine.sql(f"COMMIT {path}")
+    assert sorted(r.id for r in engine.open(path).collect()) == [1, 2, 3, 8] and engine.one(path, "primary", [1]).name == "Alice"
+
+
+def test_crash_between_writing_and_naming(spark, engine, path, monkeypatch):
+    """A manifest that never got its name changes nothing, and the next change goes on."""
+    from tablekit.operators import tables
+
+    def crash(spark, path, text):
+        fs, p = tables.file_system(spark, f"{path}.new")
+        stream = fs.create(p, True)
+        stream.write(bytearray(text[: len(text) // 2].encode()))
+        stream.close()
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(tables, "write_text", crash)
+        engine.sql(f"DELETE FROM {path} WHERE id = 1")
+    assert Engine(spark).rows(path) == 3
+    tables.delete(spark, f"{path}/LOCK")  # what an operator does after a crash
+    engine.sql(f"DELETE FROM {path} WHERE id = 1")
+    assert Engine(spark).rows(path) == 2
+
+
+def test_upsert_rewrites_one_file_of_many(spark, engine, tmp_path):
+    t = f"{tmp_path}/many.tkt"
+    engine.sql(f"CREATE TABLE {t} (id INT64, v INT64, PRIMARY KEY (id))")
+    shuffled = spark.range(40_000).selectExpr("pmod(id * 7919, 40000) AS id", "id AS v").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        engine.table(t).insert(shuffled)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    before = {f.path for f in engine.table(t).manifest().files}
+    assert len(before) == 4
+    engine.sql(f"REPLACE INTO {t} VALUES (5, -1)")
+    after = {f.path for f in engine.table(t).manifest().files}
+    assert len(before & after) == 3 and engine.rows(t) == 40_000 and engine.one(t, "primary", [5]).v == -1
+    ranges = sorted((f.low, f.high) for f in engine.table(t).manifest().files if f.path in before)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
