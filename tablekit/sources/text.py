@@ -8,7 +8,9 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +18,6 @@ from pyspark.sql import types as T
 from ..schema import Meta
 from ..types import to_text
 
-#: Stands for a doubled escape while a line is taken apart; no text holds this code point, which is no character.
-MARK = "\uffff"
 UNESCAPE = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -104,53 +104,80 @@ def cells_of(line: Column, d: Dialect) -> Column:
         raw = F.regexp_extract_all(F.concat(F.lit(d.delimiter), line), F.lit(f"{q}({k}(?:[^{k}]|{k}{k})*{k}|[^{q}]*)"), F.lit(1))
         full = F.transform(raw, lambda c: F.when(c.startswith(d.quote) & c.endswith(d.quote) & (F.length(c) > 1), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit(d.quote * 2), F.lit(d.quote))).when(c != d.null, c))
         return F.when(line.contains(d.quote), full).otherwise(known(F.split(line, q, -1)))
-    marked = F.replace(line, F.lit("\\\\"), F.lit(MARK))
+    whole = F.regexp_extract_all(F.concat(F.lit(d.delimiter), line), F.lit(rf"{q}((?:[^\\{q}]|\\[\s\S]|\\$)*)"), F.lit(1))
 
-    def plain(c: Column) -> Column:
-        out = c
-        for letter, char in UNESCAPE.items():
-            out = F.replace(out, F.lit(f"\\{letter}"), F.lit(char))
-        return F.replace(F.regexp_replace(out, r"\\([\s\S])", "$1"), F.lit(MARK), F.lit("\\"))
+    def plain(cell: Column) -> Column:
+        """Escapes taken from left to right."""
+        one = lambda t: F.when(t.startswith("\\") & (F.length(t) == 2), _unescaped(F.substring(t, 2, 1))).otherwise(t)
+        return F.array_join(F.transform(F.regexp_extract_all(cell, F.lit(r"\\[\s\S]|[^\\]+|\\$"), F.lit(0)), one), "")
 
-    full = F.transform(F.split(marked, f"(?<!\\\\){q}", -1), lambda c: F.when(c != d.null, F.when(c.contains("\\") | c.contains(MARK), plain(c)).otherwise(c)))
+    full = F.transform(whole, lambda c: F.when(c != d.null, F.when(c.contains("\\"), plain(c)).otherwise(c)))
     simple = F.split(line, q, -1)
     return F.when(line.contains("\\"), full).otherwise(simple if "\\" in d.null else known(simple))
 
 
+def _unescaped(letter: Column) -> Column:
+    out = letter
+    for name, char in UNESCAPE.items():
+        out = F.when(letter == name, F.lit(char)).otherwise(out)
+    return out
+
+
+def without_heads(lines: DataFrame) -> DataFrame:
+    """Lines without the first of each file, found by its place: where a file's first split begins. Arrow batches are
+    sliced, no line is touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column(1)
+            new = np.append(path[0].as_py() != before, pc.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False))
+            before = path[-1].as_py()
+            first = new & (batch.column(2).to_numpy() == 0)
+            cuts = [-1, *np.flatnonzero(first).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    yield batch.select([0]).slice(a + 1, b - a - 1)
+
+    return lines.select("value", "_metadata.file_path", "_metadata.file_block_start").mapInArrow(run, "value string")
+
+
 def read(spark: SparkSession, paths: list[str], meta: Meta | None, d: Dialect, multi_line: bool | None = None) -> DataFrame:
     """Rows of delimited files, typed by ``meta`` or all text named by the header.
 
     Lines are split where they are read. Files in which a quoted cell holds line breaks, and zip archives, are read
-    whole by one task each; ``multi_line`` None looks for such cells first. Header lines are dropped wherever they
-    stand at the start of a file's line.
+    whole by one task each; ``multi_line`` None looks for such cells first. The first line of each file is its header;
+    lines further on stay, also such as are equal to it. Blank lines are no rows.
     """
     zipped = [p for p in paths if ".zip" in p.lower()]
     if zipped:
         arrays = _archives(spark, zipped, d)
-        header = arrays.select("cells").head() if meta is None and d.header else None
-        names = [c.lower() for c in header["cells"]] if header else meta.names if meta else []
-        return _typed(arrays.filter(F.col("cells") != F.array(*map(F.lit, header["cells"]))) if header else arrays.filter(~_is_header(meta)) if d.header and meta else arrays, names, meta)
-    lines = spark.read.text(paths).withColumn("value", F.regexp_replace("value", "\r$", ""))
+        return _typed(arrays, meta.names if meta else _archive_names(spark, zipped[0], d), meta)
+    lines = spark.read.text(paths)
     first = lines.head() if d.header else None
-    if d.quote and multi_line is None:
+    head = split_line(first["value"].removesuffix("\r"), d) if first is not None else None
+    whole = []
+    if d.quote and multi_line is not False:
         odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit(d.quote), F.lit("")))) % 2 == 1
-        multi_line = bool(lines.filter(odd).head(1))
-    if multi_line:
-        arrays = _whole(spark, paths, d)
-    else:
-        kept = lines.filter(F.col("value") != "")
-        if first is not None:
-            kept = kept.filter(F.col("value") != first["value"])
-        arrays = kept.select(cells_of(F.col("value"), d).alias("cells"))
-    head = split_line(first["value"], d) if first is not None else None
-    if multi_line and head:
-        arrays = arrays.filter(F.col("cells") != F.array(*map(F.lit, head)))
-    names = meta.names if meta else [(c or "").lower() for c in head] if head else [f"c{k}" for k in range(len(split_line((lines.head() or {"value": ""})["value"], d)))]
+        whole = paths if multi_line else [r[0] for r in lines.filter(odd).select("_metadata.file_path").distinct().collect()]  # at most all files' names
+    if whole and not multi_line:
+        every = [r[0] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
+        plain = sorted({_same(p) for p in every} - {_same(p) for p in whole})
+        lines = spark.read.text(plain) if plain else None
+    arrays = _whole(spark, whole, d) if whole else None
+    if lines is not None and not (whole and multi_line):
+        lines = without_heads(lines) if d.header else lines
+        value = F.regexp_replace("value", "\r$", "")
+        split = lines.filter(value != "").select(cells_of(value, d).alias("cells"))
+        arrays = split if arrays is None else arrays.unionByName(split)
+    names = meta.names if meta else [(c or "").lower() for c in head] if head else [f"c{k}" for k in range(len(split_line((spark.read.text(paths).head() or {"value": ""})["value"], d)))]
     return _typed(arrays, names, meta)
 
 
-def _is_header(meta: Meta) -> Column:
-    return F.transform(F.col("cells"), lambda c: F.lower(c)) == F.array(*map(F.lit, meta.names))
+def _same(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path)
 
 
 def _typed(arrays: DataFrame, names: list[str], meta: Meta | None) -> DataFrame:
@@ -162,7 +189,7 @@ def _typed(arrays: DataFrame, names: list[str], meta: Meta | None) -> DataFrame:
 
 def _parsed(texts: Iterator[str], d: Dialect) -> Iterator[pa.RecordBatch]:
     for text in texts:
-        rows = [split_line(r, d) for r in records(text, d)]
+        rows = [split_line(r, d) for r in records(text, d)][int(d.header) :]
         for k in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + 10_000], pa.list_(pa.string()))], ["cells"])
 
@@ -176,7 +203,7 @@ def _whole(spark: SparkSession, paths: list[str], d: Dialect) -> DataFrame:
 
 
 def _archives(spark: SparkSession, paths: list[str], d: Dialect) -> DataFrame:
-    """The first entry of each archive, or the one named after #."""
+    """The rows of the first entry of each archive, or of the one named after #."""
     entry = {p.partition("#")[0].rsplit("/", 1)[-1]: p.partition("#")[2] for p in paths}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +217,20 @@ def _archives(spark: SparkSession, paths: list[str], d: Dialect) -> DataFrame:
     return files.mapInArrow(run, "cells array<string>")
 
 
+def _archive_names(spark: SparkSession, path: str, d: Dialect) -> list[str]:
+    """The columns of an archive's entry, from its first record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    cells = split_line(next(records(z.read(path.partition("#")[2] or z.namelist()[0]).decode(), d), ""), d)
+                    yield pa.RecordBatch.from_arrays([pa.array([cells], pa.list_(pa.string()))], ["cells"])
+
+    cells = spark.read.format("binaryFile").load(path.partition("#")[0]).select("content").mapInArrow(run, "cells array<string>").head()["cells"]
+    return [(c or "").lower() for c in cells] if d.header else [f"c{k}" for k in range(len(cells))]
+
+
 def line_of(df: DataFrame, d: Dialect) -> Column:
     """A row as a line of the dialect, by JVM expressions alone."""
 
@@ -206,7 +247,8 @@ def line_of(df: DataFrame, d: Dialect) -> Column:
                 v = F.replace(v, F.lit(d.delimiter), F.lit(f"\\{d.delimiter}"))
         return F.coalesce(v, F.lit(d.null))
 
-    return F.concat_ws(d.delimiter, *[cell(f) for f in df.schema])
+    line = F.concat_ws(d.delimiter, *[cell(f) for f in df.schema])
+    return F.when(line == "", F.lit(d.quote * 2 or d.delimiter)).otherwise(line) if len(df.columns) == 1 else line  # a blank line is no row
 
 
 def write(df: DataFrame, path: str, d: Dialect, compression: str | None = None) -> None:

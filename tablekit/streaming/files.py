@@ -26,10 +26,9 @@ def stream(spark: SparkSession, directory: str, meta: Meta, kind: str, files_per
             return reader.schema(meta.spark).json(directory)
         case "tsv" | "csv":
             d = text.Dialect.of(f"x.{kind}", meta)
-            header = d.delimiter.join(meta.names)
-            lines = reader.text(directory).filter(F.col("value") != "")
-            lines = lines.filter(F.lower("value") != header) if d.header else lines
-            return text._typed(lines.select(text.cells_of(F.col("value"), d).alias("cells")), meta.names, meta)
+            lines = reader.text(directory)
+            lines = text.without_heads(lines) if d.header else lines
+            return text._typed(lines.filter(F.col("value") != "").select(text.cells_of(F.col("value"), d).alias("cells")), meta.names, meta)
     raise EngineError("INVALID_OPERATION", f"{kind} cannot be streamed")
 
 

@@ -129,6 +129,49 @@ def test_jdbc_round_trip(spark, engine):
     from tablekit.sources import jdbc
 
     t = jdbc.Target(url, "people")
-    jdbc.write(spark.createDataFrame([(1, "a"), (2, "b")], "ID int, NAME string"), t, "overwrite")
+    assert jdbc.write(spark.createDataFrame([(1, "a"), (2, "b")], "ID int, NAME string"), t, "overwrite") == 2
     assert jdbc.execute(spark, t, "DELETE FROM people WHERE id = 1") == 1
     assert engine.sql(f"SELECT id, name FROM `{url}?table=people` WHERE id > 0").collect() == [(2, "b")]
+
+
+def test_jdbc_meaning_of_null(spark, engine):
+    """What the database does is what the engine does on a file of the same rows."""
+    from tablekit.sources import jdbc
+
+    data = spark.createDataFrame([(1, "ab"), (2, None), (3, "b"), (None, "abc")], "ID int, NAME string")
+    t = jdbc.Target("jdbc:derby:memory:nulls;create=true", "things")
+    jdbc.execute(spark, t, "CREATE TABLE things (ID INT, NAME VARCHAR(9))")
+    assert jdbc.execute(spark, t, "INSERT INTO things VALUES (1, 'ab'), (2, NULL), (3, 'b'), (NULL, 'abc')") == 4
+    for where in ("name <> 'b'", "name = NULL", "name != NULL", "id IN (1, NULL)", "id IN (NULL)", "name LIKE '*b'", "name LIKE 'a*'", "id < NULL", "id > 1 AND name <> 'x'", "NOT id = 3 AND id > 0"):
+        found = engine.sql(f"SELECT id, name FROM `{t.url}?table=things` WHERE {where}").collect()
+        from tablekit.plans.parser import parse_condition
+        from tablekit.plans.predicates import predicate, resolver
+
+        wanted = data.filter(predicate(parse_condition(where), resolver(data.schema))).collect()
+        assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, wanted), key=repr), where
+    assert [tuple(r) for r in engine.sql(f"SELECT id FROM `{t.url}?table=things` WHERE id > 0 ORDER BY id LIMIT 1, 2").collect()] == [(2,), (3,)]
+    split = engine.sql(f"SELECT id, name FROM `{t.url}?table=things&partitionColumn=ID&numPartitions=3`")
+    assert split.rdd.getNumPartitions() == 3 - 1 and split.count() == 4  # no more partitions than values between the ends
+    assert query(jdbc.Target("jdbc:sqlserver://h", "t"), parse("SELECT * FROM x LIMIT 5")) == "SELECT * FROM t ORDER BY (SELECT NULL) OFFSET 0 ROWS FETCH NEXT 5 ROWS ONLY"
+
+
+def test_text_exact(spark, engine, tmp_path):
+    """Rows that look like a header, rows of one empty cell, code points without a character, and escapes of all kinds."""
+    head = spark.createDataFrame([("v", "w"), ("V", "W"), ("", None), (None, ""), ("a￿\\n", "\\"), ("\\\\", "\t\n\r\\t"), ("\\N", "NULL"), ("'", '"')], "v string, w string")
+    one = spark.createDataFrame([("",), ("v",), (None,), ("x",), ("",)], "v string")
+    for suffix in ("tsv", "csv", "tsv.gz"):
+        for k, df in enumerate((head, one)):
+            registry.write_file(spark, df.repartition(3), f"{tmp_path}/{k}.{suffix}")
+            assert rows(engine.open(f"{tmp_path}/{k}.{suffix}")) == rows(df), (suffix, k)
+    (tmp_path / "h.tsv").write_text("v\tw\n1\t2\nv\tw\n3\t4\n")
+    (tmp_path / "h.csv").write_text('v,w\r\n1,"2\n"\r\nv,w\r\n')
+    assert rows(engine.open(f"{tmp_path}/h.tsv")) == [("1", "2"), ("3", "4"), ("v", "w")]
+    assert rows(engine.open(f"{tmp_path}/h.csv")) == [("1", "2\n"), ("v", "w")]
+
+
+def test_csv_reads_only_odd_files_whole(spark, engine, tmp_path):
+    (tmp_path / "m.csv").mkdir()
+    (tmp_path / "m.csv" / "a.csv").write_text('n,t\n1,"x\ny"\n')
+    (tmp_path / "m.csv" / "b.csv").write_text('n,t\n2,"z"\n')
+    df = engine.open(f"{tmp_path}/m.csv")
+    assert rows(df) == [("1", "x\ny"), ("2", "z")]
