@@ -6,6 +6,7 @@ import argparse
 import sys
 import time
 from collections.abc import Iterable, Sequence
+from itertools import chain, islice
 
 from pyspark.sql import Row, SparkSession
 
@@ -30,13 +31,18 @@ def lines(columns: Sequence[str], rows: Iterable[Row], head: bool = True, number
         yield "\t".join([*[str(k)] * numbers, *map(shown, r)])
 
 
+#: Rows whose cells set the widths of a table with borders; wider cells further on stick out.
+MEASURED = 1000
+
+
 def pretty(columns: Sequence[str], rows: Iterable[Row], head: bool = True, numbers: bool = False) -> Iterable[str]:
-    """A table with borders; as wide as its cells."""
-    table = [line.split("\t") for line in lines(columns, rows, True, numbers)]
-    width = [max(len(r[k]) for r in table) for k in range(len(table[0]))]
+    """A table with borders, as wide as the cells of its first rows; only these are held."""
+    table = (line.split("\t") for line in lines(columns, rows, True, numbers))
+    first = list(islice(table, MEASURED + 1))
+    width = [max(len(r[k]) for r in first) for k in range(len(first[0]))]
     border = "+" + "+".join("-" * (w + 2) for w in width) + "+"
     yield border
-    for k, r in enumerate(table):
+    for k, r in enumerate(chain(first, table)):
         if k or head:
             yield "| " + " | ".join(c.ljust(w) for c, w in zip(r, width)) + " |"
         if k == 0 and head:

@@ -118,8 +118,7 @@ class Engine:
     def _into(self, q: ast.Select, out: DataFrame) -> int:
         """Writes a query's rows to a new table or file; a table takes the source's key if it has its columns, else the first column."""
         if t := jdbc.target(q.into, self.aliases):
-            jdbc.write(out, t)
-            return out.count()
+            return jdbc.write(out, t)
         source = self.meta(q.table) if not jdbc.target(q.table, self.aliases) else None
         kept = {c.name: c for c in source.columns} if source and not q.group_by else {}
         meta = Meta.from_spark(q.into.rstrip("/").rsplit("/", 1)[-1], out.schema)
@@ -137,8 +136,7 @@ class Engine:
             if s.values is not None:
                 return jdbc.execute(self.spark, t, jdbc.change(t, s))
             rows = self._select(s.source)
-            jdbc.write(rows.toDF(*s.columns) if s.columns else rows, t)
-            return rows.count()
+            return jdbc.write(rows.toDF(*s.columns) if s.columns else rows, t)
         target = self.table(s.table) if self._native(s.table) else None
         meta = target.meta if target else self.meta(s.table)
         if target is None and (s.values is not None or paths.exists(self.spark, s.table)):

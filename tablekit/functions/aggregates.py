@@ -18,10 +18,17 @@ HLL_BITS = 14
 
 
 def exact(value: Column, kind: T.DataType) -> Column:
-    """A number as a decimal, so that sums do not depend on the order of rows."""
+    """A number as a decimal, so that sums do not depend on the order of rows.
+
+    Text that is no number is left out. A number that no decimal of 38 digits holds (10 of them after the point, for
+    doubles), not a number and infinities are errors: nothing is left out silently.
+    """
     if isinstance(kind, T.DecimalType):
-        return value.cast(f"decimal(28,{min(kind.scale, EXACT)})") if kind.precision > 28 else value
-    return value.try_cast(f"decimal(28,{0 if isinstance(kind, T.IntegralType) else EXACT})")
+        return value
+    out = value.try_cast(f"decimal({28 if isinstance(kind, T.IntegralType) else 38},{0 if isinstance(kind, T.IntegralType) else EXACT})")
+    if not isinstance(kind, T.DoubleType | T.FloatType):
+        return out
+    return F.coalesce(out, F.when(value.isNotNull(), F.raise_error(F.concat(F.lit("SUM and AVG cannot hold "), value.cast("string"))).cast(f"decimal(38,{EXACT})")))
 
 
 @dataclass(frozen=True)
@@ -65,12 +72,25 @@ class Function:
         return self.alias or f"{self.name.lower()}({', '.join(self.columns)})"
 
 
+def _checked(total: Column, n: Column, none: Column) -> Column:
+    """A sum or mean of n numbers; where it overflowed to null although there are some, an error."""
+    return F.when(n == 0, none).otherwise(F.coalesce(total, F.raise_error(F.lit("SUM or AVG has more than 38 digits")).cast(f"decimal(38,{SCALE})")))
+
+
 def _sum(c: Column, k: T.DataType, _: Column) -> Column:
-    return F.floor(F.coalesce(F.sum(exact(c, k)), F.lit(0).cast("decimal(38,5)")), F.lit(SCALE)).cast(f"decimal(38,{SCALE})")
+    x = exact(c, k)
+    return _checked(F.floor(F.sum(x), F.lit(SCALE)).cast(f"decimal(38,{SCALE})"), F.count(x), F.lit(0).cast(f"decimal(38,{SCALE})"))
 
 
 def _avg(c: Column, k: T.DataType, _: Column) -> Column:
-    return F.round(F.avg(exact(c, k)), SCALE).cast(f"decimal(38,{SCALE})")
+    x = exact(c, k)
+    return _checked(F.round(F.avg(x), SCALE).cast(f"decimal(38,{SCALE})"), F.count(x), F.lit(None).cast(f"decimal(38,{SCALE})"))
+
+
+def _avg0(c: Column, k: T.DataType, o: Column) -> Column:
+    """A mean in which nulls count as zeros; of nothing, 0."""
+    x = F.coalesce(exact(c, k), F.lit(0).cast(f"decimal(38,{EXACT})"))
+    return _checked(F.round(F.avg(x), SCALE).cast(f"decimal(38,{SCALE})"), F.count(x), F.lit(0).cast(f"decimal(38,{SCALE})"))
 
 
 def _hashable(c: Column, k: T.DataType) -> Column:
@@ -81,6 +101,7 @@ def _hashable(c: Column, k: T.DataType) -> Column:
 SIMPLE: dict[str, Callable[[Column, T.DataType, Column], Column]] = {
     "SUM": _sum,
     "AVG": _avg,
+    "AVG0": _avg0,
     "MIN": lambda c, k, o: F.min(c),
     "MAX": lambda c, k, o: F.max(c),
     "FIRST": lambda c, k, o: F.min_by(c, F.when(c.isNotNull(), o)),
@@ -90,10 +111,11 @@ SIMPLE: dict[str, Callable[[Column, T.DataType, Column], Column]] = {
     "DISTINCT_APPROX_SKETCH": lambda c, k, o: F.hll_sketch_agg(_hashable(c, k), HLL_BITS),
     "DISTINCT_APPROX_COUNT_SUM": lambda c, k, o: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0).cast("bigint")),
     "DISTINCT_ROARING_BITMAP_COUNT": lambda c, k, o: F.count_distinct(c),
-    "DISTINCT_ROARING_BITMAP_SUM": lambda c, k, o: F.bitmap_count(F.bitmap_or_agg(c)),
 }
+#: Counts of the numbers in stored bitmaps, of which a set has one for each bucket: takes the columns of bucket and bits.
+BITMAP_SUM = "DISTINCT_ROARING_BITMAP_SUM"
 SYNONYMS = {"DISTINCT_HLL_COUNT": "DISTINCT_APPROX_COUNT", "HLL_COUNT": "DISTINCT_APPROX_COUNT", "HLL_SUM": "DISTINCT_APPROX_COUNT_SUM"}
-NAMES = {*SIMPLE, *SYNONYMS, "COUNT", "DISTINCT_COUNT", "ZERO", "NULL", "ROWID", "HASH", "CUSTOM"}
+NAMES = {*SIMPLE, *SYNONYMS, BITMAP_SUM, "COUNT", "DISTINCT_COUNT", "ZERO", "NULL", "ROWID", "HASH", "CUSTOM"}
 
 
 def column_of(f: Function, find: Callable[[str], tuple[Column, T.DataType]], order: Column) -> Column:
@@ -144,7 +166,21 @@ def aggregate(df: DataFrame, keys: Sequence[Key | str], functions: Sequence[Func
         for f in functions[1:]:
             met = met | f.condition
         df = df.filter(met)
-    out = df.groupBy(*[k.value().alias(k.alias) for k in keys]).agg(*[column_of(f, find, position).alias(f.output) for f in functions])
+    stored = [f for f in functions if f.name.upper() == BITMAP_SUM]
+    others = [f for f in functions if f not in stored]
+    grouped = [k.value().alias(k.alias) for k in keys]
+    out = df.groupBy(*grouped).agg(*[column_of(f, find, position).alias(f.output) for f in others]) if others or not stored else None
+    for f in stored:
+        counted = _bitmap_sum(df, grouped, [k.alias for k in keys], f, find)
+        if out is None:
+            out = counted
+        else:
+            test = F.lit(True)
+            for k in keys:
+                test = test & out[k.alias].eqNullSafe(counted[k.alias])
+            out = out.join(counted, test).select(*[out[c] for c in out.columns], counted[f.output])  # one row for each group on either side
+    if stored:
+        out = out.select(*[F.col(f"`{k.alias}`") for k in keys], *[F.col(f"`{f.output}`") for f in functions])
     for f in functions:
         if f.name.upper() == "HASH":
             out = out.withColumn(f.output, kernels.murmur64(F.col(f"`{f.output}`")))
@@ -153,6 +189,16 @@ def aggregate(df: DataFrame, keys: Sequence[Key | str], functions: Sequence[Func
     return out
 
 
+def _bitmap_sum(df: DataFrame, grouped: Sequence[Column], keys: Sequence[str], f: Function, find: Callable[[str], tuple[Column, T.DataType]]) -> DataFrame:
+    """Bitmaps of one bucket are united, then the buckets' counts summed up."""
+    if len(f.columns) != 2:
+        raise EngineError("COLUMN_MISMATCH", f"{f.name} takes the columns of bucket and bits")
+    bucket, bits = (find(c)[0] for c in f.columns)
+    bits = bits if f.condition is None else F.when(f.condition, bits)
+    united = df.groupBy(*grouped, bucket.alias("_bucket")).agg(F.bitmap_or_agg(bits).alias("_bits"))
+    return united.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.coalesce(F.sum(F.bitmap_count("_bits")), F.lit(0)).cast("bigint").alias(f.output))
+
+
 def bitmap_distinct(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
     """Exact distinct counts of a non-negative integer column by bitmaps, merged by their bucket."""
     return bitmaps.counts(bitmaps.build(df, keys, column), alias)
