@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from ..schema import Index, Meta
 from ..sources import paths, registry
 from ..types import ColumnType
 from .lookup import lookup
-from .tables import Table
+from .tables import Table, observed
 
 # Letters of date formats, units of relative times in seconds, suffixes of compressed files.
 FORMATS = (("yyyy", "%Y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("ss", "%S"))
@@ -161,6 +161,10 @@ class Result:
 
 
 Handler = Callable[[DataFrame], DataFrame]
+#: Gives the condition that rows must meet; a null does not.
+RowFilter = Callable[[DataFrame], Column]
+#: What a failing onstart command does: stops the run, or not.
+POLICIES = ("continue", "ignore", "exit")
 
 
 @dataclass
@@ -175,19 +179,24 @@ class Pipeline:
     max_errors: int = 1
     threads: int = 1
     onstart: list[str] = field(default_factory=list)
+    onstart_policy: str = "continue"
+    row_filters: list[RowFilter] = field(default_factory=list)
 
-    def plan(self, engine: Engine, files: Sequence[str], values: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    def plan(self, engine: Engine, files: Sequence[str], values: dict[str, str], read_count: Observation | None = None) -> tuple[DataFrame, DataFrame]:
         """The rows read, and the rows to write with a column _error: a mapped column that may not be null is.
 
-        The where clause with its limit applies to each file; handlers see the rows of all.
+        The where clause with its limit applies to each file; handlers, then row filters, see the rows of all.
         """
         frames = [engine.find(f, expand(self.input.where, values)) for f in files]
         rows = frames[0]
         for other in frames[1:]:
             rows = rows.unionByName(other, allowMissingColumns=True)
         read = rows
+        rows = rows if read_count is None else rows.observe(read_count, F.count("*").alias("n"))
         for handler in self.handlers:
             rows = handler(rows)
+        for f in self.row_filters:
+            rows = rows.filter(f(rows))
         for f in self.output.filters:
             rows = lookup(rows, f.column, engine.open(expand(f.source, values)), expand(f.where, values), f.operator)
         error = F.lit(False)
@@ -210,29 +219,40 @@ class Pipeline:
             if self.output.exists != "overwrite":
                 return Result(target, 0, 0, 0, True)
             engine.sql(f'DROP TABLE "{target}"')
-        read, rows = self.plan(engine, files, values)
-        counts = rows.agg(F.count("*").alias("n"), F.count_if("_error").alias("bad")).head()
-        errors = counts["bad"]
-        if errors > self.max_errors and self.output.sort:
-            return Result(target, read.count(), 0, errors)  # over the budget a sorted output is not written
-        good = rows.filter(~F.col("_error")).drop("_error")
-        if self.output.sort:
-            good = good.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in self.output.sort])
+        plain = not self.output.sort and not target.endswith(registry.NATIVE)
+        read_count, seen = Observation() if plain else None, Observation()
+        read, rows = self.plan(engine, files, values, read_count)
         meta = self.meta(target.rsplit("/", 1)[-1])
         if target.endswith(registry.NATIVE):
-            n = Table.create(spark, target, meta).insert(good, "replace")
-        else:
-            registry.write_file(spark, good, target, meta, self.output.compression)
-            n = counts["n"] - errors
-        return Result(target, read.count(), n, errors)
+            counts = rows.agg(F.count("*").alias("n"), F.count_if("_error").alias("bad")).head()
+            if counts["bad"] > self.max_errors and self.output.sort:
+                return Result(target, read.count(), 0, counts["bad"])
+            n = Table.create(spark, target, meta).insert(rows.filter(~F.col("_error")).drop("_error"), "replace")
+            return Result(target, read.count(), n, counts["bad"])
+        if self.output.sort:  # rows are counted above the sort, whose sampling would count them once more
+            rows = rows.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in self.output.sort])
+        rows = rows.observe(seen, F.count("*").alias("n"), F.count_if("_error").alias("bad"))
+        registry.write_file(spark, rows.filter(~F.col("_error")).drop("_error"), target, meta, self.output.compression)
+        counts = {"n": 0, "bad": 0} | observed(seen)
+        total = observed(read_count).get("n", 0) if plain else read.count()
+        if counts["bad"] > self.max_errors and self.output.sort:  # over the budget a sorted output does not stay
+            registry.drop_file(spark, target)
+            return Result(target, total, 0, counts["bad"])
+        return Result(target, total, counts["n"] - counts["bad"], counts["bad"])
+
+    def _started(self, values: dict[str, str]) -> None:
+        for command in self.onstart:
+            code = subprocess.run(expand(command, values), shell=True, check=False).returncode
+            if code and self.onstart_policy == "exit":
+                raise EngineError("INVALID_OPERATION", f"an onstart command failed with code {code}")
 
     def run(self, engine: Engine, today: date | None = None, allow_shell: bool = False) -> list[Result]:
-        """Input files whose output has the same name are merged. ``allow_shell``: runs the onstart commands first."""
-        if self.onstart and allow_shell:
-            for command in self.onstart:
-                subprocess.run(command, shell=True, check=True)
+        """Input files whose output has the same name are merged. ``allow_shell``: runs the onstart commands before each
+        set of variables."""
         jobs: dict[str, tuple[list[str], dict[str, str]]] = {}
         for values in variable_sets(self.variables, today):
+            if allow_shell:
+                self._started(values)
             pattern = expand(self.input.pattern, values)
             for f in paths.walk(engine.spark, expand(self.input.directory, values), self.input.max_depth):
                 if re.fullmatch(pattern, f.name) and all(c(f) for c in self.input.conditions):
@@ -244,12 +264,14 @@ class Pipeline:
 
 
 def _range(text: str) -> tuple[int, int]:
+    """Offsets from today: of -2..0 or of days such as 2025-01-01..2025-01-31."""
     first, _, last = text.partition("..")
-    return int(first), int(last or first)
+    return tuple(int(x) if re.fullmatch(r"[+-]?\d{1,5}", x) else (date.fromisoformat(x) - date.today()).days for x in (first, last or first))
 
 
-def from_xml(text: str, handlers: dict[str, Handler] | None = None) -> Pipeline:
-    """A pipeline of an XML text; row handlers are looked up by class or name in ``handlers``."""
+def from_xml(text: str, handlers: dict[str, Handler] | None = None, row_filters: Sequence[RowFilter] = ()) -> Pipeline:
+    """A pipeline of an XML text; row handlers are looked up by class or name in ``handlers``. Ranges of days given as
+    dates are taken from today's date on."""
     root = ET.fromstring(text)
     if root.tag != "pipeline":
         raise EngineError("INVALID_OPERATION", "the root must be <pipeline>")
@@ -262,7 +284,7 @@ def from_xml(text: str, handlers: dict[str, Handler] | None = None) -> Pipeline:
                 continue
             if v.startswith("env:"):
                 variables.append(Variable(k, env=v[4:]))
-            elif re.fullmatch(r"-?\d+\.\.-?\d+", v):
+            elif re.fullmatch(r"[+-]?\d+\.\.[+-]?\d+|\d{4}-\d\d-\d\d\.\.\d{4}-\d\d-\d\d", v):
                 variables.append(Variable(k, first=_range(v)[0], last=_range(v)[1], format=loop.get(f"format-{k}", "yyyy-MM-dd")))
             else:
                 variables.append(Variable(k, value=v))
@@ -304,8 +326,12 @@ def from_xml(text: str, handlers: dict[str, Handler] | None = None) -> Pipeline:
     missing = [w for w in wanted if w not in (handlers or {})]
     if missing:
         raise EngineError("RESOURCE_NOT_AVAILABLE", f"no handlers {missing}")
-    commands = [c.strip() for c in (e.text or "" for e in root.iterfind("onstart//command")) if c.strip()]
-    return Pipeline(source, output, root.get("name", "pipeline"), variables, [handlers[w] for w in wanted], int(root.get("max-errors", 1)), threads, commands)
+    start = root.find("onstart")
+    commands = [] if start is None else [c.strip() for c in (start.text or "", *(e.text or "" for e in start.iterfind(".//command"))) if c.strip()]
+    policy = "continue" if start is None else start.get("error", "continue").lower()
+    if policy not in POLICIES:
+        raise EngineError("INVALID_OPERATION", f"onstart policy {policy}")
+    return Pipeline(source, output, root.get("name", "pipeline"), variables, [handlers[w] for w in wanted], int(root.get("max-errors", 1)), threads, commands, policy, list(row_filters))
 
 
 def run_xml(spark: SparkSession, path: str, handlers: dict[str, Handler] | None = None, **options) -> list[Result]:

@@ -140,3 +140,15 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "b.tsv").write_text("id\tw\n2\t\\N\n")
     stream_files.drain(frame(), f"{tmp_path}/state", stream_files.append_to(spark, f"{tmp_path}/out"))
     assert rows(spark.read.parquet(f"{tmp_path}/out").select("id", "w", "batch")) == [(1, "x\ty", 0), (2, None, 1)]
+
+
+def test_onstart_policy_and_row_filter(spark, engine, home):
+    xml = XML.format(home=home, errors=9).replace("<loop", f'<onstart error="POLICY">echo {{dateDash}} &gt;&gt; {home}/started; false</onstart><loop', 1).replace("-2..0", "2024-03-01..2024-03-02")
+    with pytest.raises(EngineError):
+        pipeline.from_xml(xml.replace("POLICY", "exit")).run(engine, allow_shell=True)
+    p = pipeline.from_xml(xml.replace("POLICY", "continue").replace("<sort columns=\"id\"/>", ""), row_filters=[lambda df: df.os != "win"])
+    found = sorted(p.run(engine, allow_shell=True), key=lambda r: r.output)
+    assert [(r.rows_in, r.rows_out, r.errors) for r in found] == [(6, 1, 1)] * 2  # a null os does not meet the filter
+    assert (home / "started").read_text().split() == ["2024-03-01", "2024-03-01", "2024-03-02"]
+    with pytest.raises(EngineError):
+        pipeline.from_xml(xml.replace("POLICY", "perhaps"))
