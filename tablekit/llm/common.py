@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; longer single texts make a chunk of their own.
 CHUNK_BYTES = 2 << 20
+#: Session settings that operators bound where they have Spark's own values, by what those are: bytes of an Arrow batch, and
+#: rows of a Parquet batch in the JVM. Thousands of rows of long texts would be gigabytes.
+BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20)), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place, so that names that differ only by case, or repeat, do not matter; batches
+    made from it are bounded, whatever the length of its texts."""
+    conf = df.sparkSession.conf
+    for key, (usual, bounded) in BOUNDED.items():
+        if conf.get(key, usual) == usual:
+            conf.set(key, bounded)
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
 def narrow(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
@@ -24,8 +37,7 @@ def narrow(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """
     wanted = {n: n for n in names} | renamed
     places = {new: df.columns.index(old) for new, old in wanted.items()}
-    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"_c{i}").alias(new) for new, i in places.items()])
+    return positional(df).select(*[F.col(f"_c{i}").alias(new) for new, i in places.items()])
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,9 +57,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: its lineage is cut there, and lost executors cost nothing."""
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, plain = new_path(spark, name), positional(df)
+    plain.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
 def remove(spark: SparkSession, df: DataFrame) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import chunks, narrow, utf8, written
+from .common import chunks, narrow, positional, utf8, written
 from .cuckoo import CuckooFilter
 from .words import LOWER, SPACE, line_bounds
 
@@ -37,6 +37,11 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.frombuffer(digest, "<i8").reshape(-1, 2), a == b, first
 
 
+def as_pairs(keys: np.ndarray) -> np.ndarray:
+    """Two int64 columns as one of pairs, which sort and compare as a whole."""
+    return np.ascontiguousarray(keys).view([("a", "<i8"), ("b", "<i8")]).ravel()
+
+
 def _distinct_keys(src: DataFrame) -> DataFrame:
     """(k1, k2, docs): keys of non-empty lines with the number of rows that hold them, summed up within a chunk."""
 
@@ -85,7 +90,7 @@ class LineIndex:
         return self._changed(docs, 1)
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """Takes back documents that were inserted."""
+        """Takes back documents that were inserted. Others leave negative counts, which inserting them later settles."""
         return self._changed(docs, -1)
 
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
@@ -96,12 +101,13 @@ class LineIndex:
         counts = written(self.spark, both.groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.sum("old").alias("old")), "line_counts")
         up, was = F.col("docs") >= self.threshold, F.col("old") >= self.threshold
         frequent = counts.filter(up).count()
-        shards = self.shards or max(1, frequent // SHARD_KEYS)
-        keep = self.filters is not None and self.shards is not None
+        wanted = max(1, frequent // SHARD_KEYS)
+        keep = self.filters is not None and self.shards is not None and wanted <= 2 * self.shards  # else the shards are dealt anew
+        shards = self.shards if keep or self.filters is None and self.shards else wanted
         changes = counts.filter(up | was).select(F.pmod("k2", F.lit(shards)).alias("shard"), "k1", up.alias("up"), (was & ~up if keep else F.lit(False)).alias("down"), (up & was if keep else F.lit(False)).alias("stays"))
-        none = self.spark.createDataFrame([], "shard bigint, filter binary")
+        none = self.spark.range(0).select(F.col("id").alias("shard"), F.lit(b"").alias("filter"))
         filters = (self.filters if keep else none).groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_update, "shard bigint, filter binary")
-        left = counts.filter(F.col("docs") > 0).select("k1", "k2", "docs")
+        left = counts.filter(F.col("docs") != 0).select("k1", "k2", "docs")
         return LineIndex(self.spark, self.threshold, shards, left, written(self.spark, filters, "line_filters"))
 
     def frequent(self) -> DataFrame:
@@ -119,14 +125,13 @@ class LineIndex:
         return self._with_broadcast(docs) if few else self._with_join(docs)
 
     def _with_broadcast(self, docs: DataFrame) -> DataFrame:
-        exact = self.frequent().toPandas().to_numpy(np.int64).reshape(-1, 2)
-        exact = exact[np.lexsort((exact[:, 1], exact[:, 0]))]
+        exact = np.sort(as_pairs(self.frequent().toPandas().to_numpy(np.int64).reshape(-1, 2)))
         filters = {r["shard"]: r["filter"] for r in self.filters.collect()}
         shared = self.spark.sparkContext.broadcast((exact, filters))
         shards = self.shards
 
         def lookup(_: pa.RecordBatch):
-            sorted_keys, raw = shared.value
+            exact_keys, raw = shared.value
             probes = {s: CuckooFilter.from_bytes(f) for s, f in raw.items()}
 
             def find(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -135,9 +140,9 @@ class LineIndex:
                 for s, probe in probes.items():
                     at = np.flatnonzero(shard == s)
                     hit[at] = probe.contains(np.ascontiguousarray(keys[at, 0]).view(np.uint64))
-                for i in np.flatnonzero(hit):  # few: what the filter lets through is confirmed by the exact keys
-                    lo, hi = np.searchsorted(sorted_keys[:, 0], keys[i, 0], "left"), np.searchsorted(sorted_keys[:, 0], keys[i, 0], "right")
-                    hit[i] = keys[i, 1] in sorted_keys[lo:hi, 1]
+                at = np.flatnonzero(hit)  # what the filters let through is confirmed by the exact keys
+                place = np.searchsorted(exact_keys, as_pairs(keys[at]))
+                hit[at] = exact_keys[np.minimum(place, len(exact_keys) - 1)] == as_pairs(keys[at]) if len(exact_keys) else False
                 return hit
 
             return find
@@ -145,21 +150,20 @@ class LineIndex:
         return _rewrite(docs, lookup, None)
 
     def _with_join(self, docs: DataFrame) -> DataFrame:
-        src = narrow(docs, "doc_id", "text")
-        kind = src.schema["doc_id"].dataType.simpleString()
+        """Texts are joined by their MD5 with the frequent lines that they hold, so rows of one id, or of none, are spread."""
+        plain = positional(docs)
+        text = F.coalesce(plain[docs.columns.index("text")], F.lit(""))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in chunks(batches, 1):
                 _, _, keys, empty, first = line_keys(*utf8(part.column(1)))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[~empty]
                 keys = keys[~empty]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], ["doc_id", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], ["_md5", "k1", "k2"])
 
-        lines = src.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint")
-        held = lines.join(self.frequent(), ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_found"))
-        plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-        at = docs.columns.index("doc_id")
-        joined = plain.join(held, plain[f"_c{at}"].eqNullSafe(held["doc_id"]), "left").select(*plain.columns, F.col("_found.k1").alias("_k1"), F.col("_found.k2").alias("_k2"))
+        lines = plain.select(F.md5(text).alias("_md5"), text.alias("text")).mapInArrow(run, "_md5 string, k1 bigint, k2 bigint")
+        held = lines.join(self.frequent(), ["k1", "k2"]).groupBy("_md5").agg(F.collect_set(F.struct("k1", "k2")).alias("_found"))
+        joined = plain.join(held, F.md5(text) == held["_md5"], "left").select(*plain.columns, F.col("_found.k1").alias("_k1"), F.col("_found.k2").alias("_k2"))
 
         def lookup(part: pa.RecordBatch):
             n = part.num_columns
@@ -192,7 +196,7 @@ def _rewrite(docs: DataFrame, lookup, like: DataFrame | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first)), pa.array(dropped.astype(np.int64))], [f"c{i}" for i in range(width + 2)])
 
     fields = [StructField(f"c{i}", f.dataType, True) for i, f in enumerate(like.schema.fields)]
-    out = docs.mapInArrow(run, StructType([*fields, StructField(f"c{width}", LongType()), StructField(f"c{width + 1}", LongType())]))
+    out = positional(docs).mapInArrow(run, StructType([*fields, StructField(f"c{width}", LongType()), StructField(f"c{width + 1}", LongType())]))
     return out.toDF(*like.columns, "n_lines", "n_dropped")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, mixed, narrow, strings, utf8
+from .common import chunks, mixed, narrow, positional, strings, utf8
 from .words import Words, line_bounds
 
 #: Lengths in words of the n-grams whose repetition counts, and the largest share of word characters inside repeated
@@ -116,11 +116,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that quality_rules() keeps, all columns unchanged; no shuffle."""
-    place = docs.columns.index("text")
+    """The rows of ``docs`` that quality_rules() keeps, all columns unchanged; no shuffle.
+
+    A null or empty text goes, as it fails the base rules; ids may be null or repeat, each row is judged by its own text,
+    however long; an empty table gives an empty one; further columns, also such as differ only by case, stay.
+    """
+    place, plain = docs.columns.index("text"), positional(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, place):
             yield part.filter(pa.array(measure(*utf8(part.column(place)))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mixed, narrow, utf8, written
+from .common import chunks, mixed, narrow, positional, utf8, written
 from .minhash import shingle_sets
+from .tokens import LETTER, classes
 from .words import Words
 
 #: The most labelled documents that the classifier is fitted on, chosen by a hash of doc_id.
@@ -28,8 +30,8 @@ PURITY = 0.5
 NEARLY_PURE, COMMON = 0.9, 0.1
 #: Prefix lengths that are features beside whole words; fewer documents with a feature than LEAST are no evidence.
 PREFIXES, LEAST = (4, 5, 6, 7, 8), 4
-#: Distinct tokens whose features a worker keeps.
-CACHED_TOKENS = 200_000
+#: Distinct tokens whose evidence a worker keeps from one task to the next, and their longest (bytes): about 30 MB.
+CACHED_TOKENS, CACHED_LENGTH = 150_000, 48
 
 # The letters of the language model (0 is a word's edge, 1 any other character), leetspeak, channel costs.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
@@ -52,18 +54,16 @@ JOINED = str.maketrans("", "", SEPARATORS)
 PLAIN = re.compile(r"[^\W\d_]+")
 
 
+@functools.cache
 def _letter_codes() -> np.ndarray:
-    table = np.full(0x110000, 0, np.uint8)
-    for c in range(0x110000):
-        if unicodedata.category(chr(c))[0] == "L":
-            table[c] = 1
+    table = (classes() == LETTER).astype(np.uint8)
     for c, k in CODE.items():
         table[ord(c)] = k
     return table
 
 
 class CharModel:
-    """Trigram costs (negative logarithms) of letters within words, smoothed by shorter contexts."""
+    """Trigram costs (negative logarithms) of letters within words, smoothed by shorter contexts; travels as one array."""
 
     def __init__(self, counts: np.ndarray):
         three = counts.reshape(SIZE, SIZE, SIZE).astype(float)
@@ -71,7 +71,15 @@ class CharModel:
         p1 = (one + 0.5) / (one + 0.5).sum()
         p2 = (two + 2 * p1) / (two.sum(1, keepdims=True) + 2)
         p3 = (three + 2 * p2) / (three.sum(2, keepdims=True) + 2)
-        self.cost = (-np.log(p3)).tolist()
+        self.costs = -np.log(p3)
+
+    def __getstate__(self) -> dict:
+        return {"costs": self.costs}
+
+    @functools.cached_property
+    def cost(self) -> list[list[list[float]]]:
+        """The costs as nested lists, which plain Python reads fastest."""
+        return self.costs.tolist()
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -187,6 +195,10 @@ class Texts:
                 self.spaced.append((int(w.doc[s]), " ".join(self.tokens[i] for i in w.ids[s : e + 1])))
 
 
+#: The telling words of tokens that this worker has met, for the model it used last, by the model's digest.
+_MET: tuple[bytes, dict[str, dict[str, float] | None]] = (b"", {})
+
+
 @dataclass
 class ToxicityModel:
     language: CharModel
@@ -194,8 +206,17 @@ class ToxicityModel:
     evidence: dict[str, float]
     #: The probability for documents without any.
     base: float
-    #: The telling words of tokens met before; None for most, which have none.
-    cache: dict[str, dict[str, float] | None] = field(default_factory=dict)
+
+    @functools.cached_property
+    def digest(self) -> bytes:
+        return hashlib.blake2b(repr(sorted(self.evidence.items())).encode() + self.language.costs.tobytes(), digest_size=16).digest()
+
+    def met(self) -> dict[str, dict[str, float] | None]:
+        """The telling words of tokens met before, in this task or an earlier one of the worker; None for most, which have none."""
+        global _MET
+        if _MET[0] != self.digest or len(_MET[1]) > CACHED_TOKENS:
+            _MET = (self.digest, {})
+        return _MET[1]
 
     def words_in(self, token: str) -> dict[str, float]:
         """The telling words of a token: the strongest evidence of each."""
@@ -225,17 +246,18 @@ class ToxicityModel:
         """The telling words of each text with their evidence."""
         texts = Texts(data, offsets)
         found: list[dict[str, float]] = [{} for _ in range(len(offsets) - 1)]
-        if len(self.cache) > CACHED_TOKENS:
-            self.cache.clear()
-        telling = np.zeros(len(texts.tokens), bool)
+        met, telling = self.met(), {}
         for k, t in enumerate(texts.tokens):
-            own = self.cache.get(t, self)
+            own = met.get(t, self)
             if own is self:
-                own = self.cache[t] = self.words_in(t) or None
-            telling[k] = own is not None
-        if len(telling):
-            for k in np.flatnonzero(telling[texts.words.ids]):
-                found[texts.words.doc[k]].update(self.cache[texts.tokens[texts.words.ids[k]]])
+                own = self.words_in(t) or None
+                if len(t) <= CACHED_LENGTH:
+                    met[t] = own
+            if own is not None:
+                telling[k] = own
+        if telling:
+            for k in np.flatnonzero(np.isin(texts.words.ids, [*telling])):
+                found[texts.words.doc[k]].update(telling[int(texts.words.ids[k])])
         for d, word in texts.spaced:
             found[d].update(self.words_in(word))
         return found
@@ -369,11 +391,15 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score() does not predict to be toxic, all columns unchanged; no shuffle."""
-    place = docs.columns.index("text")
+    """The rows of ``docs`` that score() does not predict to be toxic, all columns unchanged; no shuffle.
+
+    A null or empty text is kept unless most documents are toxic; ids may be null or repeat, each row is judged by its own
+    text, however long; an empty table gives an empty one; further columns, also such as differ only by case, stay.
+    """
+    place, plain = docs.columns.index("text"), positional(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, place):
             yield part.filter(pa.array(model.scores(*utf8(part.column(place))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
