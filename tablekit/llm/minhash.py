@@ -23,7 +23,9 @@ STEP = 25
 #: A candidate is pruned once its similarity reaches the threshold with at most this probability, given the matches so far.
 MISS = 1e-4
 #: Members of a bucket, and shingles of a candidate group, that one task compares; larger ones are cut into pairs of blocks.
-BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 400_000
+#: Bytes of whole groups that a worker holds at a time (a larger group more), and shingles that it compares at a time.
+HELD_BYTES, COMPARED = 4 << 20, 100_000
 SMALL = 24
 
 _seed = np.random.default_rng(20240)
@@ -149,19 +151,21 @@ def search(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
 
 
 def by_group(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[pa.Table]:
-    """Tables of whole groups: rows arrive sorted by their first ``width`` columns; about ``most`` rows at a time."""
+    """Tables of whole groups: rows arrive sorted by their first ``width`` columns; about ``most`` rows or HELD_BYTES at a time."""
     held: list[pa.RecordBatch] = []
+    factor = 1
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.num_rows for b in held) >= most:
+        if sum(b.num_rows for b in held) >= factor * most or sum(b.nbytes for b in held) >= factor * HELD_BYTES:
             table = pa.Table.from_batches(held).combine_chunks()
             keys = [table.column(k).to_numpy() for k in range(width)]
             new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             if len(new):
                 yield table.slice(0, int(new[-1]))
-                held = table.slice(int(new[-1])).to_batches()
+                held = pa.Table.from_batches(table.slice(int(new[-1])).to_batches()).combine_chunks().to_batches()
+            factor = 1 if len(new) else 2 * factor
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -237,6 +241,10 @@ def exact_edges(docs: DataFrame, groups: DataFrame, size: int, percent: int) ->
 
                 def linked(i: int, rest: np.ndarray) -> np.ndarray:
                     own = h[first[lo + i] : first[lo + i + 1]]
+                    parts = np.split(np.arange(len(rest)), np.flatnonzero(np.diff(np.cumsum(n[rest]) // COMPARED)) + 1)
+                    return np.concatenate([p[alike(i, own, rest[p])] for p in parts])
+
+                def alike(i: int, own: np.ndarray, rest: np.ndarray) -> np.ndarray:
                     each = n[rest]
                     starts = np.cumsum(each) - each
                     at = np.repeat(first[lo + rest] - starts, each) + np.arange(int(each.sum()))
