@@ -17,8 +17,8 @@ from .common import chunks, narrow, utf8, written
 from .tokens import hub_coder
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it in a sequence)
-#: Parts into which the pieces of one length are dealt for numbering them.
-SLOTS = 256
+#: Pieces of one length that are numbered together; there are as many parts as the most frequent length needs.
+NUMBERED = 200_000
 
 
 @dataclass
@@ -203,16 +203,17 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
     Documents are encoded once, without a shuffle, and their pieces written. Only how many pieces have each length (at
     most ``capacity`` numbers) reaches the driver, where sets that dominate all others are fixed and the rest is packed
     by best fit; the plan has a few rows for each length and goes to the tasks. Pieces of a length are interchangeable:
-    they are numbered in parts (SLOTS for each length, so that a length that a third of all pieces has is spread) and
-    take the plan's places by number.
+    they are numbered in parts of about NUMBERED, so that a length that a third of all pieces has is spread, and take the
+    plan's places by number.
 
-    A null or empty text is the end id alone; null doc_ids stay; repeated rows are packed each; an empty table gives an
-    empty result; further columns are ignored.
+    A null or empty text is the end id alone; null doc_ids stay, of whatever type; repeated rows are packed each; a long text
+    is cut into pieces; an empty table gives an empty result; further columns, whatever their names, are ignored.
     """
     table = written(spark, pieces(docs, tokenizer, end_id, capacity), "pieces")
-    slotted = table.withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLOTS)))
+    histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    places, slots = plan(histogram, capacity), max(16, -(-max(histogram.values(), default=0) // NUMBERED))
+    slotted = table.withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(slots)))
     counts = slotted.groupBy("length", "slot").count()
-    places = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = counts.select("length", "slot", (F.sum("count").over(Window.partitionBy("length").orderBy("slot")) - F.col("count")).alias("before"))
     within = Window.partitionBy("length", "slot").orderBy("doc_id", "piece", "start", "ids_crc32")
     numbered = slotted.withColumn("number", F.row_number().over(within) - 1).join(before, ["length", "slot"]).withColumn("number", F.col("number") + F.col("before")).select(*table.columns, "number")

@@ -95,10 +95,15 @@ def _plain(values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """Codes the ids (below 65536) in blocks of BLOCK: their number, each block's lengths and checksum, and the words."""
+    """Codes the ids in blocks of BLOCK: their number, each block's lengths and checksum, and the words.
+
+    ValueError for ids of 65536 and more.
+    """
     n = len(ids)
     if not n:
         return np.array([0], "<u4").tobytes()
+    if int(ids.max()) >= len(ID_SYMBOL):
+        raise ValueError(f"ids must be below {len(ID_SYMBOL)}")
     lanes, last = _lanes(n)
     steps = BLOCK if lanes > 1 else last
     padded = np.zeros(lanes * BLOCK, np.int32)

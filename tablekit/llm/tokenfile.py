@@ -44,12 +44,15 @@ def unframe(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Writes the ids of all documents (doc_id, text), each with ``end_id`` after it, in ascending doc_id order.
 
-    Rows are dealt out by ranges of doc_id and sorted within them; files and the frames in them follow that order, in a
-    Parquet container: (part, frame, n_docs, n_ids, payload). Null doc_ids come first; rows of equal doc_id are ordered
-    by a hash of their text. A null or empty text is the end id alone.
+    Rows are dealt out by ranges of doc_id and of a hash of their text, and sorted within them; files and the frames in
+    them follow that order, in a Parquet container: (part, frame, n_docs, n_ids, payload). Null doc_ids come first; rows
+    of equal doc_id, or without one, are ordered by the hash, so they need not be one range. A null or empty text is the
+    end id alone; a long text is one document of a frame; repeated rows are written each; an empty table gives an empty
+    file; further columns, whatever their names, are ignored. doc_id must be a whole number, or text of one; the ids of the
+    tokenizer must be below 65536.
     """
-    src = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ordered = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    src = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("hash", F.xxhash64("text"))
+    ordered = src.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, k = hub_coder(tokenizer), TaskContext.get().partitionId(), 0
@@ -76,7 +79,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids of a file's documents.
 
-    ids are little-endian 32-bit integers, ids_crc32 their checksum; without ids only numbers leave the decoder.
+    ids are little-endian 32-bit integers, ids_crc32 their checksum; without ids only numbers leave the decoder. A file
+    of no documents gives no rows; null and repeated doc_ids come back as they were; damage raises ValueError.
     """
     frames = spark.read.parquet(path)
     sizes = frames.select("part", "frame", "n_ids")
@@ -105,7 +109,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, with_ids: bool = True) -> DataFrame:
-    """write() into the shared folder, and read() back from there."""
+    """write() into the shared folder, and read() back from there; odd rows as these say."""
     path = new_path(spark, "token_ids")
     write(docs, path, tokenizer, end_id)
     return read(spark, path, with_ids)

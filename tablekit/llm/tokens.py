@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
+import re
 import struct
 from collections.abc import Callable
 
@@ -121,8 +123,9 @@ class WordCoder:
     met again before the other half is full are forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], of: Callable[[np.ndarray], np.ndarray] | None = None):
-        self.encode, self.of, self.known, self.older = encode, of, {}, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], of: Callable[[np.ndarray], np.ndarray] | None = None, added: dict[bytes, int] | None = None):
+        self.encode, self.of, self.known, self.older, self.added = encode, of, {}, {}, added or {}
+        self.found = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or b"(?!)")
 
     def _lookup(self, listed: list[bytes]) -> list[bytes]:
         missing = [w for w in listed if w not in self.known]
@@ -134,8 +137,35 @@ class WordCoder:
         self.known.update(zip(new, self.encode(new)))
         return [*map(self.known.__getitem__, listed)]
 
+    def _added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where added tokens begin and end in the texts, and their ids: the first, of those that begin there the longest."""
+        begin, end, ids, raw = [], [], [], data.tobytes()
+        if self.found.search(raw):
+            for t in np.flatnonzero(np.diff(np.searchsorted([m.start() for m in self.found.finditer(raw)], offsets))):
+                for m in self.found.finditer(raw, offsets[t], offsets[t + 1]):
+                    begin.append(m.start()), end.append(m.end()), ids.append(self.added[m.group()])
+        return np.array(begin, np.int64), np.array(end, np.int64), np.array(ids, np.uint32)
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and how many each text has."""
+        """The ids of all texts one after another, and how many each text has; added tokens are cut out of the texts first."""
+        begin, end, special = self._added(data, offsets)
+        if not len(begin):
+            return self._plain(data, offsets)
+        cuts = np.unique(np.concatenate([offsets, begin, end]))  # pieces between texts' ends and added tokens
+        ids, counts = self._plain(data, cuts)
+        first = np.cumsum(counts) - counts
+        marked = np.searchsorted(cuts, begin)
+        keep = np.ones(len(ids), bool)
+        for k in marked:
+            keep[first[k] : first[k] + counts[k]] = False
+        keep[first[marked]] = True
+        ids = ids.copy()
+        ids[first[marked]] = special
+        counts[marked] = 1
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids[keep], np.diff(ends[np.searchsorted(cuts, offsets)])
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         distinct, index, counts = words(data, offsets, self.of)
         pieces = self._lookup(distinct.to_pylist())
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
@@ -156,11 +186,16 @@ def byte_letters() -> dict[int, str]:
 
 @functools.cache
 def hub_coder(path: str) -> WordCoder:
-    """By the tokenizers library; the strings of special tokens in a text are ordinary text."""
+    """By the tokenizers library, as its encode(text, add_special_tokens=False) does: the strings of the file's added tokens
+    are these tokens wherever they stand in a text. Added tokens that take white space or word edges along are refused."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        added = {t["content"].encode(): t for t in json.load(f)["added_tokens"]}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added.values()):
+        raise ValueError(f"added tokens of {path} do not stand for themselves alone")
     model, letters = tokenizer.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
     def encode(new: list[bytes]) -> list[bytes]:
@@ -171,7 +206,7 @@ def hub_coder(path: str) -> WordCoder:
         return out
 
     split = tokenizer.pre_tokenizer.pre_tokenize_str
-    return WordCoder(encode, Classes(lambda text: [at for _, (at, _) in split(text)]).of)
+    return WordCoder(encode, Classes(lambda text: [at for _, (at, _) in split(text)]).of, {text: t["id"] for text, t in added.items()})
 
 
 @functools.cache

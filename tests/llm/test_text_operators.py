@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablekit.llm import bytebpe, htmltext, linededup, packing, quality, queries, rangecoder, tokenfile, toxicity, urlfilter
-from tablekit.llm.common import utf8
+from tablekit.llm.common import narrow, utf8
 from tablekit.llm.cuckoo import CuckooFilter
 from tablekit.llm.tokens import hub_coder
 
@@ -32,13 +32,11 @@ JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 def docs(spark):
     """Odd rows, with further columns whose names clash with each other and with the operators' own."""
     data = [(t, i, 0, "x", None) for i, t in TEXTS]
-    return spark.createDataFrame(data, "text string, doc_id bigint, kept int, Text2 string, n_words string").toDF("text", "doc_id", "kept", "Doc_Id2", "n_words")
+    return spark.createDataFrame(data, "text string, doc_id bigint, kept int, other string, n_words string").toDF("text", "doc_id", "kept", "Doc_ID", "TEXT")
 
 
 def tokenizer():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def test_quality(spark, docs):
@@ -60,7 +58,7 @@ def test_quality(spark, docs):
     good = " ".join(f"w{k}" for k in range(60))
     for text, kept in ((good, True), (good + " #" * 40, False), ("\n".join([good] * 3), False), (None, False), (good + "\n" + " ".join(f"w{k}" for k in range(5)), True)):
         assert quality.quality_rules(spark.createDataFrame([(1, text)], "doc_id int, text string")).head().kept is kept
-    kept = quality.keep_quality(docs.withColumn("text", F.lit(good)))
+    kept = quality.keep_quality(docs.toDF(*"abcde").withColumn("a", F.lit(good)).toDF(*docs.columns))
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
@@ -128,6 +126,53 @@ def test_html_elements_that_are_not_raw():
     assert htmltext.main_text("<svg>" * 20_000 + article + "<object>" * 20_000 + "</div>" * 20_000) == body
 
 
+def test_html_wrappers():
+    """What wraps the page does not condemn it; what it names boilerplate beside an article goes."""
+    body = ("Long enough text to be the main text of this page here. " * 6).strip()
+    five, wanted = f"<p>{body}</p>" * 5, "\n\n".join([body] * 5)
+    for page in (
+        f"<body><nav><a href=/>Home</a></nav><div class='content-with-sidebar'>{five}</div><footer>me</footer></body>", f"<div class='elementor-widget-text'>{five}</div>",
+        f"<body><div class=widget>{five}</div><div class=footer>x y z</div></body>", f"<body><form id=f><input name=a>{five}</form></body>", f"<form><header>Site</header><main>{five}</main><fieldset>Mail</fieldset></form>",
+        f"<body class='page-with-comments'>{five}<div class=comments>{five * 3}</div></body>", f"<article>{five}</article><div class=promo>{five * 3}</div>", f"<article>{five}<aside>{five}</aside><section class=replies>{five}</section></article>",
+        f"<aside><article>{five}</article></aside><main>{five}</main>", f"<article><header>{five}</header></article>",
+    ):
+        assert htmltext.main_text(page) == wanted, page
+    assert htmltext.main_text("<article><p>Some <b>text</b> with words</p></article>") == htmltext.main_text("<article><p>Some text with words</p></article>") == "Some text with words"
+    found, claims = htmltext.blocks("<p>Some <b>text</b> with words</p><p>Some text with words</p>")
+    assert len(set(htmltext.evidence(found, claims))) == 1
+
+
+#: Pages of other markup than the generator's, with what belongs to their main text.
+BY_HAND = [
+    (["Today in town", "The council met on Tuesday and voted for the new bridge after a debate of several hours that went on late.", "Yes.", "Then the mayor, who had not spoken before, thanked all members and closed the meeting with a short speech.", "By ten it was over."], "<div><div>{0}</div><p>{1}</p><div>{2}</div><p>{3}</p><div>{4}</div></div><ul><li><a href=/a>Sport</a></li><li><a href=/b>Weather</a></li><li>Read all that we wrote on it in the last year</li><li><a href=/c>Jobs</a></li></ul>"),
+    (["A recipe for bread that needs no kneading, only time, which you have if you start in the evening of the day before.", "Flour", "Salt", "Water", "Stir, wait for twelve hours, and bake it in a closed pot for thirty minutes, then for fifteen more without the lid."], "<table><tr><td>{0}<td>{1}<td>{2}<td>{3}<td>{4}</table><div><a href=1>Next recipe of the day</a></div><div><a href=2>All of our recipes</a></div><div>Eat well, every day, with us</div><div><a href=3>About us</a></div>"),
+]
+
+
+def test_html_the_cut_decides():
+    """Neighbours outvote the classifier, and the text is nearer to the main text than what its threshold gives."""
+    flipped = 0
+    for texts, page in BY_HAND:
+        page = page.format(*texts)
+        found, claims = htmltext.blocks(page)
+        alone = htmltext.evidence(found, claims)
+        kept = htmltext.minimum_cut(alone, htmltext.smoothness(found))
+        flipped += sum((e > 0) != k for e, k in zip(alone, kept))
+        right = [b.text in texts for b in found]
+        assert kept == right and [e > 0 for e in alone] != right, [(b.text[:20], round(e, 2), k) for b, e, k in zip(found, alone, kept)]
+    assert flipped >= 4
+
+
+def test_html_time():
+    """Linear in the number of blocks."""
+    from time import process_time
+
+    body = ("Long enough text to be the main text of this page here. " * 6).strip()
+    began = process_time()
+    assert htmltext.main_text(f"<body><article><p>{body}</p></article>" + "".join(f"<div>short {k}</div><ul><li>a<li>b</ul>" for k in range(20_000))) == body
+    assert process_time() - began < 10
+
+
 def test_minimum_cut():
     """Against all labellings of small graphs."""
     r = random.Random(1)
@@ -183,7 +228,7 @@ def test_line_dedup(spark, docs):
     for most in (1_000_000, 0):  # by broadcast and by join
         out = index.drop_lines(docs, most)
         assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
-        assert rows(out.select("doc_id", "text", "n_lines", "n_dropped")) == wanted
+        assert rows(narrow(out, "doc_id", "text", "n_lines", "n_dropped")) == wanted
     assert linededup.dedup_lines(spark, docs.limit(0)).count() == 0
 
 
@@ -229,7 +274,7 @@ def test_varints_and_bits():
 
 def test_tokens_like_the_library():
     r = random.Random(1)
-    pool = [" ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "s", "re", "a", "B", "é", "1", "!", "漢", "😀", "<|endoftext|>", "\x1c", "\x85", "\u3000", "\u0558", "\U0001e6c0"]
+    pool = [" ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "s", "re", "a", "B", "é", "1", "!", "漢", "😀", "<|endoftext|>", "<|endof", "text|>", "\x1c", "\x85", "\u3000", "\u0558", "\U0001e6c0"]
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(5000)] + [chr(c) + x + chr(c) for c in (r.choice([*range(0xD800), *range(0xE000, 0x110000)]) for _ in range(3000)) for x in ("a", " ")]
     ids, counts = hub_coder(JSON).ids(*utf8(pa.array(texts)))
     ends = np.cumsum(counts)
@@ -248,11 +293,13 @@ def test_range_coder():
     assert len(raw) < len(text)  # repeated passages cost little
     with pytest.raises(ValueError):
         rangecoder.decode(raw[:-400] + bytes(400))
+    with pytest.raises(ValueError):
+        rangecoder.encode(np.array([3, 65536], np.uint32))
 
 
 def test_token_file(spark, docs):
     tok, start, wanted = tokenizer(), 0, []
-    key = {r.t: r.h for r in docs.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()}
+    key = {r.t: r.h for r in narrow(docs, t="text").withColumn("h", F.xxhash64("t")).collect()}
     for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, key[x[1]])):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         wanted.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
