@@ -19,16 +19,20 @@ from .plans.parser import parse, parse_find
 from .schema import Index, Meta
 from .sources import jdbc, paths, registry
 
+#: Files whose rows SHOW TABLES counts in one job.
+COUNTED = 50
+
 
 class Engine:
     """Reads and changes tables named by paths.
 
     Files are Parquet, TSV, CSV, TBL, JSON lines, unions of files, or what a plugin reads; tables with a primary key end
-    in registry.NATIVE; databases are named by JDBC urls or by aliases of ``jdbc_properties``.
+    in registry.NATIVE; databases are named by JDBC urls or by aliases of ``jdbc_properties``. ``stable``: ORDER BY keeps
+    rows of equal keys in the order of the scan.
     """
 
-    def __init__(self, spark: SparkSession, jdbc_properties: str = "", predict_types: bool = False):
-        self.spark, self.aliases, self.predict_types = spark, jdbc.aliases(jdbc_properties), predict_types
+    def __init__(self, spark: SparkSession, jdbc_properties: str = "", predict_types: bool = False, stable: bool = False):
+        self.spark, self.aliases, self.predict_types, self.stable = spark, jdbc.aliases(jdbc_properties), predict_types, stable
         self.open_tables: dict[str, Table] = {}
         self.temporary: dict[str, str] = {}
 
@@ -64,7 +68,7 @@ class Engine:
         q = parse_find(clauses)
         q.table = name
         df = scanned(self.open(name), self.meta(name), q)
-        return limited(ordered(df, q.order_by) if q.order_by else df, q.offset, q.limit)
+        return limited(ordered(df, q.order_by, self.stable) if q.order_by else df, q.offset, q.limit)
 
     def one(self, name: str, index: str, key: Sequence[Any]) -> Row | None:
         return self.table(name).one(index, key).head()
@@ -112,7 +116,7 @@ class Engine:
         if t := jdbc.target(q.table, self.aliases):
             out = jdbc.read(self.spark, t, q)
         else:
-            out = select(self.open(q.table), self.meta(q.table) if q.index or self._native(q.table) else None, q)
+            out = select(self.open(q.table), self.meta(q.table) if q.index or self._native(q.table) else None, q, self.stable)
         return out if q.into is None else self._affected(self._into(q, out))
 
     def _into(self, q: ast.Select, out: DataFrame) -> int:
@@ -216,7 +220,7 @@ class Engine:
         return self.spark.createDataFrame(rows, "Column string, Type string, Key string, `Default` string")
 
     def _show(self, directory: str, recursive: bool) -> DataFrame:
-        rows = []
+        found = []
         for f in paths.walk(self.spark, directory, 100 if recursive else 1):
             try:
                 kind = registry.format_of(f.path)
@@ -225,5 +229,13 @@ class Engine:
             if f.name.startswith(("_", ".")) or f.name.endswith((".desc", ".crc")):
                 continue
             fs, p = paths.file_system(self.spark, f.path)
-            rows.append((f.name, kind, self.rows(f.path), fs.getContentSummary(p).getLength(), f.modified, f.path))
+            found.append((f.name, kind, fs.getContentSummary(p).getLength(), f.modified, f.path))
+        counts: dict[int, int] = {}
+        for at in range(0, len(found), COUNTED):  # one job for many files
+            each = [self.open(f[4]).agg(F.count("*").alias("n")).withColumn("k", F.lit(at + k)) for k, f in enumerate(found[at : at + COUNTED])]
+            together = each[0]
+            for other in each[1:]:
+                together = together.union(other)
+            counts |= {r["k"]: r["n"] for r in together.collect()}
+        rows = [(name, kind, counts[k], size, modified, path) for k, (name, kind, size, modified, path) in enumerate(found)]
         return self.spark.createDataFrame(rows, T.StructType([T.StructField(n, t) for n, t in (("Table", T.StringType()), ("Format", T.StringType()), ("Rows", T.LongType()), ("Bytes", T.LongType()), ("Modified", T.TimestampType()), ("Path", T.StringType()))]))

@@ -146,11 +146,11 @@ def column_of(f: Function, find: Callable[[str], tuple[Column, T.DataType]], ord
     return SIMPLE[name](keep(cols[0][0]), cols[0][1], order)
 
 
-def aggregate(df: DataFrame, keys: Sequence[Key | str], functions: Sequence[Function], order: Sequence[str] = ()) -> DataFrame:
+def aggregate(df: DataFrame, keys: Sequence[Key | str], functions: Sequence[Function], order: Sequence[str] = (), sort_keys: bool = False) -> DataFrame:
     """Groups ``df`` and gives the keys, then the aggregates.
 
     ``order`` names columns that put rows in order for FIRST, LAST and HASH; without, and only if they are used, the
-    order of the scan counts. If every function has a condition, groups none of whose rows meets one do not appear.
+    order of the scan counts. ``sort_keys`` sorts the groups by their keys, nulls last. If every function has a condition, groups none of whose rows meets one do not appear.
     Everything is declarative, so Catalyst aggregates partially before the shuffle and prunes columns.
     """
     from ..plans.predicates import resolver
@@ -186,7 +186,7 @@ def aggregate(df: DataFrame, keys: Sequence[Key | str], functions: Sequence[Func
             out = out.withColumn(f.output, kernels.murmur64(F.col(f"`{f.output}`")))
         elif f.name.upper() == "ROWID":  # one row for each group is numbered, not the input
             out = out.withColumn(f.output, (F.row_number().over(Window.orderBy(*[F.col(f"`{k.alias}`").asc_nulls_last() for k in keys] or [F.lit(1)])) - 1 + f.start).cast("bigint"))
-    return out
+    return out.orderBy(*[F.col(f"`{k.alias}`").asc_nulls_last() for k in keys]) if sort_keys and keys else out
 
 
 def _bitmap_sum(df: DataFrame, grouped: Sequence[Column], keys: Sequence[str], f: Function, find: Callable[[str], tuple[Column, T.DataType]]) -> DataFrame:

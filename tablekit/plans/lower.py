@@ -12,10 +12,13 @@ from .ast import Select
 from .predicates import predicate, resolver
 
 
-def ordered(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
-    """ORDER BY: null is the smallest value."""
+def ordered(df: DataFrame, keys: list[tuple[str, bool]], stable: bool = False) -> DataFrame:
+    """ORDER BY: null is the smallest value; ``stable``: rows of equal keys stay in the order of the scan."""
     find = resolver(df.schema)
-    return df.orderBy(*[find(k)[0].desc_nulls_last() if down else find(k)[0].asc_nulls_first() for k, down in keys])
+    columns = [find(k)[0].desc_nulls_last() if down else find(k)[0].asc_nulls_first() for k, down in keys]
+    if not stable:
+        return df.orderBy(*columns)
+    return df.withColumn("_scanned", F.monotonically_increasing_id()).orderBy(*columns, "_scanned").drop("_scanned")
 
 
 def limited(df: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -62,7 +65,7 @@ def aggregated(df: DataFrame, meta: Meta | None, q: Select) -> DataFrame:
     return limited(out, q.offset, q.limit)
 
 
-def select(df: DataFrame, meta: Meta | None, q: Select) -> DataFrame:
+def select(df: DataFrame, meta: Meta | None, q: Select, stable: bool = False) -> DataFrame:
     """All clauses of a query over the rows of its table; everything after this is Catalyst's."""
     df = scanned(df, meta, q)
     if q.group_by or any(i.function for i in q.items):
@@ -75,6 +78,6 @@ def select(df: DataFrame, meta: Meta | None, q: Select) -> DataFrame:
         df = (df if q.star else df.select(*picked)).dropDuplicates()
         return limited(ordered(df, q.order_by) if q.order_by else df, q.offset, q.limit)
     if q.order_by:
-        df = ordered(df, q.order_by)
+        df = ordered(df, q.order_by, stable)
     df = limited(df, q.offset, q.limit)
     return df if q.star else df.select(*picked)
