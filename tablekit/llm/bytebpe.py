@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, narrow, strings, utf8
-from .tokens import CACHED_WORDS, gathered, ranks, words
+from .tokens import CACHED_WORDS, PATTERN, gathered, ranks, words
 
 #: Bytes of text whose words are gathered into one dictionary before they are dealt out.
-DICTIONARY_BYTES = 16 << 20
+DICTIONARY_BYTES = 8 << 20
 #: Pre-tokens that are put together at a time.
 ASSEMBLED = 500_000
 
@@ -45,29 +45,6 @@ def from_varint(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def to_bits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The low ``bits`` (below 32) of the values one after another in 32-bit words."""
-    ends = np.cumsum(bits)
-    at = ends - bits
-    wide = (values & ((1 << bits) - 1)) << (at & 31)
-    n = -(-int(ends[-1]) // 32) + 1 if len(ends) else 1
-    low, high = np.bincount(at >> 5, (wide & 0xFFFFFFFF).astype(float), n + 1), np.bincount((at >> 5) + 1, (wide >> 32).astype(float), n + 1)
-    return (low + high)[:n].astype("<u4")
-
-
-def from_bits(raw: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    word = np.append(raw.view("<u4"), np.uint32(0)).astype(np.uint64)
-    wide = word[:-1] | (word[1:] << np.uint64(32))
-    at = np.cumsum(bits) - bits
-    return (wide[at >> 5] >> (at & 31).astype(np.uint64)).astype(np.int64) & ((1 << bits) - 1)
-
-
-def low_bits(counts: np.ndarray, n: int) -> np.ndarray:
-    """For words that stand ``counts`` times among n places: how many low bits of each gap are stored plainly (Rice)."""
-    mean = np.maximum(n // np.maximum(counts, 1), 1)
-    return np.repeat(np.maximum(np.log2(mean + 0.5).astype(np.int8) - 1, 0).astype(np.int8), counts)
-
-
 def packed(*parts: np.ndarray) -> bytes:
     """Byte arrays, with their lengths, as one zstandard frame."""
     raw = [np.ascontiguousarray(p).view(np.uint8) for p in parts]
@@ -98,7 +75,7 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Dictionary:
-    """The words of consecutive documents with the places of each."""
+    """The distinct words of consecutive documents, and which word stands at each place."""
 
     def __init__(self) -> None:
         self.local: dict[bytes, int] = {}
@@ -116,122 +93,136 @@ class _Dictionary:
         self.counts.append(counts)
         self.bytes += len(data)
 
-    def rows(self, chunk: int, buckets: int) -> pa.RecordBatch:
-        """One row of the documents (bucket -1), and one for each bucket that has words: words, counts and gaps between places
-        (Rice coded)."""
-        ids = pa.concat_arrays(self.docs)
-        docs = packed(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().astype("<i8"), to_varint(np.concatenate(self.counts)))
-        index = np.concatenate(self.index)
-        self.index.clear()
-        listed = [*self.local]
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in listed), np.int64, len(listed))
-        rank = np.empty(len(listed), np.int32)
-        by_bucket = np.argsort(bucket, kind="stable")
-        rank[by_bucket] = np.arange(len(listed))
-        index = rank[index]
-        counts = np.bincount(index, minlength=len(listed))
-        order = np.argsort(index, kind="stable").astype(np.int32)
-        del index
-        gaps = np.diff(order, prepend=np.int32(0))
-        heads = np.cumsum(counts) - counts
-        gaps[heads] = order[heads]
-        low = low_bits(counts, len(order))
-        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-        ends = np.append(heads, len(order))
-        out_bucket, payload = [-1], [docs]
-        for b in np.flatnonzero(np.diff(cuts)):
-            own = [listed[i] for i in by_bucket[cuts[b] : cuts[b + 1]]]
-            out_bucket.append(int(b))
-            at = slice(ends[cuts[b]], ends[cuts[b + 1]])
-            payload.append(packed(to_varint(np.array([len(w) for w in own])), np.frombuffer(b"".join(own), np.uint8), to_varint(counts[cuts[b] : cuts[b + 1]]), to_varint(gaps[at] >> low[at]), to_bits(gaps[at].astype(np.int64), low[at].astype(np.int64))))
-        return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array([chunk] * len(payload), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "chunk", "payload"])
+
+def dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Dictionary]]:
+    """The dictionaries of a task's documents (doc_id, text), with numbers that are the same whenever the task is run."""
+    number, held = TaskContext.get().partitionId() << 32, _Dictionary()
+    for part in chunks(batches, 1):
+        held.add(part.column(0), *utf8(part.column(1)))
+        if held.bytes >= DICTIONARY_BYTES:
+            yield number, held
+            number, held = number + 1, _Dictionary()
+    if held.docs:
+        yield number, held
+
+
+def by_bucket(listed: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by bucket, and where each bucket's begin and end in it."""
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in listed), np.int64, len(listed))
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def bytes_of(listed: list[bytes]) -> list[np.ndarray]:
+    return [to_varint(np.fromiter(map(len, listed), np.int64, len(listed))), np.frombuffer(b"".join(listed), np.uint8)]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian 32-bit integers) of each row (doc_id, text), as tiktoken encodes it.
 
-    Pre-tokens are exploded with their places, gathered by word within DICTIONARY_BYTES of text, so that a word as
-    frequent as may be is one entry for each dictionary, and dealt by word to ``buckets`` (by default the number of
-    shuffle partitions); there each distinct word is encoded once. Its ids go back to the dictionaries' documents,
-    which are put together by place. Both shuffles carry compressed packets of words, not a row for each pre-token.
+    The distinct words of each DICTIONARY_BYTES of text are dealt by word to ``buckets`` (by default the number of shuffle
+    partitions), so a word as frequent as may be is one entry for each dictionary; there each distinct word is encoded once,
+    as long as the worker's CACHED_WORDS hold it. Its ids go back to the dictionary, and meet there the documents,
+    which are packets of word numbers by place: these travel once, the words alone there and back, all compressed. Both
+    passes over the documents make the same dictionaries; ids that do not come back, as a table changed
+    between them, are encoded where they are needed.
 
-    A null or empty text has no ids; null doc_ids stay; repeated rows are encoded each; an empty table gives an empty
-    result; further columns are ignored. Special tokens in a text are ordinary text.
+    A null or empty text has no ids; null doc_ids stay; doc_id must be a whole number, or text of one; repeated rows are
+    encoded each; a very long text is one packet; an empty table gives an empty result; further columns, whatever their
+    names, are ignored. Special tokens in a text are ordinary text. ``pattern`` must be the one that tokens.py splits by.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if pattern != PATTERN:
+        raise ValueError("texts are split by tokens.PATTERN alone")
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, held = TaskContext.get().partitionId() << 32, _Dictionary()
-        for part in chunks(batches, 1):
-            held.add(part.column(0), *utf8(part.column(1)))
-            if held.bytes >= DICTIONARY_BYTES:
-                yield held.rows(made, buckets)
-                made, held = made + 1, _Dictionary()
-        if held.docs:
-            yield held.rows(made, buckets)
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, d in dictionaries(batches):
+            listed = [*d.local]
+            order, cuts = by_bucket(listed, buckets)
+            found = np.flatnonzero(np.diff(cuts))
+            payload = [packed(*bytes_of([listed[i] for i in order[cuts[b] : cuts[b + 1]]])) for b in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "chunk", "payload"])
+
+    def encoder() -> Callable[[list[bytes]], list[bytes]]:
+        one, known, older = encoding(path, pattern).encode_ordinary, {}, {}
+
+        def run(listed: list[bytes]) -> list[bytes]:
+            nonlocal known, older
+            if len(known) + len(listed) > CACHED_WORDS // 2:
+                known, older = {}, known
+            out = []
+            for w in listed:
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = older.get(w) or np.array(one(w.decode()), "<u4").tobytes()
+                out.append(ids)
+            return out
+
+        return run
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
-        one = encoding(path, pattern).encode_ordinary
+        run = encoder()
         for batch in batches:
-            for k in range(batch.num_rows):
-                chunk, frame = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                kind = batch.column(0)[k].as_py() < 0
-                if not kind:
-                    lengths, raw, *places = unpacked(frame, 5)
-                    found = []
-                    for w in strings(raw, from_varint(lengths)).to_pylist():
-                        ids = known.get(w)
-                        if ids is None:
-                            if len(known) >= CACHED_WORDS:
-                                known.clear()
-                            ids = known[w] = np.array(one(w.decode()), "<u4").tobytes()
-                        found.append(ids)
-                    frame = packed(to_varint(np.array([len(i) // 4 for i in found])), to_varint(np.frombuffer(b"".join(found), "<u4")), *places)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind]), pa.array([frame], pa.binary())], ["chunk", "docs", "payload"])
-
-    def assemble(table: pa.Table) -> pa.Table:
-        kinds, frames = table.column(1).to_pylist(), table.column(2).to_pylist()
-        null, ids, counts = unpacked(frames[kinds.index(True)], 3)
-        doc_ids = pa.array(ids.view("<i8"), mask=null.astype(bool))
-        counts = from_varint(counts)
-        word = np.empty(int(counts.sum()), np.int32)
-        lengths, flat, n = [], [], 0
-        for kind, frame in zip(kinds, frames):
-            if not kind:
-                *coded, plain = unpacked(frame, 5)
-                size, ids, times, gaps = map(from_varint, coded)
-                low = low_bits(times, len(word)).astype(np.int64)
-                gaps = (gaps << low) | from_bits(plain, low)
-                heads = np.cumsum(times) - times
-                run = np.cumsum(gaps)
-                place = run - np.repeat(run[heads] - gaps[heads], times)
-                word[place] = np.repeat(np.arange(n, n + len(size), dtype=np.int32), times)
-                lengths.append(size)
-                flat.append(ids.astype("<u4"))
-                n += len(size)
-        length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-        first = np.cumsum(length) - length
-        ends = np.cumsum(counts)
-        out, n_tokens = [], []
-        group = ends // ASSEMBLED
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
-        for a, b in zip(cuts, cuts[1:]):
-            own = word[ends[a] - counts[a] : ends[b - 1]] if b > a else word[:0]
-            ids, each = gathered(flat, first, length, own)
-            total = np.concatenate([[0], np.cumsum(each)])
-            last = ends[a:b] - (ends[a] - counts[a]) if b > a else ends[:0]
-            tokens = total[last] - total[last - counts[a:b]]
-            n_tokens.append(tokens)
-            out.append(strings(ids.astype("<u4").view(np.uint8), tokens * 4).cast(pa.binary()))
-        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(np.concatenate(n_tokens).astype(np.int64)), "ids": pa.chunked_array(out).combine_chunks()})
-
-    dealt = src.mapInArrow(explode, "bucket int, chunk bigint, payload binary").repartition(buckets, F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(F.col("bucket")))
-    back = dealt.mapInArrow(encode_words, "chunk bigint, docs boolean, payload binary")
-    return back.groupBy("chunk").applyInArrow(assemble, "doc_id bigint, n_tokens bigint, ids binary")
+            out = []
+            for frame in batch.column(2).to_pylist():
+                lengths, raw = unpacked(frame, 2)
+                found = run(strings(raw, from_varint(lengths)).to_pylist())
+                out.append(packed(np.array([xxhash.xxh3_64_intdigest(raw.tobytes())], "<u8"), to_varint(np.fromiter(map(len, found), np.int64, len(found)) // 4), to_varint(np.frombuffer(b"".join(found), "<u4"))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["bucket", "chunk", "payload"])
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, d in dictionaries(batches):
+            ids, listed = pa.concat_arrays(d.docs), [*d.local]
+            frame = packed(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().astype("<i8"), to_varint(np.concatenate(d.counts)), *bytes_of(listed), to_varint(np.concatenate(d.index)))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([frame], pa.binary())], ["chunk", "packet"])
+
+    def assemble(coded: pa.Table, packets: pa.Table) -> pa.Table:
+        parts = [_assembled(p, dict(zip(coded.column("bucket").to_pylist(), coded.column("payload").to_pylist())), buckets, encoder()) for p in packets.column("packet").to_pylist()]
+        return pa.concat_tables([p for p in parts] or [pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})])
+
+    dealt = src.mapInArrow(distinct_words, "bucket int, chunk bigint, payload binary").repartition(buckets, "bucket")
+    back = dealt.mapInArrow(encode_words, "bucket int, chunk bigint, payload binary")
+    whole = src.mapInArrow(documents, "chunk bigint, packet binary")
+    return back.groupBy("chunk").cogroup(whole.groupBy("chunk")).applyInArrow(assemble, "doc_id bigint, n_tokens bigint, ids binary")
+
+
+def _assembled(frame: bytes, coded: dict[int, bytes], buckets: int, encode_words: Callable[[list[bytes]], list[bytes]]) -> pa.Table:
+    """doc_id, n_tokens and ids of a packet's documents, from the ids of its words by bucket."""
+    null, ids, counts, word_lengths, raw, index = unpacked(frame, 6)
+    doc_ids, counts, word = pa.array(ids.view("<i8"), mask=null.astype(bool)), from_varint(counts), from_varint(index)
+    listed = strings(raw, from_varint(word_lengths)).to_pylist()
+    order, cuts = by_bucket(listed, buckets)
+    lengths, flat = [], []
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = [listed[i] for i in order[cuts[b] : cuts[b + 1]]]
+        check, size, found = unpacked(coded[b], 3) if b in coded else (np.zeros(8, np.uint8), None, None)
+        if size is not None and int(check.view("<u8")[0]) == xxhash.xxh3_64_intdigest(b"".join(own)):
+            lengths.append(from_varint(size))
+            flat.append(from_varint(found).astype("<u4"))
+        else:
+            found = encode_words(own)
+            lengths.append(np.array([len(x) // 4 for x in found], np.int64))
+            flat.append(np.frombuffer(b"".join(found), "<u4"))
+    length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+    flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+    rank = np.empty(len(listed), np.int64)
+    rank[order] = np.arange(len(listed))
+    word, first, ends = rank[word], np.cumsum(length) - length, np.cumsum(counts)
+    out, n_tokens = [], []
+    group = ends // ASSEMBLED
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
+    for a, b in zip(edges, edges[1:]):
+        if b == a:
+            continue
+        own = word[ends[a] - counts[a] : ends[b - 1]]
+        ids, each = gathered(flat, first, length, own)
+        total = np.concatenate([[0], np.cumsum(each)])
+        last = ends[a:b] - (ends[a] - counts[a])
+        tokens = total[last] - total[last - counts[a:b]]
+        n_tokens.append(tokens)
+        out.append(strings(ids.astype("<u4").view(np.uint8), tokens * 4).cast(pa.binary()))
+    return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(np.concatenate(n_tokens).astype(np.int64)), "ids": pa.chunked_array(out).combine_chunks()})
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

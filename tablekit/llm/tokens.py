@@ -16,6 +16,8 @@ import regex
 from .common import strings
 
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
+#: Fixed value: the pattern whose matches pretokens() finds.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The most distinct words whose ids a worker keeps.
 CACHED_WORDS = 400_000
 
@@ -56,8 +58,7 @@ class Classes:
 def pretokens(data: np.ndarray, offsets: np.ndarray, of: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Byte places where the pattern's matches start in the texts, and how many matches each text has.
 
-    The pattern is 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+, whose matches tile a
-    text: runs of one class, with a space before a run drawn to it, and contractions cut off.
+    The matches of PATTERN tile a text: runs of one class, with a space before a run drawn to it, and contractions cut off.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
