@@ -21,18 +21,28 @@ from .words import Words
 
 #: The most labelled documents that the classifier is fitted on, chosen by a hash of doc_id.
 TRAINED = 20_000
-#: The share of false findings allowed among all features that are tested.
-FALSE_FINDINGS = 0.05
-#: The least purity, at the lower end of a 95 % interval, of a feature that counts as evidence.
-PURITY = 0.5
-#: The purity with which a feature that at least the share COMMON of toxic documents has is evidence, whatever other
-#: features they have.
-NEARLY_PURE, COMMON = 0.9, 0.1
-#: Prefix lengths that are features beside whole words; fewer documents with a feature than LEAST are no evidence.
-PREFIXES, LEAST = (4, 5, 6, 7, 8), 4
+#: Prefix lengths that are features beside whole words.
+PREFIXES = (4, 5, 6, 7, 8)
 #: Distinct tokens whose evidence a worker keeps from one task to the next, and their longest (bytes): about 30 MB.
 CACHED_TOKENS, CACHED_LENGTH = 150_000, 48
 
+
+@dataclass(frozen=True)
+class Settings:
+    """What counts as evidence; chosen by cross_validated() within the rows that may be learned from."""
+
+    #: The share of false findings allowed among all features that are tested.
+    false_findings: float = 0.05
+    #: The least purity, at the lower end of a 95 % interval, of a feature that counts as evidence.
+    purity: float = 0.5
+    #: The purity with which a feature that at least the share ``common`` of toxic documents has is evidence, whatever other
+    #: features they have.
+    nearly_pure: float = 0.9
+    common: float = 0.1
+    #: Fewer documents with a feature are no evidence.
+    least: int = 4
+
+
 # The letters of the language model (0 is a word's edge, 1 any other character), leetspeak, channel costs.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
@@ -301,20 +311,20 @@ def least_share(k: int, n: int) -> float:
     return (q + z * z / (2 * n) - z * math.sqrt(q * (1 - q) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def explaining(candidates: dict[str, float], docs_of: dict[str, set[int]], bad: set[int]) -> dict[str, float]:
+def explaining(candidates: dict[str, float], docs_of: dict[str, set[int]], bad: set[int], settings: Settings) -> dict[str, float]:
     """The candidates that are evidence by themselves: common, nearly pure ones, and others, purest first, if they are still
     evidence among the documents that those before them do not explain. A rare word of a few toxic documents that
     have a telling word anyway is none."""
     out, explained = {}, set()
     for f, low in sorted(candidates.items(), key=lambda x: (-x[1], -len(docs_of[x[0]]), x[0])):
         rest = docs_of[f] - explained
-        if low >= NEARLY_PURE and len(docs_of[f] & bad) >= COMMON * len(bad) or len(rest) >= LEAST and least_share(len(rest & bad), len(rest)) >= PURITY:
+        if low >= settings.nearly_pure and len(docs_of[f] & bad) >= settings.common * len(bad) or len(rest) >= settings.least and least_share(len(rest & bad), len(rest)) >= settings.purity:
             out[f] = low
             explained |= docs_of[f]
     return out
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRAINED) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRAINED, settings: Settings = Settings()) -> ToxicityModel:
     """Learns the language model from all texts and the evidence from a bounded sample of labelled ones.
 
     A feature (a restored word or its prefix) is evidence if toxic documents have it more often than chance allows for
@@ -349,11 +359,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
     counts = written(spark, train.select("toxic", "text").mapInArrow(run, "feature string, n bigint, bad bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "features")
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     rate = (size["bad"] + 0.5) / (size["n"] + 1)
-    tested = max(1, counts.filter(F.col("n") >= LEAST).count())
+    tested = max(1, counts.filter(F.col("n") >= settings.least).count())
     candidates = {}
-    for r in counts.filter((F.col("n") >= LEAST) & (F.col("bad") > PURITY * F.col("n"))).collect():
+    for r in counts.filter((F.col("n") >= settings.least) & (F.col("bad") > settings.purity * F.col("n"))).collect():
         low = least_share(r["bad"], r["n"])
-        if low >= PURITY and log_tail(r["bad"], r["n"], rate) < math.log(FALSE_FINDINGS / tested):
+        if low >= settings.purity and log_tail(r["bad"], r["n"], rate) < math.log(settings.false_findings / tested):
             candidates[r["feature"]] = low
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,14 +381,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
             docs_of[f].add(k)
         if r["toxic"]:
             bad.add(k)
-    return ToxicityModel(language, explaining(candidates, docs_of, bad), 0.5 * rate)
+    return ToxicityModel(language, explaining(candidates, docs_of, bad, settings), 0.5 * rate)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of each row (doc_id, text); no shuffle.
 
-    A null or empty text has the score of a text without evidence; held_out is false where doc_id is null; repeated rows
-    each get their row; an empty table gives an empty result; further columns are ignored.
+    A null or empty text has the score of a text without evidence; tokens of any length are decoded, texts of any length
+    read whole; held_out is false where doc_id is null; repeated rows each get their row; an empty table gives an empty
+    result; further columns, whatever their names, are ignored.
     """
     src = narrow(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), "text")
 
@@ -390,6 +401,21 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
+def cross_validated(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 3, threshold: float = 0.7) -> dict[str, float]:
+    """The shares of toxic and of clean documents that are predicted to be toxic, by models of the other folds, over the
+    labelled rows that may be learned from; rows held out are not looked at."""
+    own = narrow(labels, "doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)))
+    hit, n = [0, 0], [0, 0]
+    for k in range(folds):
+        mine = own.filter(F.col("fold") == k).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        model = fit(spark, docs, own.filter(F.col("fold") != k), settings=settings)
+        tested = narrow(docs, "doc_id", "text").join(mine.select("doc_id"), "doc_id", "left_semi")
+        for r in score(tested, model, threshold).join(mine, "doc_id").groupBy("toxic").agg(F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect():
+            hit[r["toxic"]] += r["hit"]
+            n[r["toxic"]] += r["n"]
+    return {"caught": hit[1] / max(1, n[1]), "flagged": hit[0] / max(1, n[0])}
+
+
 def keep_civil(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score() does not predict to be toxic, all columns unchanged; no shuffle.
 

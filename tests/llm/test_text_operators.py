@@ -62,6 +62,44 @@ def test_quality(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
+def brute_quality(t):
+    """The shares of word characters inside repeated n-grams and lines, and whether a text is kept."""
+    words = [(m.start(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+    chars, w = sum(len(x) for _, x in words), [x for _, x in words]
+    shares, bad = [], False
+    for size, most in quality.COVERAGE.items():
+        grams = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        n = Counter(grams)
+        inside = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + size)}
+        shares.append(sum(len(w[j]) for j in inside) / max(1, chars))
+        bad |= shares[-1] > most
+    seen, again = set(), 0
+    for line in t.split("\n"):
+        if line.strip(" \t\n\v\f\r"):
+            again += sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line))) * (line in seen)
+            seen.add(line)
+    triples = Counter(zip(w, w[1:], w[2:]))
+    thrice = {j for i, g in enumerate(zip(w, w[1:], w[2:])) if triples[g] > 1 for j in (i, i + 1, i + 2)}
+    failed = len(w) < 50 or 100 * len(thrice) > 50 * len(w)
+    symbols = len(re.findall(r"[#*$%&|<>]", t))
+    return max([0.0, *shares]), again / max(1, chars), not failed and not bad and again / max(1, chars) <= quality.LINE_COVERAGE and symbols <= quality.SYMBOLS_PER_WORD * len(w)
+
+
+def test_quality_coverage():
+    """The shares of word characters inside repeated n-grams and lines, and the verdict, by brute force."""
+    r = random.Random(7)
+
+    verdicts = set()
+    for _ in range(150):
+        pool = ["".join(r.choice("abcdé#") for _ in range(r.randint(1, 4))) for _ in range(r.choice([5, 40, 400]))]
+        sentence = [r.choice(pool) for _ in range(r.randint(0, 120))]
+        text = " ".join(sentence + sentence[: r.choice([0, 0, 6, 30, 90])]) + "\n" + "\n".join([" ".join(r.choice(pool) for _ in range(r.randint(0, 12)))] * r.choice([1, 1, 2, 5]))
+        got, (grams, lines, kept) = quality.measure(*utf8(pa.array([text]))), brute_quality(text)
+        assert abs(got["ngram_coverage"][0] - grams) < 1e-9 and abs(got["line_coverage"][0] - lines) < 1e-9 and bool(got["kept"][0]) == kept, text
+        verdicts.add(kept)
+    assert verdicts == {True, False}
+
+
 def test_quality_random():
     r = random.Random(3)
     texts = ["".join(r.choice(["a", "b", "c ", " ", "\n", "é"]) for _ in range(r.randint(0, 80))) for _ in range(400)]
@@ -263,13 +301,29 @@ def test_byte_bpe(spark, docs):
     assert bytebpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_varints_and_bits():
+def test_byte_bpe_words_that_do_not_come_back(spark, monkeypatch):
+    """Packets whose words are not those that were encoded are put together all the same."""
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.ranks(RANKS), special_tokens={})
+    d = bytebpe._Dictionary()
+    texts = ["a b c", None, "", "b don't  b"]
+    d.add(pa.array([1, None, 3, 4]), *utf8(pa.array(texts)))
+    frame = bytebpe.packed(np.array([0, 1, 0, 0], np.uint8), np.array([1, 0, 3, 4], "<i8"), bytebpe.to_varint(np.concatenate(d.counts)), *bytebpe.bytes_of([*d.local]), bytebpe.to_varint(np.concatenate(d.index)))
+    other = bytebpe.packed(np.array([5], "<u8"), bytebpe.to_varint(np.array([1])), bytebpe.to_varint(np.array([7])))
+    for coded in ({}, {0: other}):
+        out = bytebpe._assembled(frame, coded, 1, lambda listed: [np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes() for w in listed])
+        assert out.column("doc_id").to_pylist() == [1, None, 3, 4]
+        assert [np.frombuffer(x, "<u4").tolist() for x in out.column("ids").to_pylist()] == [enc.encode_ordinary(t or "") for t in texts]
+    with pytest.raises(ValueError):
+        bytebpe.encode(spark.createDataFrame([], "doc_id int, text string"), RANKS, r"\w+")
+
+
+def test_varints():
     r = np.random.default_rng(2)
     for n in (0, 1, 500):
         v = r.integers(0, 1 << 34, n)
         assert (bytebpe.from_varint(bytebpe.to_varint(v)) == v).all()
-        bits = r.integers(0, 31, n)
-        assert (bytebpe.from_bits(bytebpe.to_bits(v, bits).view(np.uint8), bits) == v & ((1 << bits) - 1)).all()
 
 
 def test_tokens_like_the_library():
@@ -390,6 +444,45 @@ def finder(spark):
     return toxicity.ToxicityModel(language, {f"={w}": 0.9 for w in ("stupid", "moron", "idiot", "damn", "bastard", "asshole")} | {"loser-": 0.8}, 0.0)
 
 
+def test_toxicity_viterbi(finder):
+    """Against all readings of short tokens: of those that cost least, restore() gives one."""
+    cost, code, leet = finder.language.cost, toxicity.CODE, toxicity.LEET
+
+    def readings(token, spelled):
+        out = []
+
+        def go(k, a, b, so_far, text):
+            if k == len(token):
+                out.append((so_far + cost[a][b][0], text))
+                return
+            c = token[k]
+            if c.isalpha():
+                go(k + 1, b, code[c], so_far + cost[a][b][code[c]], text + c)
+                if text[-1:] == c:
+                    go(k + 1, a, b, so_far + toxicity.COSTS["repeat"], text)
+                return
+            for x in leet.get(c, ""):
+                go(k + 1, b, code[x], so_far + toxicity.COSTS["leet"] + cost[a][b][code[x]], text + x)
+                if text[-1:] == x:
+                    go(k + 1, a, b, so_far + toxicity.COSTS["leet"] + toxicity.COSTS["repeat"], text)
+            if c in toxicity.SEPARATORS:
+                go(k + 1, a, b, so_far + toxicity.COSTS["separator"], text)
+            if (c not in leet or c.isdigit()) and not (spelled and (c in leet or c in toxicity.SEPARATORS)):
+                go(k + 1, 0, 0, so_far + toxicity.COSTS["stay"] + cost[a][b][0], text + c)
+
+        go(0, 0, 0, 0.0, "")
+        return out
+
+    r = random.Random(5)
+    for _ in range(400):
+        token = "".join(r.choice("aaeiostu1034@$!.-_* 5") for _ in range(r.randint(1, 7)))
+        for spelled in (False, True):
+            found = readings(token, spelled)
+            if found:
+                best = min(p for p, _ in found)
+                assert toxicity.restore(token, finder.language, spelled) in {t for p, t in found if p < best + 1e-9}, token
+
+
 def test_toxicity_spelled_out(finder):
     """A spaced-out word counts wherever its run of single characters begins, and so does a second one."""
     texts = ["such a s t u p i d thing", "I m o r o n", "you 4 i d i o t", "i d i o t m o r o n", "a u i d i 0 t so", "w h a t a l o s e r s", "u s t u p i d  m o r o n", "a a s s h o l e", "a b c d e f g", "1 2 3 4 5", "so a l o s t one"]
