@@ -252,6 +252,35 @@ def test_urls(spark):
     assert rule.tokens == ["a", "b", "com"]  # the path's last token may go on in the url
 
 
+def test_url_patterns(spark):
+    """The pattern language, its literal tokens, and rules found by the index against all rules run on each url."""
+    fits = {
+        "||ads.": ["http://ads.com/", "http://x.ads.org", "https://u@ads.b/", "!http://loads.com", "!http://a.com/ads.b"], "|http://a": ["http://ab.c", "!https://a.b", "!ftp://x/http://a"], ".exe|": ["http://a/b.EXE", "!http://a/b.exe?x"],
+        "/track*/pixel^": ["http://a/track/v2/pixel", "http://a/TRACKER/pixel?1", "!http://a/track/pixels"], "^casino^online^": ["casino-online", "http://a/casino//online?", "!http://a/casinos-online", "!casinoonline"], "banner": ["http://a/mybanners/"], "a+b(": ["http://x/a+b(c", "!http://x/aab"],
+    }
+    for pattern, urls in fits.items():
+        m = urlfilter.Matcher([], [urlfilter.PatternRule("block", pattern)], {})
+        for u in urls:
+            assert m.judge(u.lstrip("!"))[3] == ("allow" if u[0] == "!" else "block"), (pattern, u)
+    tokens = {"||ads.": ["ads"], "/track*/pixel^": ["pixel"], "banner": [], "||evil.com^": ["evil", "com"], "x^y^*z^": ["y"], "|http://a.b/c": ["http", "a", "b"], "q=1|": ["1"]}
+    assert {p: urlfilter.PatternRule("block", p).tokens for p in tokens} == tokens
+    assert urlfilter.RegexRule("block", r"/(ad|ads)/track-me\.gif\bx+").tokens == ["track", "me", "gif"] and urlfilter.RegexRule("block", "a|b").tokens == []
+    r = random.Random(3)
+    words = ["ads", "track", "pixel", "casino", "online", "a", "b1", "com"]
+    text = lambda marks, n: "".join(r.choice(words) + r.choice(marks) for _ in range(r.randint(1, n)))
+    rules = [urlfilter.PatternRule(r.choice(["allow", "block"]), r.choice(["", "|", "||"]) + text(["/", "^", "*", ".", "-", ""], 4) + r.choice(["", "|"])) for _ in range(150)]
+    rules += [urlfilter.RegexRule("block", r"[/.]" + re.escape(w) + r"[-/]" + v) for w in words for v in words]
+    urls = ["http://" + text([".", "/", "-", "", "?", "//"], 7) for _ in range(400)]
+
+    def brute(u):
+        found = [(-len(x.name), x.name, x.action) for x in rules if re.search(x.regex, u.lower(), re.S)]
+        return min(found)[2] if found else "allow"
+
+    df = spark.createDataFrame([*enumerate(urls)], "page_id int, url string")
+    got = {x.page_id: x.verdict for x in urlfilter.filter_urls(df, (), rules).collect()}
+    assert got == {k: brute(u) for k, u in enumerate(urls)} and len(set(got.values())) == 2
+
+
 def brute_lines(data, threshold):
     def key(line):
         return line.strip(" \t\n\v\f\r").translate(urlfilter.ASCII_LOWER)
