@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import narrow, utf8, written
 from .graph import components
@@ -53,11 +54,19 @@ def least_collisions(miss: float = MISS) -> int:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    return utf8(column)[0].view("<f4").reshape(-1, dim).astype(np.float64)
+    """The vectors (rows) of a column of bytes: of ``dim`` floats or doubles each, as doubles."""
+    raw, offsets = utf8(column)
+    return raw.view("<f4" if offsets[1] == 4 * dim else "<f8").reshape(-1, dim).astype(np.float64)
 
 
-def prepared(rows: DataFrame) -> DataFrame:
-    """vec_id, label, dim (null: linked with nothing), a fingerprint (f1, f2) of label and vector, and its floats."""
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to between 1/2 and 1: exact, and so that
+    neither products nor norms overflow or vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def prepared(rows: DataFrame, kind: str) -> DataFrame:
+    """vec_id, label, dim (null: linked with nothing), a fingerprint (f1, f2) of label and vector, and its numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +74,8 @@ def prepared(rows: DataFrame) -> DataFrame:
             for x, label in zip(batch.column(1), batch.column(2).to_pylist()):
                 v = None
                 if label is not None and x.is_valid and len(x.values) and not x.values.null_count:
-                    v = x.values.to_numpy().astype("<f4") + np.float32(0)
-                    norm = np.linalg.norm(v.astype(np.float64))
-                    v = v if np.isfinite(norm) and norm > 0 else None
+                    v = x.values.to_numpy().astype(kind) + np.zeros(1, kind)  # -0 is 0
+                    v = v if np.isfinite(v).all() and v.any() else None
                 if v is None:
                     for out in (dim, f1, f2, raw):
                         out.append(None)
@@ -80,7 +88,7 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 
 def projected(batch: pa.RecordBatch, vector: int, dim: int) -> np.ndarray:
-    x = matrix(batch.column(vector), dim)
+    x = scaled(matrix(batch.column(vector), dim))
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ directions(dim)
 
 
@@ -128,34 +136,38 @@ def placed(rows: DataFrame, spread: float) -> DataFrame:
     return rows.mapInArrow(run, "rep bigint, label bigint, dim int, vector binary, copies bigint, cell bigint, data boolean")
 
 
+def collisions(queries: np.ndarray, data: np.ndarray, width: float) -> np.ndarray:
+    """For each pair of a query and a data vector (rows of projections) in how many of the sorted projections the vector
+    lies in the window that is centred on the query: its rank is one of the window's."""
+    count = np.zeros((len(queries), len(data)), np.uint8)
+    rank = np.empty(len(data), np.int32)
+    for c in range(queries.shape[1]):
+        order = np.argsort(data[:, c], kind="stable")
+        rank[order] = np.arange(len(data))
+        first = np.searchsorted(data[order, c], queries[:, c] - width).astype(np.int32)
+        last = np.searchsorted(data[order, c], queries[:, c] + width, "right").astype(np.int32)
+        count += (rank - first[:, None]).view(np.uint32) < (last - first).view(np.uint32)[:, None]
+    return count
+
+
 def compared(table: pa.Table, threshold: float) -> pa.RecordBatch:
     """Of one tile (queries and data of a cell): how many vectors each query is linked with, and edges (a, b) that
     hang linked vectors on the smallest id that they reach within the tile."""
     dim = table.column(2)[0].as_py()
     is_data = table.column("data").to_numpy()
     x = matrix(table.column("vector"), dim)
-    norm = np.linalg.norm(x, axis=1)
-    p = ((x / norm[:, None]) @ directions(dim)[:, :COUNTED]).astype(np.float32)
+    unit = scaled(x)
+    norm = np.linalg.norm(unit, axis=1)
+    p = (unit / norm[:, None]) @ directions(dim)[:, :COUNTED]
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
     d, q = np.flatnonzero(is_data), np.flatnonzero(~is_data)
-    spread = math.sqrt(2 - 2 * threshold)
-    width, visit, least = np.float32(WINDOW * spread + 1e-6), VISIT * spread, least_collisions()
-    q = q[np.argsort(p[q, 0], kind="stable")]
-    orders = [d[np.argsort(p[d, j], kind="stable")] for j in range(4)]
-    keys = [p[o, j] for j, o in enumerate(orders)]
     links, pairs = np.zeros(len(rep), np.int64), []
     for k in range(0, len(q), QUERIES):
         own = q[k : k + QUERIES]
-        windows = [(np.searchsorted(key, p[own, j].min() - visit), np.searchsorted(key, p[own, j].max() + visit, "right")) for j, key in enumerate(keys)]
-        j = min(range(4), key=lambda j: windows[j][1] - windows[j][0])
-        near = orders[j][windows[j][0] : windows[j][1]]
-        count = np.zeros((len(own), len(near)), np.uint8)
-        for c in range(COUNTED):
-            count += np.abs(p[own, c][:, None] - p[near, c]) <= width
-        a, b = np.nonzero(count >= least)
+        a, b = np.nonzero(collisions(p[own], p[d], WINDOW * math.sqrt(2 - 2 * threshold) + 1e-6) >= least_collisions())
         for part in range(0, len(a), 200_000):
-            i, o = own[a[part : part + 200_000]], near[b[part : part + 200_000]]
-            hit = (np.einsum("ij,ij->i", x[i], x[o]) / (norm[i] * norm[o]) >= threshold) & ~((rep[i] == rep[o]) & (x[i] == x[o]).all(1))
+            i, o = own[a[part : part + 200_000]], d[b[part : part + 200_000]]
+            hit = (np.einsum("ij,ij->i", unit[i], unit[o]) / (norm[i] * norm[o]) >= threshold) & ~((rep[i] == rep[o]) & (x[i] == x[o]).all(1))
             i, o = i[hit], o[hit]
             links += np.bincount(i, copies[o], minlength=len(rep)).astype(np.int64)
             pairs.append((i, o))
@@ -180,19 +192,20 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, threshold: float = 0.9
 
     Equal vectors of a label are one class with a number of copies. Each label is cut into cells at the medians of
     routing projections, as many as its size asks for; a class is data in its own cell and a query in every cell that
-    its window around each split touches. Within a cell, cut into blocks where it is large, queries take the sorted
-    projection whose windows hold least, count window collisions over all projections, and verify pairs with a count
-    that all but MISS of the pairs at the threshold reach. Tiles emit a number for each query and edges of stars, never
+    its window around each split touches. Within a cell, cut into blocks where it is large, all projections are sorted,
+    each query's window collisions are counted per pair, and pairs are verified with a count that all but MISS of the pairs
+    at the threshold reach. Tiles emit a number for each query and edges of stars, never
     pairs. Cells keep the work for large labels below all pairs; a dense group's links are counted in its tiles.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, have no
+    Components are floats or doubles as the column has them. Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, have no
     links; vectors of different lengths are not compared. Rows that share a vec_id count as one vector with several
     positions. A null vec_id is linked with nothing, its component_id null, and kept. An empty table gives an empty
     result; further columns are ignored.
     """
     src = narrow(rows, "vec_id", "embedding", "label")
-    src = src.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"), F.col("label").cast("bigint"))
-    table = written(spark, prepared(src), "vectors")
+    kind = "float" if isinstance(src.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    src = src.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast(f"array<{kind}>"), F.col("label").cast("bigint"))
+    table = written(spark, prepared(src, "<f4" if kind == "float" else "<f8"), "vectors")
     classes = written(spark, table.filter("dim IS NOT NULL AND vec_id IS NOT NULL").groupBy("label", "dim", "f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")), "classes")
     routed = routes(classes)
     medians = F.array(*[F.percentile_approx(F.col("route")[k], 0.5, 2000) for k in range(ROUTES)])

@@ -155,6 +155,41 @@ def test_vectors(spark, monkeypatch, cell):
     assert rows(vectors.near_duplicates(spark, df)) == brute_vectors(data)
 
 
+def test_doubles(spark):
+    """Doubles stay doubles: large and small ones, and such as differ by less than a float holds."""
+    big, near, far = [1e39, 0.0], *([c, (1 - c * c) ** 0.5] for c in (0.98 + 1e-9, 0.98 - 1e-9))
+    data = [(1, big, 1), (2, [1.0, 0.0], 1), (3, [5e-320, 0.0], 1), (4, [1e300, 1e300], 1), (5, [2.0, 2.0 + 1e-12], 1), (6, [1.0, 1e-12], 1), (7, near, 1), (8, far, 1), (9, [1e308, float("inf")], 1), (10, [0.0, -0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark, spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got[9] == (0, 9) and got[10] == (0, 10) and got[4] == got[5] == (1, 4)
+    assert [got[k] for k in (1, 2, 3, 6)] == [(4, 1)] * 4 and got[7] == (5, 1) and got[8] == (1, 1)  # 8 is linked with 7 alone
+
+
+def test_the_count_decides():
+    """Window collisions are what brute force counts, and few pairs but the linked ones have enough."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((1500, 64))
+    x[750:] = x[:750] + 0.1 * r.standard_normal((750, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = x @ vectors.directions(64)[:, : vectors.COUNTED]
+    width = vectors.WINDOW * (2 - 2 * 0.98) ** 0.5
+    count = vectors.collisions(p, p, width)
+    assert (count[::50] == (np.abs(p[::50, None, :] - p[None]) <= width).sum(2)).all()
+    linked, candidate = x @ x.T >= 0.98, count >= vectors.least_collisions()
+    assert candidate[linked].all() and candidate.sum() < 0.01 * candidate.size and linked.sum() > 1500
+
+
+def test_recall(spark):
+    """Every row whose id is divisible by 50 against all rows of the larger table."""
+    rows_ = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
+    data = rows_.collect()
+    x, label = np.array([r.embedding for r in data], np.float32).astype(float), np.array([r.label for r in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark, rows_).collect()}
+    for k, r in enumerate(data):
+        if r.vec_id % 50 == 0:
+            assert got[r.vec_id] == int(((x @ x[k] >= 0.98) & (label == r.label)).sum()) - 1
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark, spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
