@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 #: Signature values compared at a time.
 STEP = 25
-#: A candidate is pruned once its similarity reaches the threshold with at most this probability, given the matches so far.
+#: The chosen probability with which a candidate pair exactly at the threshold is pruned.
 MISS = 1e-4
 #: Members of a bucket, and shingles of a candidate group, that one task compares; larger ones are cut into pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 400_000
@@ -87,20 +88,39 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signature binary, bands array<bigint>")
 
 
+def pruned_at_threshold(least: list[int], percent: int) -> float:
+    """The probability that a pair whose similarity is percent/100 falls short of the fewest matches at some step."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    step = np.array([math.comb(STEP, k) * p**k * (1 - p) ** (STEP - k) for k in range(STEP + 1)])
+    alive = np.ones(1)  # by the number of matches so far
+    for most in least:
+        alive = np.convolve(alive, step)
+        alive[:most] = 0
+    return 1 - float(alive.sum())
+
+
 @functools.cache
 def least_matches(percent: int) -> list[int]:
-    """By steps of STEP compared values: the fewest matches with which the posterior probability that the similarity
-    is at least percent/100 exceeds MISS. The prior is uniform; 8-bit values also match by chance."""
+    """By steps of STEP compared values: the fewest matches with which the posterior probability that the similarity is at
+    least percent/100 exceeds a limit. The prior is uniform; 8-bit values also match by chance.
+
+    The limit is not the miss rate: a pair is looked at several times. The largest limit is taken, by halving, with which
+    a pair at the threshold is pruned with probability MISS at most.
+    """
     j = (np.arange(4000) + 0.5) / 4000
     p = j + (1 - j) / 256
-    out = []
+    tails = []
     for n in range(STEP, HASHES + 1, STEP):
         m = np.arange(n + 1)[:, None]
         log = m * np.log(p) + (n - m) * np.log1p(-p + 1e-12)
         weight = np.exp(log - log.max(1, keepdims=True))
-        tail = weight[:, j >= percent / 100].sum(1) / weight.sum(1)
-        out.append(int(np.argmax(tail > MISS)))
-    return out
+        tails.append(weight[:, j >= percent / 100].sum(1) / weight.sum(1))
+    limit = MISS
+    while True:
+        out = [int(np.argmax(tail > limit)) for tail in tails]
+        if pruned_at_threshold(out, percent) <= MISS:
+            return out
+        limit /= 2
 
 
 def passing(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:

@@ -118,6 +118,19 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert kept / n > 0.999 and len(minhash.passing(a, far, 85)) == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_miss_rate(percent):
+    """The chosen miss probability holds for pairs at the threshold, as computed and as simulated."""
+    least = minhash.least_matches(percent)
+    assert minhash.pruned_at_threshold(least, percent) <= minhash.MISS
+    r, n, missed = np.random.default_rng(2), 40_000, 0
+    for _ in range(10):
+        same = r.random((n, minhash.HASHES)) < percent / 100
+        a = r.integers(0, 256, same.shape).astype(np.uint8)
+        missed += n - len(minhash.passing(a, np.where(same, a, r.integers(0, 256, same.shape).astype(np.uint8)), percent))
+    assert missed / (10 * n) < 2 * minhash.MISS
+
+
 def brute_vectors(data, threshold=0.98):
     good = []
     for k, (i, v, label) in enumerate(data):
