@@ -15,17 +15,26 @@ from tablekit.llm.common import written
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are predicted to be toxic."""
+    """Drops documents that are predicted to be toxic.
+
+    Null and empty texts stay; a null or repeated doc_id does not matter, each row is judged by its own text; an empty
+    table, or one without labels, loses nothing; all columns stay, also such as differ only by case.
+    """
     return toxicity.keep_civil(docs, toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the quality rules."""
+    """Drops documents that fail the quality rules; null and empty texts do. A null or repeated doc_id does not matter; an
+    empty table stays empty; all columns stay, also such as differ only by case."""
     return quality.keep_quality(docs)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that ten or more documents hold out of all texts; n_chars follows the text, other columns stay."""
+    """Takes lines that ten or more documents hold out of all texts; n_chars follows the text, other columns stay.
+
+    A null text becomes the empty one; what is left of ten exact copies is empty, and stays; rows of one doc_id, or of
+    none, count as documents of their own; an empty table stays empty.
+    """
     out = linededup.dedup_lines(spark, docs)
     if "n_chars" in docs.columns:
         dropped = F.col(f"_c{len(docs.columns) + 1}") > 0
@@ -37,12 +46,17 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8."""
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8.
+
+    Documents without words are nobody's copies; rows without a doc_id all stay, of rows that share one the smallest text;
+    an empty table stays empty; all columns stay.
+    """
     return minhash.keep_one(spark, docs, size=5, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents left into sequences of 1024 ids."""
+    """Packs the documents left into sequences of 1024 ids; a null or empty text is the end id alone, an empty table gives
+    no pieces. The result has the pieces' columns, not those of documents."""
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
