@@ -104,3 +104,18 @@ def test_odd_rows(spark, tmp_path):
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}, key=repr) == [1, None]
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names(spark, tmp_path):
+    """Every stage takes columns that differ only by case, and all but the last give them back."""
+    import corpus_pipeline
+
+    good = " ".join(f"w{k}" for k in range(80))
+    data = [(k, None if k == 3 else f"{good} {k}\nsame line", "en", None, k) for k in range(12)] + [(None, "", None, None, None)]
+    docs = spark.createDataFrame(data, "a bigint, b string, c string, d string, e bigint").toDF("doc_id", "text", "Text", "DOC_ID", "n_chars")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and 0 < out.count() <= 13
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() == 13
