@@ -150,7 +150,7 @@ class Engine:
             if len(s.values) != len(names):
                 raise EngineError("COLUMN_MISMATCH", f"{len(s.values)} values for {len(names)} columns")
             given = {meta.column(c).name: v for c, v in zip(names, s.values)}
-            rows = self.spark.range(1).select(*[stored(given.get(c.name, ast.Literal(c.default, True)), c).alias(c.name) for c in meta.columns])
+            rows = self.spark.range(0, 1, 1, 1).select(*[stored(given.get(c.name, ast.Literal(c.default, True)), c).alias(c.name) for c in meta.columns])
         else:
             source = self._select(s.source)
             if meta is None:
@@ -164,7 +164,7 @@ class Engine:
         if target is None:
             registry.write_file(self.spark, rows, s.table, meta)
             return self.open(s.table).count()
-        return target.insert(rows, "replace" if s.replace else "ignore" if s.ignore else "error")
+        return target.insert(rows, "replace" if s.replace else "ignore" if s.ignore else "error", s.values is not None)
 
     def _change(self, s: ast.Update | ast.Delete) -> int:
         if t := jdbc.target(s.table, self.aliases):

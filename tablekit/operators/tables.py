@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
-from datetime import date, datetime
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -27,6 +27,8 @@ from ..sources.registry import sidecar
 CODECS = {"none": "none", "z": "gzip", "gzip": "gzip", "lz4": "lz4_raw", "zstd": "zstd", "snappy": "snappy"}
 
 
+#: Types of first key columns whose ranges the manifest has.
+RANGED = ("INT", "UINT", "INT8", "UINT8", "INT16", "UINT16", "INT64", "STRING")
 #: Manifests that are kept, so that readers of an older one still find it and its files' names.
 KEPT = 4
 
@@ -36,21 +38,14 @@ class File:
     """A data file and the least and largest value of the first key column in it; None: not known."""
 
     path: str
-    low: str | float | None = None
-    high: str | float | None = None
+    low: str | int | None = None
+    high: str | int | None = None
 
     def meets(self, low: Any, high: Any) -> bool:
         """Whether it may hold a key from ``low`` to ``high``."""
         return None in (self.low, self.high, low, high) or type(self.low) is not type(low) or self.low <= high and low <= self.high
 
 
-def plain(value: Any) -> str | float | None:
-    """A key as JSON can hold it, in an order that is the value's own; None for kinds without one."""
-    if isinstance(value, bool) or not isinstance(value, int | str | date | datetime):
-        return None
-    return value.isoformat() if isinstance(value, date | datetime) else value
-
-
 @dataclass
 class Manifest:
     """The current files of a table."""
@@ -194,10 +189,10 @@ class Table:
             del self.made[made:]
             raise
 
-    def _plain(self, value: Any) -> str | float | None:
+    def _plain(self, value: Any) -> str | int | None:
         """A value given for the first key column as the manifest has it."""
         name = self.meta.column(self.meta.primary_key[0]).type.name
-        if value is None or name not in ("INT", "UINT", "INT8", "UINT8", "INT16", "UINT16", "INT64", "STRING"):
+        if value is None or name not in RANGED:
             return None
         try:
             return str(value) if name == "STRING" else int(str(value))
@@ -205,24 +200,37 @@ class Table:
             return None
 
     def _ranges(self, made: list[str]) -> list[File]:
-        """The files with the ranges of their first key column, by one pass over that column."""
-        key = F.col(f"`{self.meta.primary_key[0]}`")
-        own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
-        kind = self.meta.column(self.meta.primary_key[0]).type.name
-        if kind not in ("INT", "UINT", "INT8", "UINT8", "INT16", "UINT16", "INT64", "STRING", "DATE", "TIME"):
+        """The files with the ranges of their first key column, as their footers have them."""
+        kind, key = self.meta.column(self.meta.primary_key[0]).type.name, self.meta.primary_key[0]
+        if kind not in RANGED:
             return [File(f) for f in made]
-        found = self._read([File(f) for f in made]).select(key.alias("k"), own).groupBy("file").agg(F.min("k"), F.max("k"), F.count_if(F.col("k").isNull())).collect()
-        ends = {r[0]: (None, None) if r[3] else (plain(r[1]), plain(r[2])) for r in found}
-        return [File(f, *ends.get(f.rsplit("/", 1)[-1], (None, None))) for f in made]
-
-    def _write(self, df: DataFrame, **counts: Column) -> tuple[list[File], dict[str, int]]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+
+        def one(name: str) -> File:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+            try:
+                ends = [c.getStatistics() for b in reader.getFooter().getBlocks() for c in b.getColumns() if c.getPath().toDotString() == key]
+                if not ends or any(not e.hasNonNullValue() or e.getNumNulls() != 0 for e in ends):
+                    return File(name)
+                low, high = [e.genericGetMin() for e in ends], [e.genericGetMax() for e in ends]
+                if kind == "STRING":
+                    low, high = ([x.toStringUsingUTF8() for x in xs] for xs in (low, high))
+                return File(name, min(low), max(high))
+            finally:
+                reader.close()
+
+        with ThreadPoolExecutor(8) as pool:
+            return list(pool.map(one, made))
+
+    def _write(self, df: DataFrame, single: bool = False, **counts: Column) -> tuple[list[File], dict[str, int]]:
         """Writes rows as new files by ranges of the primary key and sorted by it, so that files and row groups can be
         skipped by key; the files, and the counts over the rows written."""
         folder = f"data-{uuid.uuid4().hex}"
         self.made.append(folder)
         codec = CODECS.get(self.meta.options.get("COMPRESSOR", "zstd").lower(), "zstd")
         typed = [F.col(f"`{c.name}`").cast(c.type.spark).alias(c.name) for c in self.meta.columns]
-        rows, seen = df.repartitionByRange(*self.meta.primary_key).sortWithinPartitions(*self.meta.primary_key), Observation()
+        rows, seen = df if single else df.repartitionByRange(*self.meta.primary_key).sortWithinPartitions(*self.meta.primary_key), Observation()
         rows = rows.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else rows  # above the ranges, whose sampling would count twice
         rows.select(*typed).write.option("compression", codec).parquet(f"{self.path}/{folder}")
         return self._ranges([f"{folder}/{n}" for n in names(self.spark, f"{self.path}/{folder}") if n.endswith(".parquet")]), {k: 0 for k in counts} | (observed(seen) if counts else {})
@@ -264,10 +272,10 @@ class Table:
         """The current files whose key ranges meet those of ``made``."""
         return [f for f in self.manifest().files if any(f.meets(m.low, m.high) for m in made)]
 
-    def insert(self, rows: DataFrame, mode: str = "error") -> int:
+    def insert(self, rows: DataFrame, mode: str = "error", single: bool = False) -> int:
         """Adds rows whose columns are the table's; mode error, replace (last row of a key wins) or ignore (first wins).
 
-        New rows are grouped by key once, which also finds keys that repeat among them.
+        New rows are grouped by key once, which also finds keys that repeat among them; ``single``: there is but one row.
         """
         key = list(self.meta.primary_key)
 
@@ -275,12 +283,12 @@ class Table:
             new, verdict = self._watched(rows.select(*self.meta.names))
             pick = F.max_by if mode == "replace" else F.min_by
             grouped = new.withColumn("_n", F.monotonically_increasing_id()).groupBy(*key).agg(pick(F.struct(*self.meta.names), "_n").alias("_row"), F.count("*").alias("_times"))
-            new = grouped.select("_row.*", "_times")
+            new = grouped.select("_row.*", "_times") if not single else new.withColumn("_times", F.lit(1))
             before = self.manifest().files
             if mode == "ignore" and before:
                 old = self._read(before)
                 new = new.join(old, self._same_key(new, old), "left_anti")
-            made, counts = self._write(new, n=F.count("*"), repeated=F.count_if(F.col("_times") > 1))
+            made, counts = self._write(new, single, n=F.count("*"), repeated=F.count_if(F.col("_times") > 1))
             verdict()
             if mode == "error" and counts["repeated"]:
                 raise EngineError("DUPLICATE_KEY", "within the new rows")

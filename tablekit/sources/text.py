@@ -169,7 +169,8 @@ def read(spark: SparkSession, paths: list[str], meta: Meta | None, d: Dialect, m
     arrays = _whole(spark, whole, d) if whole else None
     if lines is not None and not (whole and multi_line):
         lines = without_heads(lines) if d.header else lines
-        value = F.regexp_replace("value", "\r$", "")
+        raw = F.col("value")
+        value = F.when(raw.endswith("\r"), F.substring(raw, F.lit(1), F.length(raw) - 1)).otherwise(raw)
         split = lines.filter(value != "").select(cells_of(value, d).alias("cells"))
         arrays = split if arrays is None else arrays.unionByName(split)
     names = meta.names if meta else [(c or "").lower() for c in head] if head else [f"c{k}" for k in range(len(split_line((spark.read.text(paths).head() or {"value": ""})["value"], d)))]
