@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mixed, narrow, utf8, written
+from .common import chunks, mixed, narrow, remove, utf8, written
 from .graph import components
 from .words import LOWER, Words
 
@@ -305,10 +305,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     groups = components(spark, candidate_edges(classes, percent))
     rooted = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     members = written(spark, classes.select("rep", "n_shingles").join(rooted, F.col("rep") == F.col("node")).select("root", "rep", "n_shingles"), "members")
+    remove(spark, groups)
     edges = exact_edges(src, members.groupBy("root", "rep").agg(F.sum("n_shingles").alias("n_shingles")), size, percent)
     again = usable.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     reused = usable.join(again, "doc_id").join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(spark, edges.unionByName(reused))
+    remove(spark, members)
     final = classes.select("f1", "f2", "n_shingles", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("class_root"))
     out = sketch.select("doc_id", "n_shingles", "f1", "f2").join(final, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_root", "doc_id"))

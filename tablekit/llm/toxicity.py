@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mixed, narrow, positional, utf8, written
+from .common import chunks, mixed, narrow, positional, remove, utf8, written
 from .minhash import shingle_sets
 from .tokens import LETTER, classes
 from .words import Words
@@ -333,7 +333,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
     driver, which picks those that explain the labels.
     """
     language = fit_language_model(docs)
-    train = written(spark, _training(spark, docs, labels, most), "training")
+    labelled = _training(spark, docs, labels, most)
+    train = written(spark, labelled, "training")
+    remove(spark, labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 1):
@@ -381,6 +383,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
             docs_of[f].add(k)
         if r["toxic"]:
             bad.add(k)
+    for table in (train, counts):
+        remove(spark, table)
     return ToxicityModel(language, explaining(candidates, docs_of, bad, settings), 0.5 * rate)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrow, utf8, written
+from .common import narrow, remove, utf8, written
 from .graph import components
 from .minhash import bounds, by_group
 
@@ -228,6 +228,7 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, threshold: float = 0.9
 
     found = tiles.select(*keys, "rep", "vector", "copies", "data").repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, label bigint, links bigint, vector binary")
     found = written(spark, found, "links")
+    remove(spark, in_cells)
     links = found.filter("b IS NULL").groupBy("a", "label", "vector").agg(F.sum("links").alias("links"))
     again = table.filter("vec_id IS NOT NULL").groupBy("vec_id").count().filter("count > 1").select("vec_id")
     reused = table.join(again, "vec_id").join(classes.select("label", "dim", "f1", "f2", "rep"), ["label", "dim", "f1", "f2"]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
