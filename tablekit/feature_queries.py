@@ -138,13 +138,13 @@ def _years(spark: SparkSession, d: str) -> str:
 @registered("SELECT o_orderkey, year(o_orderdate) AS y FROM orders ORDER BY y DESC NULLS LAST, o_orderkey LIMIT 5000")
 def union_ordered(spark: SparkSession, d: str) -> DataFrame:
     """File by file, the last year first, rows in their files' order."""
-    found = union.read(spark, union.Descriptor(_years(spark, d), r"orders_\d+\.parquet", 1, "desc"), Engine(spark).open, ordered=True)
+    found = registry.read_union(spark, union.Descriptor(_years(spark, d), r"orders_\d+\.parquet", 1, "desc"), ordered=True)
     return found.limit(5000).select("o_orderkey", F.year("o_orderdate").alias("y"))
 
 
 @registered("SELECT * FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999")
 def union_date_in_name(spark: SparkSession, d: str) -> DataFrame:
-    return union.read(spark, union.Descriptor(_years(spark, d), r"orders_\d+\.parquet", 1), Engine(spark).open, date_in_name(date(1996, 1, 1), date(1999, 12, 31)))
+    return registry.read_union(spark, union.Descriptor(_years(spark, d), r"orders_\d+\.parquet", 1), date_in_name(date(1996, 1, 1), date(1999, 12, 31)))
 
 
 @registered("SELECT count(*) AS n, -9000 AS code FROM orders")

@@ -19,7 +19,7 @@ from ..plans.ast import Literal
 from ..plans.parser import parse
 from ..plans.predicates import constant, predicate, resolver
 from ..schema import Meta
-from ..sources.paths import delete, exists, file_system, names, read_text, write_text
+from ..sources.paths import delete, exists, file_system, footer, names, read_text, write_text
 from ..sources.registry import sidecar
 
 
@@ -204,21 +204,16 @@ class Table:
         kind, key = self.meta.column(self.meta.primary_key[0]).type.name, self.meta.primary_key[0]
         if kind not in RANGED:
             return [File(f) for f in made]
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
 
         def one(name: str) -> File:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
-            try:
-                ends = [c.getStatistics() for b in reader.getFooter().getBlocks() for c in b.getColumns() if c.getPath().toDotString() == key]
-                if not ends or any(not e.hasNonNullValue() or e.getNumNulls() != 0 for e in ends):
-                    return File(name)
-                low, high = [e.genericGetMin() for e in ends], [e.genericGetMax() for e in ends]
-                if kind == "STRING":
-                    low, high = ([x.toStringUsingUTF8() for x in xs] for xs in (low, high))
-                return File(name, min(low), max(high))
-            finally:
-                reader.close()
+            found = footer(self.spark, f"{self.path}/{name}")
+            ends = [c.getStatistics() for b in found.getBlocks() for c in b.getColumns() if c.getPath().toDotString() == key]
+            if not ends or any(not e.hasNonNullValue() or e.getNumNulls() != 0 for e in ends):
+                return File(name)
+            low, high = [e.genericGetMin() for e in ends], [e.genericGetMax() for e in ends]
+            if kind == "STRING":
+                low, high = ([x.toStringUsingUTF8() for x in xs] for xs in (low, high))
+            return File(name, min(low), max(high))
 
         with ThreadPoolExecutor(8) as pool:
             return list(pool.map(one, made))

@@ -239,13 +239,13 @@ _UNION = r"orders_\d+\.parquet"
 
 @registered("SELECT * FROM orders")
 def union_all_files(spark: SparkSession, d: str) -> DataFrame:
-    return union.read(spark, union.Descriptor(_orders_by_year(spark, d), _UNION, 3, "asc"), Engine(spark).open)
+    return registry.read_union(spark, union.Descriptor(_orders_by_year(spark, d), _UNION, 3, "asc"))
 
 
 @registered("SELECT * FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997")
 def union_date_filter(spark: SparkSession, d: str) -> DataFrame:
     keep = date_in_directory(date(1996, 1, 1), date(1997, 12, 31))
-    return union.read(spark, union.Descriptor(_orders_by_year(spark, d), _UNION, 3), Engine(spark).open, keep)
+    return registry.read_union(spark, union.Descriptor(_orders_by_year(spark, d), _UNION, 3), keep)
 
 
 @registered("SELECT true AS refused")

@@ -70,6 +70,37 @@ def names(spark: SparkSession, directory: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def first_file(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("",)) -> str | None:
+    """A file, or the first data file of a folder."""
+    fs, p = file_system(spark, path)
+    if not fs.getFileStatus(p).isDirectory():
+        return path
+    found = [n for n in names(spark, path) if not n.startswith(("_", ".")) and n.endswith(suffixes)]
+    return f"{path.rstrip('/')}/{found[0]}" if found else None
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """A text file's first line, without its end; compressed by suffix or not."""
+    fs, p = file_system(spark, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    stream = fs.open(p) if codec is None else codec.createInputStream(fs.open(p))
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def footer(spark: SparkSession, path: str):
+    """The footer of a Parquet file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+    try:
+        return reader.getFooter()
+    finally:
+        reader.close()
+
+
 def children(spark: SparkSession, directory: str) -> list[FileInfo]:
     fs, p = file_system(spark, directory)
     if not fs.exists(p):

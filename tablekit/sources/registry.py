@@ -14,7 +14,7 @@ from ..plans.parser import parse
 from ..schema import Meta
 from ..types import ColumnType
 from . import jsonl, text, union
-from .paths import FileFilter, delete, exists, read_text, write_text
+from .paths import FileFilter, delete, exists, first_file, first_line, footer, read_text, write_text
 
 NATIVE = ".tkt"
 SUFFIXES = [(NATIVE, "native"), (".parquet", "parquet"), (".union", "union"), (".jsonl", "jsonl"), (".ndjson", "jsonl"), (".csv", "csv"), (".tsv", "tsv"), (".tbl", "tsv")]
@@ -72,6 +72,45 @@ def resolve(spark: SparkSession, path: str) -> str:
     return path
 
 
+def likeness(spark: SparkSession, path: str) -> tuple | None:
+    """What files that can be read as one have in common: column names, format, schema or description; None for others."""
+    path = resolve(spark, path)
+    if plugin_for(path) or ".zip" in path.lower() or (kind := format_of(path)) not in ("parquet", "csv", "tsv"):
+        return None
+    meta = described(spark, path) or (described(spark, path.removesuffix(".gz")) if path.endswith(".gz") else None)
+    own = first_file(spark, path, (".parquet",) if kind == "parquet" else ("",))
+    if own is None:
+        return None
+    if kind == "parquet":
+        schema = footer(spark, own).getFileMetaData().getSchema()
+        names = tuple(f.getName().lower() for f in schema.getFields())
+        return (names, kind, schema.toString(), meta.ddl() if meta else "")
+    if meta:
+        return (tuple(meta.names), kind, "", re.sub(r"TABLE .*", "", meta.ddl(), count=1))
+    line = first_line(spark, own)
+    if line is None:
+        return None
+    cells = text.split_line(line.removesuffix("\r"), text.Dialect.of(path))
+    return (tuple((c or "").lower() for c in cells), kind, "", "")
+
+
+def open_alike(spark: SparkSession, paths: list[str], multi_line: bool | None = None) -> DataFrame:
+    """Files of equal likeness as one."""
+    paths = [resolve(spark, p) for p in paths]
+    first, kind = paths[0], format_of(paths[0])
+    meta = described(spark, first) or (described(spark, first.removesuffix(".gz")) if first.endswith(".gz") else None)
+    df = spark.read.parquet(*paths) if kind == "parquet" else text.read(spark, paths, meta, text.Dialect.of(first, meta), multi_line)
+    return _shaped(df, kind, meta)
+
+
+def _shaped(df: DataFrame, kind: str, meta: Meta | None) -> DataFrame:
+    if meta is None:
+        return df.toDF(*[c.lower() for c in df.columns])
+    if kind != "parquet":
+        return df
+    return df.select(*[c.type.cast(F.col(f"`{name}`"), df.schema[name].dataType).alias(c.name) for c, name in zip(meta.columns, df.columns)])  # by position
+
+
 def open_file(spark: SparkSession, path: str, meta: Meta | None = None, keep: FileFilter = lambda f: True, multi_line: bool | None = None) -> DataFrame:
     """The rows of a file or directory of files of any format but native tables."""
     if plugin := plugin_for(path):
@@ -83,20 +122,21 @@ def open_file(spark: SparkSession, path: str, meta: Meta | None = None, keep: Fi
     meta = meta or described(spark, path) or (described(spark, path.removesuffix(".gz")) if path.endswith(".gz") else None)
     match kind:
         case "parquet":
-            df = spark.read.parquet(path)
-            if meta is None:
-                return df.toDF(*[c.lower() for c in df.columns])
-            return df.select(*[c.type.cast(F.col(f"`{name}`"), df.schema[name].dataType).alias(c.name) for c, name in zip(meta.columns, df.columns)])  # by position
+            return _shaped(spark.read.parquet(path), kind, meta)
         case "jsonl":
             return jsonl.read(spark, [path], meta)
         case "union":
-            return union.read(spark, union.descriptor(spark, path), lambda p: open_file(spark, p), keep)
+            return read_union(spark, union.descriptor(spark, path), keep)
         case "csv" | "tsv":
-            df = text.read(spark, [path], meta, text.Dialect.of(path, meta), multi_line)
-            return df if meta else df.toDF(*[c.lower() for c in df.columns])
+            return _shaped(text.read(spark, [path], meta, text.Dialect.of(path, meta), multi_line), kind, meta)
     raise EngineError("INVALID_OPERATION", f"{path} is not a file")
 
 
+def read_union(spark: SparkSession, d: union.Descriptor, keep: FileFilter = lambda f: True, ordered: bool = False) -> DataFrame:
+    """The files of a union, those alike in one scan."""
+    return union.read(spark, d, lambda p: open_file(spark, p), keep, ordered, lambda p: likeness(spark, p), lambda ps: open_alike(spark, ps))
+
+
 def predicted(df: DataFrame, rows: int) -> Meta:
     """Opt-in types of an all-text file from its first rows: DATE, TIME, INT64, DECIMAL or STRING, the first that fits all."""
     sample = df.limit(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,20 @@ def union_all(sources: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def read(spark: SparkSession, d: Descriptor, open_one: Callable[[str], DataFrame], keep: FileFilter = lambda f: True, ordered: bool = False) -> DataFrame:
-    """The rows of all files, read in parallel; ``ordered`` gives them file by file, rows in their files' order."""
+def read(spark: SparkSession, d: Descriptor, open_one: Callable[[str], DataFrame], keep: FileFilter = lambda f: True, ordered: bool = False, likeness: Callable[[str], tuple | None] | None = None, open_alike: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
+    """The rows of all files, read in parallel; ``ordered`` gives them file by file, rows in their files' order.
+
+    ``likeness`` looks at a file's head: files of equal likeness, which starts with the column names, are read by
+    ``open_alike`` as one, so many files make one scan; those it gives None for are opened one by one.
+    """
     found = files(spark, d, keep)
+    if not ordered and likeness and open_alike:
+        with ThreadPoolExecutor(16) as pool:
+            kinds = list(pool.map(lambda f: likeness(f.path), found))
+        alike: dict[tuple, list[str]] = {}
+        for f, kind in zip(found, kinds):
+            alike.setdefault(kind or (None, f.path), []).append(f.path)
+        return union_all([open_one(paths[0]) if kind[0] is None else open_alike(paths) for kind, paths in alike.items()])
     sources = [open_one(f.path) for f in found]
     if not ordered:
         return union_all(sources)

@@ -175,3 +175,21 @@ def test_csv_reads_only_odd_files_whole(spark, engine, tmp_path):
     (tmp_path / "m.csv" / "b.csv").write_text('n,t\n2,"z"\n')
     df = engine.open(f"{tmp_path}/m.csv")
     assert rows(df) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_union_reads_alike_files_at_once(spark, tmp_path):
+    """Files of one kind are one scan, whatever their number; others stand beside it."""
+    import gzip
+
+    for k in range(4):
+        (tmp_path / f"u{k}.csv").write_text(f"n,t\n{k},\"x\"\n")
+        spark.createDataFrame([(f"p{k}", None)], "n string, t string").write.parquet(f"{tmp_path}/u{k}.parquet")
+    with gzip.open(tmp_path / "u9.csv.gz", "wt") as f:
+        f.write("N,T\n9,\n")
+    d = union.Descriptor(str(tmp_path), r"u\d\.(csv|parquet|csv\.gz)", 1)
+    df = registry.read_union(spark, d)
+    assert rows(df) == [("0", "x"), ("1", "x"), ("2", "x"), ("3", "x"), ("9", ""), ("p0", None), ("p1", None), ("p2", None), ("p3", None)]
+    assert df._jdf.queryExecution().analyzed().toString().count("Relation") == 2
+    spark.createDataFrame([(1,)], "other int").write.parquet(f"{tmp_path}/u8.parquet")
+    with pytest.raises(EngineError):
+        registry.read_union(spark, d)
