@@ -297,6 +297,36 @@ def _training(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int
     return table.groupBy("f1", "f2", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
 
 
+def likenesses(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Four keys for each text, of two minimum shingle hashes each: near copies nearly always share one. A text without
+    words has keys of its own place."""
+    h, counts = shingle_sets(data, offsets, 3)
+    out = mixed(np.arange(4 * len(counts), dtype=np.uint64) ^ np.uint64(len(data) + 1)).reshape(-1, 4)
+    full = np.flatnonzero(counts)
+    if len(full):
+        first = (np.cumsum(counts) - counts)[full]
+        least = [np.minimum.reduceat(mixed(h ^ np.uint64(k << 56)), first) for k in range(8)]
+        for k in range(4):
+            out[full, k] = mixed(least[2 * k] ^ mixed(least[2 * k + 1]))
+    return out.view(np.int64)
+
+
+def grouped(alike: list[list[int]]) -> list[int]:
+    """For each row the first row that it is tied to by shared keys."""
+    up, first = list(range(len(alike))), {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for k, keys in enumerate(alike):
+        for key in keys:
+            a, b = top(first.setdefault(key, k)), top(k)
+            up[max(a, b)] = min(a, b)
+    return [top(k) for k in range(len(alike))]
+
+
 def log_tail(k: int, n: int, p: float) -> float:
     """An upper bound (Chernoff) on the logarithm of the chance of k or more in n draws of probability p."""
     q = k / n
@@ -328,9 +358,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
     """Learns the language model from all texts and the evidence from a bounded sample of labelled ones.
 
     A feature (a restored word or its prefix) is evidence if toxic documents have it more often than chance allows for
-    any of the features tested, and if all but few documents with it are toxic. Texts of the same shingles count once. Features are
-    counted in parts and summed up; only those that pass, and which of them each document of the sample has, reach the
-    driver, which picks those that explain the labels.
+    any of the features tested, and if all but few documents with it are toxic. Texts of the same shingles count once, and
+    documents that resemble each other are one witness, toxic if most of them are: near copies share rare words by
+    descent, not because these tell anything. Features are counted in parts and summed up; only those that pass, and which
+    of them each document of the sample has, reach the driver, which picks those that explain the labels.
     """
     language = fit_language_model(docs)
     labelled = _training(spark, docs, labels, most)
@@ -371,18 +402,23 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = TRA
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = ToxicityModel(language, candidates, 0.0)
         for part in chunks(batches, 1):
-            toxic = part.column(0).to_pylist()
-            for bad, found in zip(toxic, finder.features(*utf8(part.column(1)))):
+            data, offsets = utf8(part.column(1))
+            toxic, alike = part.column(0).to_pylist(), likenesses(data, offsets)
+            for bad, found, own in zip(toxic, finder.features(data, offsets), alike.tolist()):
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([bad], pa.int32()), pa.array([sorted(found)], pa.list_(pa.string()))], ["toxic", "found"])
+                    yield pa.RecordBatch.from_arrays([pa.array([bad], pa.int32()), pa.array([sorted(found)], pa.list_(pa.string())), pa.array([own], pa.list_(pa.int64()))], ["toxic", "found", "alike"])
 
+    rows = train.select("toxic", "text").mapInArrow(held, "toxic int, found array<string>, alike array<bigint>").collect()  # at most ``most`` rows
+    group = grouped([r["alike"] for r in rows])
     docs_of: dict[str, set[int]] = {f: set() for f in candidates}
-    bad: set[int] = set()
-    for k, r in enumerate(train.select("toxic", "text").mapInArrow(held, "toxic int, found array<string>").collect()):  # at most ``most`` rows
+    votes: dict[int, int] = {}
+    for g, r in zip(group, rows):
+        votes[g] = votes.get(g, 0) + (1 if r["toxic"] else -1)
         for f in r["found"]:
-            docs_of[f].add(k)
-        if r["toxic"]:
-            bad.add(k)
+            docs_of[f].add(g)
+    bad = {g for g, v in votes.items() if v > 0}
+    low = {f: least_share(len(own & bad), len(own)) for f, own in docs_of.items() if len(own) >= settings.least}
+    candidates = {f: x for f, x in low.items() if x >= settings.purity and log_tail(len(docs_of[f] & bad), len(docs_of[f]), rate) < math.log(settings.false_findings / tested)}
     for table in (train, counts):
         remove(spark, table)
     return ToxicityModel(language, explaining(candidates, docs_of, bad, settings), 0.5 * rate)

@@ -529,6 +529,21 @@ def test_toxicity_long_and_address_like_tokens(finder):
     assert finder.telling(*utf8(pa.array(plain))) == [{}] * 4
 
 
+def test_toxicity_near_copies_are_one_witness(spark):
+    """Rare words that many near copies of one toxic document share are no evidence; a word of many toxic documents is."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(4))
+    texts = [(" ".join(word() for _ in range(60)), 0) for _ in range(300)]
+    one = [word() for _ in range(60)]
+    texts += [(" ".join([*one[:k], word(), *one[k + 1 :]]), 1) for k in range(40)]
+    texts += [(" ".join([*(word() for _ in range(30)), "nastiness", *(word() for _ in range(30))]), 1) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "doc_id bigint, toxic int")
+    evidence = toxicity.fit(spark, docs, labels).evidence
+    assert "=nastiness" in evidence and all(f.strip("=-") in "nastiness" for f in evidence), evidence
+    assert toxicity.grouped([[1, 2], [3, 4], [2, 3], [9, 8]]) == [0, 0, 0, 3]
+
+
 def test_toxicity_training_keeps_distinct_texts(spark):
     """Texts that share most of their words but not all are all learned from; copies count once."""
     shared = " ".join(f"w{k}" for k in range(200))
