@@ -23,8 +23,8 @@ HASHES = BANDS * ROWS
 STEP = 25
 #: The chosen probability with which a candidate pair exactly at the threshold is pruned.
 MISS = 1e-4
-#: Members of a bucket, and shingles of a candidate group, that one task compares; larger ones are cut into pairs of blocks.
-BLOCK, BLOCK_SHINGLES = 2048, 400_000
+#: Members of a bucket, and shingles of a candidate group, that one task compares; larger ones are cut into blocks.
+BLOCK, BLOCK_SHINGLES = 8192, 1_000_000
 #: Bytes of whole groups that a worker holds at a time (a larger group more), and shingles that it compares at a time.
 HELD_BYTES, COMPARED = 4 << 20, 100_000
 SMALL = 24
@@ -203,15 +203,56 @@ def tiled(rows: DataFrame, blocks: str, key: str) -> DataFrame:
     return mine.select("*", other).withColumn("ti", F.least("mine", "other")).withColumn("tj", F.greatest("mine", "other")).drop("mine", "other", "blocks")
 
 
-def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest, in each bucket, of the pairs that Bayesian verification does not prune.
+def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): edges that connect all members of a group (group, rep, weight) that ``compare`` links, directly or by way of
+    others, of whatever groups.
+
+    ``compare`` gets rows (group, ti, tj, rep) and gives a spanning forest of the links within each tile. Groups of a
+    weight of up to ``limit`` are one tile. Larger ones are cut into blocks, each row in one of them alone: what resembles
+    each other within a block is contracted. Then one row of each such set, and of each group, is compared with the others.
+    Only where sets are left that nothing connects, rows meet again: those of all but the heaviest set of a group with
+    every block. So a large group of copies travels once, whatever its size; work is quadratic only in what is unlike.
+    """
+    totals = members.groupBy("group").agg(F.sum("weight").alias("total"))
+    cut = members.join(totals, "group").withColumn("blocks", F.ceil(F.col("total") / limit).cast("bigint"))
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks"))
+    within = written(spark, compare(cut.select("group", own.alias("ti"), own.alias("tj"), "rep")), "forest")
+    large = written(spark, cut.filter("blocks > 1").select("group", "rep", "weight"), "large")
+    if not large.head(1):
+        return within
+
+    def marked(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The large groups' rows with the set that the edges put them in."""
+        roots = components(spark, edges)
+        return large.join(roots, F.col("rep") == F.col("node"), "left").select("group", "rep", "weight", F.coalesce("root", "rep").alias("set")), roots
+
+    sets, roots = marked(within)
+    ones = sets.groupBy("group", "set").agg(F.min_by("rep", "rep").alias("rep"), F.min_by("weight", "rep").alias("weight"))
+    several = ones.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).filter("n > 1")
+    across = written(spark, compare(tiled(ones.join(several, "group"), f"cast(ceil(total / {limit}) AS bigint)", "rep").select("group", "ti", "tj", "rep")), "forest")
+    remove(spark, roots)
+    both = within.unionByName(across)
+    sets, roots = marked(both)
+    heavy = sets.groupBy("group", "set").agg(F.sum("weight").alias("total")).groupBy("group").agg(F.count("*").alias("n"), F.max_by("set", F.struct("total", "set")).alias("heaviest"), F.max("total").alias("most"), F.sum("total").alias("total"))
+    left = sets.join(heavy.filter("n > 1"), "group").withColumn("first", F.ceil(F.col("most") / limit).cast("bigint")).withColumn("second", F.ceil((F.col("total") - F.col("most")) / limit).cast("bigint"))
+    main = F.col("set") == F.col("heaviest")
+    block = F.when(main, F.pmod(F.xxhash64("rep", F.lit(2)), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("rep", F.lit(2)), F.col("second")))
+    others = F.when(main, F.sequence(F.col("first"), F.col("first") + F.col("second") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("first") + F.col("second") - 1))
+    met = left.withColumn("mine", block).withColumn("other", F.explode(others)).select("group", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"), "rep")
+    rest = written(spark, compare(met), "forest")
+    for table in (roots, large):
+        remove(spark, table)
+    return both.unionByName(rest)
+
+
+def candidate_edges(spark: SparkSession, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect what shares a bucket and is not pruned by Bayesian verification.
 
     ``classes``: (rep, signature, bands). Buckets of one are dropped by a count that is summed up before its shuffle.
     """
-    placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    several = placed.groupBy("bucket").count().filter("count > 1")
-    tiles = tiled(placed.join(several, "bucket"), f"cast(ceil(count / {BLOCK}) AS bigint)", "rep")
-    rows = tiles.select("bucket", "ti", "tj", "rep").join(classes.select("rep", "signature"), "rep").select("bucket", "ti", "tj", "rep", "signature")
+    placed = classes.select("rep", F.explode("bands").alias("group"))
+    several = placed.groupBy("group").count().filter("count > 1").select("group")
+    members = placed.join(several, "group").select("group", "rep", F.lit(1).cast("bigint").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, 3, 20_000):
@@ -237,17 +278,19 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
             at = np.array(pairs, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rep[at[:, 0]]), pa.array(rep[at[:, 1]])], ["a", "b"])
 
-    return rows.repartition(F.col("bucket"), F.col("ti"), F.col("tj")).sortWithinPartitions("bucket", "ti", "tj").mapInArrow(run, "a bigint, b bigint").distinct()
+    def compare(tiles: DataFrame) -> DataFrame:
+        rows = tiles.join(classes.select("rep", "signature"), "rep").select("group", "ti", "tj", "rep", "signature")
+        return rows.repartition(F.col("group"), F.col("ti"), F.col("tj")).sortWithinPartitions("group", "ti", "tj").mapInArrow(run, "a bigint, b bigint").distinct()
 
+    return forest(spark, members, BLOCK, compare)
 
-def exact_edges(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the pairs of each candidate group whose whole shingle sets are similar enough.
 
-    ``groups``: (root, rep, n_shingles). Whole texts travel once to their group, more often only where it has blocks.
+def exact_edges(spark: SparkSession, docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): edges that connect the documents of each candidate group whose whole shingle sets are similar enough.
+
+    ``groups``: (root, rep, n_shingles). Whole texts travel once to their group, more often only where it has blocks that
+    hold unlike documents.
     """
-    totals = groups.groupBy("root").agg(F.sum("n_shingles").alias("total"))
-    tiles = tiled(groups.join(totals, "root"), f"cast(ceil(total / {BLOCK_SHINGLES}) AS bigint)", "rep")
-    rows = tiles.select("root", "ti", "tj", "rep").hint("merge").join(docs, docs["doc_id"] == F.col("rep")).select("root", "ti", "tj", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, 3, 500):
@@ -279,7 +322,11 @@ def exact_edges(docs: DataFrame, groups: DataFrame, size: int, percent: int) ->
             at = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rep[at[:, 0]]), pa.array(rep[at[:, 1]])], ["a", "b"])
 
-    return rows.repartition(F.col("root"), F.col("ti"), F.col("tj")).sortWithinPartitions("root", "ti", "tj").mapInArrow(run, "a bigint, b bigint")
+    def compare(tiles: DataFrame) -> DataFrame:
+        rows = tiles.hint("merge").join(docs, docs["doc_id"] == F.col("rep")).select("group", "ti", "tj", "rep", "text")
+        return rows.repartition(F.col("group"), F.col("ti"), F.col("tj")).sortWithinPartitions("group", "ti", "tj").mapInArrow(run, "a bigint, b bigint")
+
+    return forest(spark, groups.select(F.col("root").alias("group"), "rep", F.col("n_shingles").alias("weight")), BLOCK_SHINGLES, compare)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -291,8 +338,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     Documents of equal sets (compared by 128-bit fingerprints) are one class, so thousands of copies cost one
     candidate. Classes that share a band of the signature are candidates; within a bucket they are verified on growing
     parts of their signatures and only a spanning forest of those that remain is emitted. Its components are then
-    confirmed on the full sets, again as forests. Large buckets and groups are cut into pairs of blocks, so no task
-    gathers an unbounded group and no group's pairs are emitted; beyond MISS for a pair at the threshold nothing is lost.
+    confirmed on the full sets, again as forests. Large buckets and groups are cut into blocks and contracted (see
+    forest()), so no task gathers an unbounded group and no group's pairs are emitted; beyond MISS for a pair at the
+    threshold nothing is lost.
 
     Rows without words have an empty set, are linked with nothing and kept. Rows that share a doc_id count as one
     document with several texts. A null doc_id is linked with nothing: component_id null, kept true. An empty table
@@ -302,11 +350,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     sketch = written(spark, sketches(src, size), "sketches")
     usable = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(spark, usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")), "classes")
-    groups = components(spark, candidate_edges(classes, percent))
+    groups = components(spark, candidate_edges(spark, classes, percent))
     rooted = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     members = written(spark, classes.select("rep", "n_shingles").join(rooted, F.col("rep") == F.col("node")).select("root", "rep", "n_shingles"), "members")
     remove(spark, groups)
-    edges = exact_edges(src, members.groupBy("root", "rep").agg(F.sum("n_shingles").alias("n_shingles")), size, percent)
+    edges = exact_edges(spark, src, members.groupBy("root", "rep").agg(F.sum("n_shingles").alias("n_shingles")), size, percent)
     again = usable.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     reused = usable.join(again, "doc_id").join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(spark, edges.unionByName(reused))
