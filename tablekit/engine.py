@@ -36,6 +36,20 @@ class Engine:
         self.open_tables: dict[str, Table] = {}
         self.temporary: dict[str, str] = {}
 
+    def close(self) -> None:
+        """Rolls open transactions back and drops temporary tables; also at the end of a with block."""
+        for table in self.open_tables.values():
+            table.rollback()
+        self.open_tables.clear()
+        for name in list(self.temporary):
+            self._drop(name)
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # -- names
 
     def _path(self, name: str) -> str:

@@ -95,6 +95,19 @@ def test_temporary(engine):
         engine.sql("CREATE TABLE plain.csv (id INT64, PRIMARY KEY (id))")
 
 
+def test_close(spark, path):
+    """Temporary tables and open transactions end with the engine."""
+    from tablekit.sources.paths import exists
+
+    with Engine(spark) as own:
+        own.sql("CREATE TEMPORARY TABLE @t (id INT64, PRIMARY KEY (id))")
+        own.sql("INSERT INTO @t VALUES (1)")
+        folder = own.temporary["@t"]
+        own.sql(f"BEGIN TRANSACTION {path}")
+        own.sql(f"DELETE FROM {path} WHERE id = 1")
+    assert not exists(spark, folder) and not exists(spark, f"{path}/LOCK") and Engine(spark).rows(path) == 3
+
+
 steps = st.lists(st.tuples(st.sampled_from(["replace", "delete", "update"]), st.integers(0, 4), st.integers(0, 99)), max_size=5)
 
 
