@@ -93,6 +93,14 @@ class _Dictionary:
         self.counts.append(counts)
         self.bytes += len(data)
 
+    def ranked(self) -> tuple[list[bytes], np.ndarray]:
+        """The words, the most frequent first, and the number of the word at each place: small numbers take few bytes."""
+        listed, index = [*self.local], np.concatenate(self.index)
+        order = np.argsort(-np.bincount(index, minlength=len(listed)), kind="stable")
+        rank = np.empty(len(listed), np.int32)
+        rank[order] = np.arange(len(listed))
+        return [listed[i] for i in order], rank[index]
+
 
 def dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Dictionary]]:
     """The dictionaries of a task's documents (doc_id, text), with numbers that are the same whenever the task is run."""
@@ -138,7 +146,7 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None)
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, d in dictionaries(batches):
-            listed = [*d.local]
+            listed, _ = d.ranked()
             order, cuts = by_bucket(listed, buckets)
             found = np.flatnonzero(np.diff(cuts))
             payload = [packed(*bytes_of([listed[i] for i in order[cuts[b] : cuts[b + 1]]])) for b in found]
@@ -173,8 +181,8 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, d in dictionaries(batches):
-            ids, listed = pa.concat_arrays(d.docs), [*d.local]
-            frame = packed(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().astype("<i8"), to_varint(np.concatenate(d.counts)), *bytes_of(listed), to_varint(np.concatenate(d.index)))
+            ids, (listed, index) = pa.concat_arrays(d.docs), d.ranked()
+            frame = packed(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().astype("<i8"), to_varint(np.concatenate(d.counts)), *bytes_of(listed), to_varint(index))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([frame], pa.binary())], ["chunk", "packet"])
 
     def assemble(coded: pa.Table, packets: pa.Table) -> pa.Table:

@@ -343,8 +343,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     threshold nothing is lost.
 
     Rows without words have an empty set, are linked with nothing and kept. Rows that share a doc_id count as one
-    document with several texts. A null doc_id is linked with nothing: component_id null, kept true. An empty table
-    gives an empty result; further columns are ignored.
+    document with several texts. A null doc_id is linked with nothing: component_id null, kept true; others must be whole
+    numbers, or texts of such. Long texts are read whole. An empty table gives an empty result; further columns, whatever
+    their names, are ignored.
     """
     src = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     sketch = written(spark, sketches(src, size), "sketches")

@@ -338,7 +338,9 @@ def test_byte_bpe_words_that_do_not_come_back(spark, monkeypatch):
     d = bytebpe._Dictionary()
     texts = ["a b c", None, "", "b don't  b"]
     d.add(pa.array([1, None, 3, 4]), *utf8(pa.array(texts)))
-    frame = bytebpe.packed(np.array([0, 1, 0, 0], np.uint8), np.array([1, 0, 3, 4], "<i8"), bytebpe.to_varint(np.concatenate(d.counts)), *bytebpe.bytes_of([*d.local]), bytebpe.to_varint(np.concatenate(d.index)))
+    listed, index = d.ranked()
+    assert [listed[i] for i in index] == [b"a", b" b", b" c", b"b", b" don", b"'t", b" ", b" b"] and listed[0] == b" b"
+    frame = bytebpe.packed(np.array([0, 1, 0, 0], np.uint8), np.array([1, 0, 3, 4], "<i8"), bytebpe.to_varint(np.concatenate(d.counts)), *bytebpe.bytes_of(listed), bytebpe.to_varint(index))
     other = bytebpe.packed(np.array([5], "<u8"), bytebpe.to_varint(np.array([1])), bytebpe.to_varint(np.array([7])))
     for coded in ({}, {0: other}):
         out = bytebpe._assembled(frame, coded, 1, lambda listed: [np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes() for w in listed])
