@@ -139,7 +139,7 @@ def _years(spark: SparkSession, d: str) -> str:
 def union_ordered(spark: SparkSession, d: str) -> DataFrame:
     """File by file, the last year first, rows in their files' order."""
     found = registry.read_union(spark, union.Descriptor(_years(spark, d), r"orders_\d+\.parquet", 1, "desc"), ordered=True)
-    return found.limit(5000).select("o_orderkey", F.year("o_orderdate").alias("y"))
+    return found.limit(5000).select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("y"))
 
 
 @registered("SELECT * FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999")

@@ -70,7 +70,6 @@ _PREDICATES = {
     "filter_not": ("NOT l_returnflag = 'N' AND l_quantity NOT BETWEEN 5 AND 45", None),
     "filter_or_precedence": ("l_returnflag = 'A' OR l_returnflag = 'R' AND l_quantity > 45", None),
     "filter_parens": ("(l_returnflag = 'A' OR l_returnflag = 'R') AND l_quantity > 45", None),
-    "filter_eq_null": ("l_returnflag = NULL", "l_returnflag IS NULL"),
     "filter_ne_null": ("l_returnflag != NULL AND l_quantity = 50", "l_returnflag IS NOT NULL AND l_quantity = 50"),
     "filter_is_null": ("l_returnflag IS NOT NULL AND l_quantity = 49", None),
 }
@@ -172,11 +171,11 @@ def agg_custom(spark: SparkSession, d: str) -> DataFrame:
 
 def _bitmaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, d, "events")
-    return tuple(bitmaps.build(events.filter(test), ["event_type"], "user_id") for test in (F.col("value") > 50, F.col("value") < 80))
+    return tuple(bitmaps.build(events.filter(test), ["event_type"], "user_id") for test in (F.col("value") > 50, F.col("value") < 5))
 
 
 for _name, _set, _op in (("bitmap_or", bitmaps.union, "UNION"), ("bitmap_and", bitmaps.intersection, "INTERSECT"), ("bitmap_andnot", bitmaps.difference, "EXCEPT")):
-    _sides = [f"SELECT event_type, user_id FROM events WHERE {t} AND user_id IS NOT NULL" for t in ("value > 50", "value < 80")]
+    _sides = [f"SELECT event_type, user_id FROM events WHERE {t} AND user_id IS NOT NULL" for t in ("value > 50", "value < 5")]
     registered(f"SELECT event_type, count(*) AS users FROM (({_sides[0]}) {_op} ({_sides[1]})) GROUP BY event_type", _name)(partial(lambda spark, d, op: bitmaps.counts(op(*_bitmaps(spark, d)), "users").filter("users > 0"), op=_set))
 
 
