@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, mixed, narrow, remove, utf8, written
@@ -205,7 +206,7 @@ def tiled(rows: DataFrame, blocks: str, key: str) -> DataFrame:
 
 def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): edges that connect all members of a group (group, rep, weight) that ``compare`` links, directly or by way of
-    others, of whatever groups.
+    others, of whatever groups. Groups of one are dropped by a count that is summed up before its shuffle.
 
     ``compare`` gets rows (group, ti, tj, rep) and gives a spanning forest of the links within each tile. Groups of a
     weight of up to ``limit`` are one tile. Larger ones are cut into blocks, each row in one of them alone: what resembles
@@ -213,13 +214,18 @@ def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callabl
     Only where sets are left that nothing connects, rows meet again: those of all but the heaviest set of a group with
     every block. So a large group of copies travels once, whatever its size; work is quadratic only in what is unlike.
     """
-    totals = members.groupBy("group").agg(F.sum("weight").alias("total"))
-    cut = members.join(totals, "group").withColumn("blocks", F.ceil(F.col("total") / limit).cast("bigint"))
+    totals = members.groupBy("group").agg(F.sum("weight").alias("total"), F.count("*").alias("n")).filter("n > 1")
+    cut, seen = members.join(totals, "group").withColumn("blocks", F.ceil(F.col("total") / limit).cast("bigint")), Observation()
     own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks"))
-    within = written(spark, compare(cut.select("group", own.alias("ti"), own.alias("tj"), "rep")), "forest")
-    large = written(spark, cut.filter("blocks > 1").select("group", "rep", "weight"), "large")
-    if not large.head(1):
+    placed = cut.observe(seen, F.max("blocks").alias("most")).select("group", own.alias("ti"), own.alias("tj"), "rep")
+    within = written(spark, compare(placed), "forest")
+    try:
+        most = seen.get["most"]
+    except Py4JJavaError:  # adaptive execution found that there are no rows, and left the observation out
+        most = None
+    if not most or most == 1:
         return within
+    large = written(spark, cut.filter("blocks > 1").select("group", "rep", "weight"), "large")
 
     def marked(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The large groups' rows with the set that the edges put them in."""
@@ -248,11 +254,9 @@ def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callabl
 def candidate_edges(spark: SparkSession, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): edges that connect what shares a bucket and is not pruned by Bayesian verification.
 
-    ``classes``: (rep, signature, bands). Buckets of one are dropped by a count that is summed up before its shuffle.
+    ``classes``: (rep, signature, bands).
     """
-    placed = classes.select("rep", F.explode("bands").alias("group"))
-    several = placed.groupBy("group").count().filter("count > 1").select("group")
-    members = placed.join(several, "group").select("group", "rep", F.lit(1).cast("bigint").alias("weight"))
+    members = classes.select(F.explode("bands").alias("group"), "rep", F.lit(1).cast("bigint").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, 3, 20_000):
