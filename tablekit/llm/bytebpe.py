@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, strings, utf8
+from .common import WORDS_BYTES, chunks, narrow, strings, utf8
 from .tokens import CACHED_WORDS, PATTERN, gathered, ranks, words
 
 #: Bytes of text whose words are gathered into one dictionary before they are dealt out.
@@ -105,7 +105,7 @@ class _Dictionary:
 def dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Dictionary]]:
     """The dictionaries of a task's documents (doc_id, text), with numbers that are the same whenever the task is run."""
     number, held = TaskContext.get().partitionId() << 32, _Dictionary()
-    for part in chunks(batches, 1):
+    for part in chunks(batches, 1, WORDS_BYTES):
         held.add(part.column(0), *utf8(part.column(1)))
         if held.bytes >= DICTIONARY_BYTES:
             yield number, held

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker handles at once; longer single texts make a chunk of their own.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that a Python worker handles at once, and where distinct words are looked up in a dictionary, which larger
+#: chunks spare; longer single texts make a chunk of their own.
+CHUNK_BYTES, WORDS_BYTES = 1 << 20, 2 << 20
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not the GNU C library
+    _TRIM = None
 #: Session settings that operators bound where they have Spark's own values, by what those are: bytes of an Arrow batch, and
 #: rows of a Parquet batch in the JVM. Thousands of rows of long texts would be gigabytes.
 BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20)), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
@@ -92,6 +98,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = CHUNK_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system, as workers wait for the next task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:

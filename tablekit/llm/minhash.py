@@ -13,7 +13,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mixed, narrow, remove, utf8, written
+from .common import chunks, mixed, narrow, release, remove, utf8, written
 from .graph import components
 from .words import LOWER, Words
 
@@ -25,9 +25,9 @@ STEP = 25
 #: The chosen probability with which a candidate pair exactly at the threshold is pruned.
 MISS = 1e-4
 #: Members of a bucket, and shingles of a candidate group, that one task compares; larger ones are cut into blocks.
-BLOCK, BLOCK_SHINGLES = 8192, 1_000_000
+BLOCK, BLOCK_SHINGLES = 4096, 400_000
 #: Bytes of whole groups that a worker holds at a time (a larger group more), and shingles that it compares at a time.
-HELD_BYTES, COMPARED = 4 << 20, 100_000
+HELD_BYTES, COMPARED = 2 << 20, 100_000
 SMALL = 24
 
 _seed = np.random.default_rng(20240)
@@ -189,6 +189,7 @@ def by_group(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterat
             factor = 1 if len(new) else 2 * factor
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    release()
 
 
 def bounds(table: pa.Table, width: int) -> np.ndarray:

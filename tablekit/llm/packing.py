@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, utf8, written
+from .common import WORDS_BYTES, chunks, narrow, utf8, written
 from .tokens import hub_coder
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it in a sequence)
@@ -177,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = hub_coder(tokenizer)
-        for part in chunks(batches, 1):
+        for part in chunks(batches, 1, WORDS_BYTES):
             data, offsets = utf8(part.column(1))
             ids, counts = coder.ids(data, offsets)
             ends = np.cumsum(counts)

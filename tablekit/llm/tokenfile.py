@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import rangecoder
 from .bytebpe import from_varint, to_varint
-from .common import chunks, narrow, new_path, utf8
+from .common import WORDS_BYTES, chunks, narrow, new_path, utf8
 from .tokens import hub_coder
 
 MAGIC = b"TKID1\0"
@@ -65,7 +65,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
             k += 1
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([k - 1]), pa.array([len(doc_ids)]), pa.array([len(ids)]), pa.array([frame(doc_ids, counts, ids)], pa.binary())], ["part", "frame", "n_docs", "n_ids", "payload"])
 
-        for piece in chunks(batches, 1):
+        for piece in chunks(batches, 1, WORDS_BYTES):
             ids, counts = coder.ids(*utf8(piece.column(1)))
             held.append((piece.column(0), counts + 1, np.insert(ids, np.cumsum(counts), np.uint32(end_id))))
             if sum(len(h[2]) for h in held) >= FRAME_IDS:
