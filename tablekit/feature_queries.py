@@ -19,7 +19,7 @@ from .functions import bitmaps, decimals, kernels
 from .functions.aggregates import Function, aggregate, between
 from .operators import pipeline
 from .operators.lookup import lookup
-from .queries import _CUSTOMER, SUM, _customers, query, registered, scratch, table
+from .queries import _CUSTOMER, ORACLE_SQL, SUM, _customers, query, registered, scratch, table
 from .schema import Meta
 from .sources import registry, text, union
 from .sources.paths import date_in_name, file_system, write_text
@@ -320,6 +320,9 @@ def hash63(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", kernels.hash63("c_name").alias("hash"))
 
 
+ORACLE_SQL["map_hash63"] = ORACLE_SQL["hash63"]
+
+
 @registered(f"SELECT c_custkey, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INT AS hash FROM (SELECT c_custkey, {_JAVA} AS h FROM customer)")
 def java_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", decimals.java_hash(F.col("c_name")).alias("hash"))
@@ -392,6 +395,10 @@ def table_compressor(spark: SparkSession, d: str) -> DataFrame:
 _DDL = "CREATE TABLE customer" + registry.NATIVE + " (\n\tc_custkey INT64 NOT NULL,\n\tc_name STRING(40),\n\tc_mktsegment STRING(20),\n\tPRIMARY KEY (c_custkey)\n)"
 
 
+_ORDERS_DDL = "CREATE TABLE orders.parquet (\n\to_orderkey INT64,\n\to_custkey INT64,\n\to_orderstatus STRING,\n\to_totalprice DOUBLE,\n\to_orderdate TIME,\n\to_orderpriority STRING\n)"
+ORACLE_SQL["meta"] = values([(_ORDERS_DDL,)], "meta")
+
+
 @registered(values([(_DDL,)], "meta"))
 def meta_ddl(spark: SparkSession, d: str) -> DataFrame:
     engine, path = _customers(spark, d)
