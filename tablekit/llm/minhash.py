@@ -205,12 +205,13 @@ def tiled(rows: DataFrame, blocks: str, key: str) -> DataFrame:
     return mine.select("*", other).withColumn("ti", F.least("mine", "other")).withColumn("tj", F.greatest("mine", "other")).drop("mine", "other", "blocks")
 
 
-def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def forest(spark: SparkSession, members: DataFrame, source: DataFrame, limit: int, compare: Callable[[DataFrame], DataFrame], once: bool = False) -> DataFrame:
     """(a, b): edges that connect all members of a group (group, rep, weight) that ``compare`` links, directly or by way of
     others, of whatever groups. Groups of one are dropped by a count that is summed up before its shuffle.
 
-    ``compare`` gets rows (group, ti, tj, rep) and gives a spanning forest of the links within each tile. Groups of a
-    weight of up to ``limit`` are one tile. Larger ones are cut into blocks, each row in one of them alone: what resembles
+    ``compare`` gets rows (group, ti, tj, rep, the other columns of ``source``) and gives a spanning forest of the links
+    within each tile. ``once``: source is large and each rep in one group alone, so it is read a single time, and what its
+    rows of large groups hold is kept in the shared folder for when they meet again. Groups of a weight of up to ``limit`` are one tile. Larger ones are cut into blocks, each row in one of them alone: what resembles
     each other within a block is contracted. Then one row of each such set, and of each group, is compared with the others.
     Only where sets are left that nothing connects, rows meet again: those of all but the heaviest set of a group with
     every block. So a large group of copies travels once, whatever its size; work is quadratic only in what is unlike.
@@ -218,13 +219,25 @@ def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callabl
     totals = members.groupBy("group").agg(F.sum("weight").alias("total"), F.count("*").alias("n")).filter("n > 1")
     cut, seen = members.join(totals, "group").withColumn("blocks", F.ceil(F.col("total") / limit).cast("bigint")), Observation()
     own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks"))
-    placed = cut.observe(seen, F.max("blocks").alias("most")).select("group", own.alias("ti"), own.alias("tj"), "rep")
-    within = written(spark, compare(placed), "forest")
+    placed = cut.observe(seen, F.max("blocks").alias("most")).select("group", own.alias("ti"), own.alias("tj"), "rep", "blocks")
+    names = ["group", "ti", "tj", *source.columns]
+
+    def joined(tiles: DataFrame, source: DataFrame, *more: str) -> DataFrame:
+        return (tiles.hint("merge") if once else tiles).join(source, "rep").select(*names, *more)
+
+    if once:
+        held = written(spark, joined(placed, source, "blocks"), "held")
+        within = written(spark, compare(held.select(names)), "forest")
+        source = held.filter("blocks > 1").select(source.columns)
+    else:
+        within = written(spark, compare(joined(placed, source)), "forest")
     try:
         most = seen.get["most"]
     except Py4JJavaError:  # adaptive execution found that there are no rows, and left the observation out
         most = None
     if not most or most == 1:
+        if once:
+            remove(spark, held)
         return within
     large = written(spark, cut.filter("blocks > 1").select("group", "rep", "weight"), "large")
 
@@ -236,7 +249,8 @@ def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callabl
     sets, roots = marked(within)
     ones = sets.groupBy("group", "set").agg(F.min_by("rep", "rep").alias("rep"), F.min_by("weight", "rep").alias("weight"))
     several = ones.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).filter("n > 1")
-    across = written(spark, compare(tiled(ones.join(several, "group"), f"cast(ceil(total / {limit}) AS bigint)", "rep").select("group", "ti", "tj", "rep")), "forest")
+    tiles = tiled(ones.join(several, "group"), f"cast(ceil(total / {limit}) AS bigint)", "rep").select("group", "ti", "tj", "rep")
+    across = written(spark, compare(joined(tiles, source)), "forest")
     remove(spark, roots)
     both = within.unionByName(across)
     sets, roots = marked(both)
@@ -246,8 +260,8 @@ def forest(spark: SparkSession, members: DataFrame, limit: int, compare: Callabl
     block = F.when(main, F.pmod(F.xxhash64("rep", F.lit(2)), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("rep", F.lit(2)), F.col("second")))
     others = F.when(main, F.sequence(F.col("first"), F.col("first") + F.col("second") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("first") + F.col("second") - 1))
     met = left.withColumn("mine", block).withColumn("other", F.explode(others)).select("group", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"), "rep")
-    rest = written(spark, compare(met), "forest")
-    for table in (roots, large):
+    rest = written(spark, compare(joined(met, source)), "forest")
+    for table in (roots, large, *([held] if once else [])):
         remove(spark, table)
     return both.unionByName(rest)
 
@@ -283,18 +297,17 @@ def candidate_edges(spark: SparkSession, classes: DataFrame, percent: int) -> Da
             at = np.array(pairs, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rep[at[:, 0]]), pa.array(rep[at[:, 1]])], ["a", "b"])
 
-    def compare(tiles: DataFrame) -> DataFrame:
-        rows = tiles.join(classes.select("rep", "signature"), "rep").select("group", "ti", "tj", "rep", "signature")
+    def compare(rows: DataFrame) -> DataFrame:
         return rows.repartition(F.col("group"), F.col("ti"), F.col("tj")).sortWithinPartitions("group", "ti", "tj").mapInArrow(run, "a bigint, b bigint").distinct()
 
-    return forest(spark, members, BLOCK, compare)
+    return forest(spark, members, classes.select("rep", "signature"), BLOCK, compare)
 
 
 def exact_edges(spark: SparkSession, docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): edges that connect the documents of each candidate group whose whole shingle sets are similar enough.
 
-    ``groups``: (root, rep, n_shingles). Whole texts travel once to their group, more often only where it has blocks that
-    hold unlike documents.
+    ``groups``: (root, rep, n_shingles), each rep once. All texts are read and dealt out once, to find those of the groups;
+    these travel once to their group, more often only where it has blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,11 +340,11 @@ def exact_edges(spark: SparkSession, docs: DataFrame, groups: DataFrame, size: i
             at = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rep[at[:, 0]]), pa.array(rep[at[:, 1]])], ["a", "b"])
 
-    def compare(tiles: DataFrame) -> DataFrame:
-        rows = tiles.hint("merge").join(docs, docs["doc_id"] == F.col("rep")).select("group", "ti", "tj", "rep", "text")
+    def compare(rows: DataFrame) -> DataFrame:
         return rows.repartition(F.col("group"), F.col("ti"), F.col("tj")).sortWithinPartitions("group", "ti", "tj").mapInArrow(run, "a bigint, b bigint")
 
-    return forest(spark, groups.select(F.col("root").alias("group"), "rep", F.col("n_shingles").alias("weight")), BLOCK_SHINGLES, compare)
+    members = groups.select(F.col("root").alias("group"), "rep", F.col("n_shingles").alias("weight"))
+    return forest(spark, members, docs.select(F.col("doc_id").alias("rep"), "text"), BLOCK_SHINGLES, compare, once=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

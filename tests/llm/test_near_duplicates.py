@@ -97,6 +97,22 @@ def test_blocks(spark, monkeypatch):
     assert rows(minhash.near_duplicates(spark, df, 3, 85)) == brute_documents(data, 3, 85)
 
 
+def test_large_groups_read_the_texts_once(spark, monkeypatch, tmp_path):
+    """Whatever the blocks, all texts are read for their sketches and once for the confirmation; before, three times for it."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    data, seen, names, written = near_copies(2), tmp_path / "seen", [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda spark, df, name: [names.append(name), written(spark, df, name)][1])
+
+    def noted(batches):
+        with seen.open("a") as f:
+            f.write("read\n")
+        yield from batches
+
+    df = spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1).mapInArrow(noted, "doc_id bigint, text string")
+    assert rows(minhash.near_duplicates(spark, df, 3, 85)) == brute_documents(data, 3, 85)
+    assert seen.read_text().split() == ["read"] * 2 and "large" in names
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.near_duplicates(spark, df).count() == 0 and minhash.keep_one(spark, df).count() == 0
