@@ -27,12 +27,18 @@ IDS = np.array([0, 64, 320, 1344, 5440, 21824, 38208, 54592, 1 << 30], np.int64)
 ID_BITS = np.array([6, 8, 10, 12, 14, 14, 14, 14], np.int64)
 BASE = np.concatenate([[0, 0], FAR[:-1], IDS[:-1]]).astype(np.int32)
 BITS = np.concatenate([[0, 0], FAR_BITS, ID_BITS]).astype(np.int32)
+MASK = (1 << BITS.astype(np.int64)) - 1
 FAR_SYMBOL = (np.searchsorted(FAR, np.arange(BLOCK + 2), "right") - 1 + SEEN).astype(np.int32)
 ID_SYMBOL = (np.searchsorted(IDS, np.arange(1 << 16), "right") - 1 + NEW).astype(np.int32)
 
-_EVEN = (np.arange(SYMBOLS + 1) * ((1 << TOTAL) // SYMBOLS)).astype(np.int32)
+#: Models hold where each symbol's share of the total begins, in 16 bits; the last ends at the total.
+_EVEN = (np.arange(SYMBOLS) * ((1 << TOTAL) // SYMBOLS)).astype(np.int16)
 #: Where a model moves when a symbol occurs: nearly all of the total on it, at least 1 on each other.
-_AIM = np.array([[k + ((1 << TOTAL) - SYMBOLS) * (k > s) for k in range(SYMBOLS + 1)] for s in range(SYMBOLS)], np.int32)
+_AIM = np.array([[k + ((1 << TOTAL) - SYMBOLS) * (k > s) for k in range(SYMBOLS)] for s in range(SYMBOLS)], np.int16)
+#: A model's row as one value, which is moved at once.
+_ROW = np.dtype(f"V{2 * SYMBOLS}")
+#: Multiplied with eight bytes of 0 or 1, it has their sum in its highest byte.
+_ONES = np.uint64(0x0101010101010101)
 
 
 class _State:
@@ -40,6 +46,7 @@ class _State:
 
     def __init__(self, lanes: int, length: int):
         self.row = np.arange(lanes)
+        self.at_one, self.at_two, self.at_cell = self.row * ONE, self.row * TWO, self.row * SYMBOLS
         self.history = np.zeros((length + 2, lanes), np.int32)  # two zeros stand before each block
         #: What followed an id, or two, by hash: the id, and above 16 bits how sure it is.
         self.one, self.two = np.zeros(lanes * ONE, np.int32), np.zeros(lanes * TWO, np.int32)
@@ -48,26 +55,45 @@ class _State:
         self.symbol = np.zeros(lanes, np.int32)
 
     def predict(self, t: int, m: int) -> np.ndarray:
-        """Cumulative frequencies of the symbols of the next id of the first ``m`` blocks."""
+        """Where the symbols of the next id of the first ``m`` blocks begin in the total, by mixed frequencies."""
         row, a, b = self.row[:m], self.history[t + 1, :m], self.history[t, :m]
         x = a * 40503
-        self.at1 = row * ONE + ((x >> 3) & (ONE - 1))
-        self.at2 = row * TWO + (((x + b * 30011) >> 3) & (TWO - 1))
-        self.known1, self.known2 = self.one[self.at1], self.two[self.at2]
+        self.at1 = self.at_one[:m] + ((x >> 3) & (ONE - 1))
+        self.at2 = self.at_two[:m] + (((x + b * 30011) >> 3) & (TWO - 1))
+        self.known1, self.known2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
         self.guess1, self.guess2 = self.known1 & 0xFFFF, self.known2 & 0xFFFF
         sure = ((self.known2 >> 16) << 3) | (np.minimum(self.known1 >> 16, 3) << 1) | (self.guess1 == self.guess2)
-        self.at_high, self.at_low = row * 64 + sure, row * SYMBOLS + self.symbol[:m]
-        self.p_high, self.p_low = self.high.take(self.at_high, 0), self.low.take(self.at_low, 0)
-        return self.p_low + (((self.p_high - self.p_low) * self.weight[:m, None]) >> WEIGHT)
+        self.at_high, self.at_low = row * 64 + sure, self.at_cell[:m] + self.symbol[:m]
+        self.p_high, self.p_low = self.high.take(self.at_high, 0, mode="clip"), self.low.take(self.at_low, 0, mode="clip")
+        self.apart = self.p_high - self.p_low
+        mixed = self.apart * self.weight[:m, None]
+        mixed >>= WEIGHT
+        mixed += self.p_low
+        return mixed
+
+    def place(self, cdf: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each block's symbol begins in the total, and its share."""
+        self.cell = self.at_cell[: len(symbol)] + symbol
+        self.last = symbol == SYMBOLS - 1
+        start, end = cdf.take(self.cell, mode="clip"), cdf.take(self.cell + 1, mode="clip")
+        end[self.last] = 1 << TOTAL
+        return start, end - start
 
     def update(self, t: int, m: int, symbol: np.ndarray, ids: np.ndarray) -> None:
-        row, aim = self.row[:m], _AIM.take(symbol, 0)
-        better = (self.p_high[row, symbol + 1] - self.p_high[row, symbol]) > (self.p_low[row, symbol + 1] - self.p_low[row, symbol])
-        self.high[self.at_high] = self.p_high + ((aim - self.p_high) >> RATE)
-        self.low[self.at_low] = self.p_low + ((aim - self.p_low) >> RATE)
+        """After place()."""
+        aim = _AIM.take(symbol, 0, mode="clip")
+        after = self.apart.take(self.cell + 1, mode="clip")
+        after[self.last] = 0
+        better = after > self.apart.take(self.cell, mode="clip")  # the symbol's share is larger in the first model
+        for table, at, p in ((self.high, self.at_high, self.p_high), (self.low, self.at_low, self.p_low)):
+            step = aim - p
+            step >>= RATE
+            step += p
+            table.view(_ROW)[at, 0] = step.view(_ROW)[:, 0]
         w = self.weight[:m]
         w += ((better << WEIGHT) - w) >> MIX_RATE
-        np.clip(w, 16, (1 << WEIGHT) - 16, out=w)
+        np.minimum(w, (1 << WEIGHT) - 16, out=w)
+        np.maximum(w, 16, out=w)
         for table, at, known, guess in ((self.one, self.at1, self.known1, self.guess1), (self.two, self.at2, self.known2, self.guess2)):
             grown = np.minimum(known + (1 << 16), (7 << 16) | guess)
             sure = (known >> 17) << 16
@@ -82,16 +108,9 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * BLOCK
 
 
-def _plain(values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The low ``bits`` of the values of each block (row), packed into 32-bit words, and how many words each has."""
-    size = -(-bits.sum(1) // 32)
-    ends = np.cumsum(bits, 1)
-    at = (ends - bits) + ((np.cumsum(size) - size) * 32)[:, None]
-    word, shift = (at >> 5).ravel(), (at & 31).ravel()
-    wide = values.ravel().astype(np.int64) << shift
-    n = int(size.sum()) + 1
-    packed = np.bincount(word, (wide & 0xFFFFFFFF).astype(float), n + 1) + np.bincount(word + 1, (wide >> 32).astype(float), n + 1)[: n + 1]
-    return packed[: n - 1].astype("<u4"), size
+def _joined(words: np.ndarray, used: np.ndarray, kind: str) -> bytes:
+    """The first ``used`` words of each block (column), block after block."""
+    return np.ascontiguousarray(words.astype(kind).T)[np.arange(len(words)) < used[:, None]].tobytes()
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -112,47 +131,57 @@ def encode(ids: np.ndarray) -> bytes:
     state = _State(lanes, steps)
     seen = np.zeros(lanes * TWO, np.int32)  # where an id was last, by hash; 0: nowhere
     low, width = np.zeros(lanes, np.int64), np.full(lanes, (1 << 32) - 1, np.int64)
-    words, used = np.zeros((lanes, steps + 2), np.int64), np.zeros(lanes, np.int64)
-    values, bits = np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), np.int32)
+    words, used = np.zeros((steps + 2, lanes), np.int32), np.zeros(lanes, np.int64)
+    plain, size = np.zeros((steps * int(BITS.max()) // 32 + 1, lanes), np.uint32), np.zeros(lanes, np.int64)
+    held, bits = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # plain bits that fill no word yet
     for t in range(steps):
         m = lanes if t < last else lanes - 1
         x, row = padded[t, :m], state.row[:m]
         cdf = state.predict(t, m)
-        slot = row * TWO + ((x * 40503 >> 2) & (TWO - 1))
-        place = seen[slot]
+        slot = state.at_two[:m] + ((x * 40503 >> 2) & (TWO - 1))
+        place = seen.take(slot, mode="clip")
         far = t + 2 - place
-        known = (place > 0) & (state.history[place, row] == x)
-        symbol = np.where(known, FAR_SYMBOL[np.minimum(far, BLOCK + 1)], ID_SYMBOL[x])
+        known = (place > 0) & (state.history.take(place * lanes + row, mode="clip") == x)
+        symbol = np.where(known, FAR_SYMBOL.take(far, mode="clip"), ID_SYMBOL.take(x, mode="clip"))
         symbol = np.where(x == state.guess2, HIT2, np.where(x == state.guess1, HIT1, symbol))
-        values[t, :m] = np.where(symbol < NEW, far, x) - BASE[symbol]
-        bits[t, :m] = BITS[symbol]
-        start = cdf[row, symbol]
+        value = np.where(symbol < NEW, far, x) - BASE.take(symbol, mode="clip")
+        held[:m] |= (value & MASK.take(symbol, mode="clip")) << bits[:m]
+        bits[:m] += BITS.take(symbol, mode="clip")
+        full = np.flatnonzero(bits >= 32)
+        if len(full):
+            own, at = held.take(full), size.take(full)
+            plain[at, full] = own & 0xFFFFFFFF
+            size[full] = at + 1
+            held[full] = own >> 32
+            bits[full] -= 32
+        start, share = state.place(cdf, symbol)
         l, w = low[:m], width[:m]
         unit = w >> TOTAL
         l += unit * start
-        np.multiply(unit, cdf[row, symbol + 1] - start, out=w)
+        np.multiply(unit, share, out=w)
         out = np.flatnonzero(w < 1 << 16)
         if len(out):
-            words[out, used[out]] = low[out] >> 16
-            used[out] += 1
-            low[out] = (low[out] & 0xFFFF) << 16
+            own, at = low.take(out), used.take(out)
+            words[at, out] = own >> 16
+            used[out] = at + 1
+            low[out] = (own & 0xFFFF) << 16
             width[out] <<= 16
         state.update(t, m, symbol, x)
         seen[slot] = t + 2
     for _ in range(2):
-        words[state.row, used] = low >> 16
+        words[used, state.row] = low >> 16
         used += 1
         low = (low & 0xFFFF) << 16
     for k in range(int(used.max()) - 1, 0, -1):  # a word over 16 bits carries into the one before
-        words[:, k - 1] += words[:, k] >> 16
-        words[:, k] &= 0xFFFF
-    values[bits == 0] = 0
-    plain, size = _plain(values.T, bits.T)
+        words[k - 1] += words[k] >> 16
+        words[k] &= 0xFFFF
+    rest = np.flatnonzero(bits)
+    plain[size[rest], rest] = held[rest]
+    size[rest] += 1
     raw = ids.astype("<u4").tobytes()
     sums = np.array([zlib.crc32(raw[4 * BLOCK * k : 4 * BLOCK * (k + 1)]) for k in range(lanes)])
-    body = words.astype("<u2")[np.arange(words.shape[1]) < used[:, None]]
     head = np.concatenate([[n], used, size, sums]).astype("<u4")
-    return b"".join([head.tobytes(), plain.tobytes(), body.tobytes()])
+    return b"".join([head.tobytes(), _joined(plain, size, "<u4"), _joined(words, used, "<u2")])
 
 
 def decode(raw: bytes) -> np.ndarray:
@@ -163,7 +192,7 @@ def decode(raw: bytes) -> np.ndarray:
     lanes, last = _lanes(n)
     used, size, sums = np.frombuffer(raw, "<u4", 3 * lanes, 4).reshape(3, lanes).astype(np.int64)
     plain = np.append(np.frombuffer(raw, "<u4", int(size.sum()), 4 + 12 * lanes), np.zeros(2, "<u4")).astype(np.uint64)
-    plain = plain[:-1] | (plain[1:] << np.uint64(32))
+    plain = (plain[:-1] | (plain[1:] << np.uint64(32))).view(np.int64)  # a sign shifted in is masked: at most 31 + 14 bits count
     body = np.append(np.frombuffer(raw, "<u2", -1, 4 + 12 * lanes + 4 * int(size.sum())), np.zeros(2, "<u2")).astype(np.int64)
     at, bit = np.cumsum(used) - used, (np.cumsum(size) - size) * 32
     ends = at + used
@@ -179,20 +208,21 @@ def decode(raw: bytes) -> np.ndarray:
         c, w = code[:m], width[:m]
         unit = w >> TOTAL
         value = np.minimum(c // unit, (1 << TOTAL) - 1).astype(np.int32)
-        symbol = (cdf[:, 1:] <= value[:, None]).sum(1, dtype=np.int32)
-        start = cdf[row, symbol]
+        below = (cdf <= value[:, None]).view(np.uint64) * _ONES >> 56
+        symbol = (below[:, 0] + below[:, 1]).astype(np.int32) - 1  # the first begins at 0
+        start, share = state.place(cdf, symbol)
         c -= unit * start
-        np.multiply(unit, cdf[row, symbol + 1] - start, out=w)
+        np.multiply(unit, share, out=w)
         more = np.flatnonzero(w < 1 << 16)
         if len(more):
-            code[more] = (code[more] << 16) | body[np.minimum(at[more], ends[more])]
-            at[more] += 1
+            next_ = at.take(more)
+            code[more] = (code.take(more) << 16) | body.take(np.minimum(next_, ends.take(more)))
+            at[more] = next_ + 1
             width[more] <<= 16
-        count = BITS[symbol]
         p = bit[:m]
-        value = ((plain[np.minimum(p >> 5, len(plain) - 1)] >> (p & 31).astype(np.uint64)).astype(np.int64) & ((1 << count.astype(np.int64)) - 1)).astype(np.int32) + BASE[symbol]
-        p += count
-        back = state.history[np.clip(t + 2 - value, 0, t + 1), row]
+        value = ((plain.take(p >> 5, mode="clip") >> (p & 31)) & MASK.take(symbol, mode="clip")).astype(np.int32) + BASE.take(symbol, mode="clip")
+        p += BITS.take(symbol, mode="clip")
+        back = state.history.take(np.maximum(np.minimum(t + 2 - value, t + 1), 0) * lanes + row, mode="clip")
         ids = np.where(symbol == HIT2, state.guess2, np.where(symbol == HIT1, state.guess1, np.where(symbol < NEW, back, value)))
         state.update(t, m, symbol, ids)
     ids = np.ascontiguousarray(state.history[2:].T).ravel()[:n].astype(np.uint32)
