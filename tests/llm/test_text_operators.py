@@ -3,8 +3,8 @@
 import base64
 import hashlib
 import random
-import time
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
