@@ -224,7 +224,8 @@ class Engine:
     # -- catalogue
 
     def _described(self, name: str) -> Meta:
-        return self.meta(name) or Meta.from_spark(name.rstrip("/").rsplit("/", 1)[-1], self.open(name).schema)
+        t = jdbc.target(name, self.aliases)
+        return self.meta(name) or Meta.from_spark(name.rstrip("/").rsplit("/", 1)[-1], (jdbc.lazy(self.spark, t) if t else self.open(name)).schema)
 
     def _desc(self, name: str) -> DataFrame:
         meta = self._described(name)

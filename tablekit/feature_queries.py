@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterable
 from datetime import date
@@ -19,10 +22,10 @@ from .functions import bitmaps, decimals, kernels
 from .functions.aggregates import Function, aggregate, between
 from .operators import pipeline
 from .operators.lookup import lookup
-from .queries import _CUSTOMER, ORACLE_SQL, SUM, _customers, query, registered, scratch, table
+from .queries import _CUSTOMER, ORACLE_SQL, SUM, _customers, query, registered, table
 from .schema import Meta
 from .sources import registry, text, union
-from .sources.paths import date_in_name, file_system, write_text
+from .sources.paths import date_in_name, file_system, scratch, write_text
 from .streaming import files as stream_files
 from .types import ColumnType
 
@@ -433,10 +436,12 @@ def tx_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _database(spark: SparkSession, d: str, name: str) -> str:
-    """customer's numbers in a table of a database in memory."""
+    """customer's numbers in a table of a database on the driver's disk, which goes with the process."""
     from .sources import jdbc
 
-    url = f"jdbc:derby:memory:{name};create=true"
+    folder = tempfile.mkdtemp(prefix="tablekit-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    url = f"jdbc:derby:{folder}/{name};create=true"
     jdbc.write(table(spark, d, "customer").selectExpr("c_custkey AS C_CUSTKEY", "c_nationkey AS C_NATIONKEY", "c_acctbal AS C_ACCTBAL"), jdbc.Target(url, "customer"), "overwrite")
     return url
 

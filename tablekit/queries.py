@@ -16,7 +16,7 @@ from .functions.aggregates import Function, Key, aggregate, bitmap_distinct, tim
 from .operators.lookup import lookup
 from .operators.pipeline import Mapping
 from .sources import registry, union
-from .sources.paths import date_in_directory
+from .sources.paths import date_in_directory, scratch
 from .types import ColumnType, floor_decimal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,15 +27,6 @@ SUM = "CAST(floor(coalesce(sum(CAST({0} AS DECIMAL(28,10))), 0) * 100000) / 1000
 AVG = "CAST(round(avg(CAST({0} AS DECIMAL(20,5))), 5) AS DECIMAL(38,5))"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{base.rstrip('/')}/tablekit-{uuid.uuid4().hex}/{name}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,11 @@
 import json
+import os
+import subprocess
+import sys
 import zipfile
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
@@ -155,6 +159,34 @@ def test_jdbc_meaning_of_null(spark, engine):
     assert query(jdbc.Target("jdbc:sqlserver://h", "t"), parse("SELECT * FROM x LIMIT 5")) == "SELECT * FROM t ORDER BY (SELECT NULL) OFFSET 0 ROWS FETCH NEXT 5 ROWS ONLY"
 
 
+_APART = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", sys.argv[1]).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tablekit import Engine
+from tablekit.sources import jdbc
+t = jdbc.Target(f"jdbc:derby:{sys.argv[1]}/db;create=true", "things")
+rows = [(k, None if k % 7 == 0 else f"t{k}") for k in range(1000)]
+assert jdbc.write(spark.createDataFrame(rows, "ID int, NAME string").repartition(3), t, "overwrite") == 1000
+assert jdbc.write(spark.createDataFrame([(1000, "x")], "ID int, NAME string"), t) == 1
+e, name = Engine(spark), f"`{t.url}?table=things&partitionColumn=ID&numPartitions=3`"
+assert e.sql(f"DELETE FROM {name} WHERE id = 1000").head()[0] == 1
+assert sorted(map(tuple, e.open(name.strip("`")).collect())) == rows
+assert [tuple(r) for r in e.sql(f"SELECT id, name FROM {name} ORDER BY id DESC").collect()] == rows[::-1]
+assert [tuple(r) for r in e.sql(f"SELECT id FROM {name} ORDER BY id LIMIT 5, 3").collect()] == [(5,), (6,), (7,)]
+assert e.sql(f"SELECT id FROM {name} WHERE id < 0").collect() == [] and jdbc.write(e.sql(f"SELECT id, name FROM {name} WHERE id < 0"), t) == 0
+assert [r[0] for r in e.sql(f"DESC {name}").collect()] == ["id", "name"] and e.rows(name.strip("`")) == 1000
+print("whole")
+"""
+
+
+def test_jdbc_embedded_where_executors_are_other_processes(tmp_path):
+    """The database lives in the driver's process alone."""
+    root = Path(__file__).parent.parent
+    done = subprocess.run([sys.executable, "-c", _APART, str(tmp_path)], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip() == "whole", done.stderr[-2000:]
+
+
 def test_text_exact(spark, engine, tmp_path):
     """Rows that look like a header, rows of one empty cell, code points without a character, and escapes of all kinds."""
     head = spark.createDataFrame([("v", "w"), ("V", "W"), ("", None), (None, ""), ("a￿\\n", "\\"), ("\\\\", "\t\n\r\\t"), ("\\N", "NULL"), ("'", '"')], "v string, w string")
