@@ -190,15 +190,16 @@ def aggregate(df: DataFrame, keys: Sequence[Key | str], functions: Sequence[Func
 
 
 def _bitmap_sum(df: DataFrame, grouped: Sequence[Column], keys: Sequence[str], f: Function, find: Callable[[str], tuple[Column, T.DataType]]) -> DataFrame:
-    """Bitmaps of one bucket are united, then the buckets' counts summed up."""
+    """Bitmaps of one bucket are united, then the buckets' counts summed up; bits are words as of bitmaps.build, or binary."""
     if len(f.columns) != 2:
         raise EngineError("COLUMN_MISMATCH", f"{f.name} takes the columns of bucket and bits")
-    bucket, bits = (find(c)[0] for c in f.columns)
+    (bucket, _), (bits, kind) = (find(c) for c in f.columns)
+    unite, count = (F.bitmap_or_agg, F.bitmap_count) if isinstance(kind, T.BinaryType) else (F.bit_or, F.bit_count)
     bits = bits if f.condition is None else F.when(f.condition, bits)
-    united = df.groupBy(*grouped, bucket.alias("_bucket")).agg(F.bitmap_or_agg(bits).alias("_bits"))
-    return united.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.coalesce(F.sum(F.bitmap_count("_bits")), F.lit(0)).cast("bigint").alias(f.output))
+    united = df.groupBy(*grouped, bucket.alias("_bucket")).agg(unite(bits).alias("_bits"))
+    return united.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.coalesce(F.sum(count("_bits")), F.lit(0)).cast("bigint").alias(f.output))
 
 
 def bitmap_distinct(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
-    """Exact distinct counts of a non-negative integer column by bitmaps, merged by their bucket."""
+    """Exact distinct counts of an integer column by bitmaps, merged by their bucket."""
     return bitmaps.counts(bitmaps.build(df, keys, column), alias)

@@ -67,3 +67,23 @@ def test_union_of_all_orders(spark, duck, tmp_path):
     for d in (SF, str(tmp_path)):
         whole = union.read(spark, union.Descriptor(queries._orders_by_year(spark, d), queries._UNION, 3), Engine(spark).open)
         assert rows(whole) == rows(spark.read.parquet(f"{d}/orders.parquet"))
+
+
+def test_bitmaps_of_numbers_far_apart(spark):
+    """A number far from all others takes a word, not a bitmap of kilobytes, and sets are united without sorts."""
+    from pyspark.sql import functions as F
+
+    from tablekit.functions import bitmaps
+    from tablekit.functions.aggregates import Function, aggregate
+
+    data = [(k, n) for k in ("a", None) for n in (-65, -64, -1, 0, 63, 64, 10**12)]
+    a, b = (bitmaps.build(spark.createDataFrame(x, "k string, n long"), ["k"], "n") for x in (data, [(None, 63), (None, 10**12), ("a", 5), ("b", 1), (None, None)]))
+    assert a.schema["bits"].dataType.simpleString() == "bigint"
+    assert "Sort" not in bitmaps.counts(a, "n")._jdf.queryExecution().executedPlan().toString()
+    assert rows(bitmaps.counts(bitmaps.union(a, b), "n")) == [("a", 8), ("b", 1), (None, 7)]
+    assert rows(bitmaps.counts(bitmaps.intersection(a, b), "n").filter("n > 0")) == [(None, 2)]
+    assert rows(bitmaps.counts(bitmaps.difference(a, b), "n")) == [("a", 7), (None, 5)]
+    words = a.unionByName(b)
+    stored = spark.createDataFrame([("a", 0), ("a", 40_000), ("b", 7)], "k string, n long").groupBy("k", F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+    for df, wanted in ((words, [("a", 8), ("b", 1), (None, 7)]), (stored.unionByName(stored), [("a", 2), ("b", 1)])):
+        assert rows(aggregate(df, ["k"], [Function("DISTINCT_ROARING_BITMAP_SUM", ["bucket", "bits"], "n")])) == wanted
