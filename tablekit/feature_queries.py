@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from datetime import date
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,18 +75,41 @@ def dialect_custom(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark).open(_text_of(spark, d, "supplier", "tbl", DELIMITER="|", HEADER="ABSENT", NULL="-"))
 
 
+class _Out(io.RawIOBase):
+    """What is written goes to a file of a Hadoop file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        fs, p = file_system(spark, path)
+        self.stream = fs.create(p, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
 def _zip(spark: SparkSession, d: str) -> str:
-    """part as the second of two entries of an archive."""
-    path, raw = scratch(spark, "part.csv.zip"), io.BytesIO()
-    part = table(spark, d, "part")
-    lines = part.select(text.line_of(part, text.Dialect(",", '"', "NULL")).alias("line")).toLocalIterator()
-    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+    """part as the second of two entries of an archive, written as its rows come."""
+    path, part = scratch(spark, "part.csv.zip"), table(spark, d, "part")
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(f"{x}\n" for x in batch.column(0).to_pylist())])], ["lines"])
+
+    lines = part.select(text.line_of(part, text.Dialect(",", '"', "NULL"))).mapInArrow(joined, "lines string").toLocalIterator()
+    with io.BufferedWriter(_Out(spark, path), 1 << 20) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("sizes.csv", "p_size\n1\n2\n")
-        z.writestr("part.csv", ",".join(part.columns) + "\n" + "".join(f"{r.line}\n" for r in lines))
-    fs, p = file_system(spark, path)
-    stream = fs.create(p, True)
-    stream.write(bytearray(raw.getvalue()))
-    stream.close()
+        with z.open("part.csv", "w", force_zip64=True) as entry:
+            entry.write(f"{','.join(part.columns)}\n".encode())
+            for some in lines:
+                entry.write(some.lines.encode())
     return path
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ class Dialect:
 
 def split_line(text: str, d: Dialect) -> list[str | None]:
     """The cells of a record (which may hold line breaks in quotes); null only where the null string is not quoted."""
+    if (d.quote or "\\") not in text:
+        return [None if c == d.null else c for c in text.split(d.delimiter)]
     cells, cell, k, quoted, was_quoted, escaped = [], [], 0, False, False, False
 
     def done() -> None:
@@ -76,17 +80,34 @@ def split_line(text: str, d: Dialect) -> list[str | None]:
     return cells
 
 
-def records(text: str, d: Dialect) -> Iterator[str]:
-    """The records of a whole file: lines, joined while a quoted cell goes on."""
-    held = ""
-    for line in text.split("\n"):
-        held = f"{held}\n{line}" if held else line
-        if not d.quote or held.count(d.quote) % 2 == 0:
-            if held.rstrip("\r"):
-                yield held.rstrip("\r")
-            held = ""
+def records(lines: Iterable[str], d: Dialect) -> Iterator[str]:
+    """The records of a file's lines: these, joined while a quoted cell goes on."""
+    held, odd = [], False
+    for line in lines:
+        held.append(line)
+        odd ^= bool(d.quote) and line.count(d.quote) % 2 == 1
+        if not odd:
+            if record := "\n".join(held).rstrip("\r"):
+                yield record
+            held = []
     if held:
-        yield held
+        yield "\n".join(held)
+
+
+def _lines(source: str | BinaryIO) -> Iterator[str]:
+    """What splitting at line feeds gives, one line after another; a stream is decoded as it is read."""
+    if isinstance(source, str):
+        at = 0
+        while (end := source.find("\n", at)) >= 0:
+            yield source[at:end]
+            at = end + 1
+        yield source[at:]
+        return
+    line = ""
+    for line in io.TextIOWrapper(source, "utf-8", newline="\n"):
+        yield line.removesuffix("\n")
+    if not line or line.endswith("\n"):
+        yield ""
 
 
 def cells_of(line: Column, d: Dialect) -> Column:
@@ -188,31 +209,37 @@ def _typed(arrays: DataFrame, names: list[str], meta: Meta | None) -> DataFrame:
     return arrays.select(*[F.coalesce(c.type.cast(v, T.StringType()), F.lit(None) if c.default is None else F.when(v.isNull() & (F.size("cells") <= k), c.type.cast(F.lit(c.default), T.StringType()))).alias(c.name) for k, (c, v) in enumerate(zip(meta.columns, cell))])
 
 
-def _parsed(texts: Iterator[str], d: Dialect) -> Iterator[pa.RecordBatch]:
-    for text in texts:
-        rows = [split_line(r, d) for r in records(text, d)][int(d.header) :]
-        for k in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + 10_000], pa.list_(pa.string()))], ["cells"])
+def _parsed(source: str | BinaryIO, d: Dialect) -> Iterator[pa.RecordBatch]:
+    """A file's rows, of which no more than a batch is held."""
+    rows = (split_line(r, d) for r in records(_lines(source), d))
+    for some in itertools.batched(itertools.islice(rows, int(d.header), None), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.string()))], ["cells"])
 
 
 def _whole(spark: SparkSession, paths: list[str], d: Dialect) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _parsed(iter(batch.column(0).to_pylist()), d)
+            for text in batch.column(0):
+                yield from _parsed(text.as_py(), d)
 
     return spark.read.text(paths, wholetext=True).mapInArrow(run, "cells array<string>")
 
 
+def _entry(content: pa.BinaryScalar, name: str) -> BinaryIO:
+    """A stream of an archive's entry, by default the first; neither the archive is copied nor the entry held."""
+    z = zipfile.ZipFile(pa.BufferReader(content.as_buffer()))
+    return z.open(name or z.namelist()[0])
+
+
 def _archives(spark: SparkSession, paths: list[str], d: Dialect) -> DataFrame:
     """The rows of the first entry of each archive, or of the one named after #."""
     entry = {p.partition("#")[0].rsplit("/", 1)[-1]: p.partition("#")[2] for p in paths}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    name = entry.get(path.rsplit("/", 1)[-1]) or z.namelist()[0]
-                    yield from _parsed(iter([z.read(name).decode()]), d)
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with _entry(content, entry.get(path.rsplit("/", 1)[-1], "")) as stream:
+                    yield from _parsed(stream, d)
 
     files = spark.read.format("binaryFile").load([p.partition("#")[0] for p in paths]).select("path", "content")
     return files.mapInArrow(run, "cells array<string>")
@@ -223,9 +250,9 @@ def _archive_names(spark: SparkSession, path: str, d: Dialect) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    cells = split_line(next(records(z.read(path.partition("#")[2] or z.namelist()[0]).decode(), d), ""), d)
+            for content in batch.column(0):
+                with _entry(content, path.partition("#")[2]) as stream:
+                    cells = split_line(next(records(_lines(stream), d), ""), d)
                     yield pa.RecordBatch.from_arrays([pa.array([cells], pa.list_(pa.string()))], ["cells"])
 
     cells = spark.read.format("binaryFile").load(path.partition("#")[0]).select("content").mapInArrow(run, "cells array<string>").head()["cells"]

@@ -58,6 +58,32 @@ def test_custom_dialect_and_zip(engine, tmp_path):
     assert rows(engine.open(f"{tmp_path}/y.csv.zip#second.csv")) == [("3", "4")]
 
 
+def test_zip_entries_are_streams(engine, tmp_path):
+    """Parsing holds a batch of an archive's entry, not all of it; its rows are those of the plain file."""
+    import io
+    import tracemalloc
+
+    odd = 'a,b\r\n1,"x\n\ny"\r\n\r\n\r,\n2,NULL\n"NULL","q""r"\n3,\u20ac\n4,"open\n'
+    body = "".join(f"{k},{'w' * 50}\n" for k in range(200_000))
+    with zipfile.ZipFile(tmp_path / "z.csv.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("odd.csv", odd)
+        z.writestr("big.csv", f"a,b\n{body}")
+        z.writestr("bad.csv", b"a,b\n1,\xff\n")
+        z.writestr("none.csv", "")
+    wanted = [("1", "x\n\ny"), ("\r", ""), ("2", None), ("NULL", 'q"r'), ("3", "\u20ac"), ("4", "open\n")]
+    assert rows(engine.open(f"{tmp_path}/z.csv.zip")) == sorted(wanted, key=repr)
+    assert engine.open(f"{tmp_path}/z.csv.zip#big.csv").count() == 200_000 and engine.open(f"{tmp_path}/z.csv.zip#none.csv").count() == 0
+    with pytest.raises(Exception, match="utf-8"):
+        engine.open(f"{tmp_path}/z.csv.zip#bad.csv").collect()
+    with zipfile.ZipFile(tmp_path / "z.csv.zip") as z:
+        tracemalloc.start()
+        assert sum(b.num_rows for b in text._parsed(z.open("big.csv"), text.Dialect(",", '"', "NULL"))) == 200_000
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert held < len(body) / 2
+    assert list(text._lines(io.BytesIO(b"a\n\nb\n"))) == list(text._lines("a\n\nb\n")) == "a\n\nb\n".split("\n")
+
+
 def test_gz_sibling(engine, tmp_path):
     import gzip
 
